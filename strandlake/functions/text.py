@@ -30,6 +30,11 @@ def strip(x: Column) -> Column:
     return F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
 
 
+def let(x: Column, use) -> Column:
+    """use(x) with x computed once, however often use names it."""
+    return F.get(F.transform(F.array(x), use), F.lit(0))
+
+
 def squeeze(x: Column) -> Column:
     return strip(F.regexp_replace(x, r"(?U)\s+", " "))
 
@@ -104,48 +109,62 @@ def words(x: Column) -> Column:
     return F.regexp_count(x, F.lit(r"(?U)\S+"))
 
 
+_NONE = "array<string>"
+
+
+def _label(test: Column, label: str) -> Column:
+    return F.when(test, F.array(F.lit(label))).otherwise(F.array().cast(_NONE))
+
+
+def _block_issues(think: Column) -> Column:
+    """Of the steer and exec blocks inside a think block, in the order in which they stand."""
+    control = lambda c: c.rlike(r"(?i)</?(?:think|steer|exec)") | c.rlike(rf"(?i)</?(?:{TAG_FRAGMENTS})(?=[^A-Za-z0-9_]|$)") | c.rlike(r"</?\s*$")
+    kinds = F.transform(F.regexp_extract_all(think, F.lit(_SEGMENT), F.lit(1)), F.lower)
+    bodies = F.regexp_extract_all(think, F.lit(_SEGMENT), F.lit(2))
+    parts = F.struct(kinds.alias("kinds"), bodies.alias("bodies"), F.split(think, _SEGMENT, -1).alias("gaps"))
+
+    def issues(p: Column) -> Column:
+        each = F.transform(
+            F.arrays_zip(p["kinds"].alias("k"), p["bodies"].alias("b"), F.slice(p["gaps"], F.lit(1), F.size(p["kinds"])).alias("g")),
+            lambda s, i: F.concat(
+                _label(~blank(s["g"]), "non_whitespace_outside_steer_exec"),
+                _label(s["k"] != F.when(i % 2 == 0, "steer").otherwise("exec"), "steer_exec_not_interleaved"),
+                _label(blank(s["b"]), "empty_steer_exec_block"),
+                _label(control(s["b"]), "control_tag_inside_steer_exec_block"),
+            ),
+        )
+        n, steer = F.size(p["kinds"]), F.size(F.filter(p["kinds"], lambda k: k == "steer"))
+        return F.concat(
+            F.flatten(each),
+            _label(~blank(F.element_at(p["gaps"], -1)), "non_whitespace_outside_steer_exec"),
+            _label(n == 0, "incomplete_steer_exec_tags"),
+            _label(steer * 2 != n, "unequal_steer_exec_block_counts"),
+            _label(n % 2 != 0, "unpaired_steer_exec_tags"),
+            _label((n > 0) & (F.get(p["kinds"], F.lit(0)) != "steer"), "steer_exec_must_start_with_steer"),
+        )
+
+    return let(parts, issues)
+
+
 def structure_issues(x: Column, require_blocks: bool = True) -> Column:
     """What is wrong with the form of a response, each label once, in the order in which a reader meets it."""
-    none = F.array().cast("array<string>")
-    when = lambda test, label: F.when(test, F.array(F.lit(label))).otherwise(none)
     tag = r"(?i)</?(?:steer|exec)>"
-    blocks = F.regexp_extract_all(x, F.lit(r"(?is)<think>(.*?)</think>"), F.lit(1))
-    think = F.element_at(blocks, 1)
-    around = F.split(x, r"(?is)<think>.*?</think>", 2)
-    before, after = around[0], around[1]
-    kinds = F.transform(F.regexp_extract_all(think, F.lit(_SEGMENT), F.lit(1)), F.lower)
-    bodies = F.regexp_extract_all(think, F.lit(_SEGMENT), F.lit(2))
-    gaps = F.split(think, _SEGMENT, -1)
-    control = lambda c: c.rlike(r"(?i)</?(?:think|steer|exec)") | c.rlike(rf"(?i)</?(?:{TAG_FRAGMENTS})(?=[^A-Za-z0-9_]|$)") | c.rlike(r"</?\s*$")
-    each = F.transform(
-        F.arrays_zip(kinds.alias("k"), bodies.alias("b")),
-        lambda s, i: F.concat(
-            when(~blank(F.get(gaps, i)), "non_whitespace_outside_steer_exec"),
-            when(s["k"] != F.when(i % 2 == 0, "steer").otherwise("exec"), "steer_exec_not_interleaved"),
-            when(blank(s["b"]), "empty_steer_exec_block"),
-            when(control(s["b"]), "control_tag_inside_steer_exec_block"),
-        ),
-    )
-    n, steer = F.size(kinds), F.size(F.filter(kinds, lambda k: k == "steer"))
-    inside = F.concat(
-        F.flatten(each),
-        when(~blank(F.element_at(gaps, -1)), "non_whitespace_outside_steer_exec"),
-        when(n == 0, "incomplete_steer_exec_tags"),
-        when(steer * 2 != n, "unequal_steer_exec_block_counts"),
-        when(n % 2 != 0, "unpaired_steer_exec_tags"),
-        when((n > 0) & (F.get(kinds, F.lit(0)) != "steer"), "steer_exec_must_start_with_steer"),
-    )
-    present = think.rlike(tag)
-    one = F.concat(
-        when((F.regexp_count(x, F.lit("(?i)<think>")) != 1) | (F.regexp_count(x, F.lit("(?i)</think>")) != 1), "expected_single_complete_think_block"),
-        when(~blank(before), "non_whitespace_before_think_block"),
-        when(blank(think), "empty_think_block"),
-        when(before.rlike(tag) | after.rlike(tag), "steer_exec_outside_think_block"),
-        F.when(present, inside).otherwise(when(F.lit(require_blocks), "missing_steer_exec_blocks")),
-        when(~has_boxed(after), "missing_boxed_answer"),
-    )
-    other = F.concat(F.array(F.lit("expected_single_complete_think_block")), when(~has_boxed(x), "missing_boxed_answer"))
-    return F.array_distinct(F.when(F.size(blocks) == 1, one).otherwise(other))
+    parts = F.struct(x.alias("all"), F.regexp_extract_all(x, F.lit(r"(?is)<think>(.*?)</think>"), F.lit(1)).alias("thinks"), F.split(x, r"(?is)<think>.*?</think>", 2).alias("around"))
+
+    def issues(p: Column) -> Column:
+        think, before, after = F.get(p["thinks"], F.lit(0)), F.get(p["around"], F.lit(0)), F.get(p["around"], F.lit(1))
+        one = F.concat(
+            _label((F.regexp_count(p["all"], F.lit("(?i)<think>")) != 1) | (F.regexp_count(p["all"], F.lit("(?i)</think>")) != 1), "expected_single_complete_think_block"),
+            _label(~blank(before), "non_whitespace_before_think_block"),
+            _label(blank(think), "empty_think_block"),
+            _label(before.rlike(tag) | after.rlike(tag), "steer_exec_outside_think_block"),
+            F.when(think.rlike(tag), _block_issues(think)).otherwise(_label(F.lit(require_blocks), "missing_steer_exec_blocks")),
+            _label(~has_boxed(after), "missing_boxed_answer"),
+        )
+        other = F.concat(F.array(F.lit("expected_single_complete_think_block")), _label(~has_boxed(p["all"]), "missing_boxed_answer"))
+        return F.array_distinct(F.when(F.size(p["thinks"]) == 1, one).otherwise(other))
+
+    return let(parts, issues)
 
 
 def has_boxed(x: Column) -> Column:
@@ -182,21 +201,24 @@ def unwrapped(x: Column, times: int = 4) -> Column:
 
 def answer_class(x: Column) -> Column:
     """Plain scalar or simple fraction, exact symbolic expression, or other."""
-    y = strip(x)
-    y = F.when((F.length(y) >= 4) & y.startswith("$$") & y.endswith("$$"), strip(F.regexp_extract(y, r"(?s)^\$\$(.*)\$\$$", 1))).otherwise(y)
-    y = F.when((F.length(y) >= 2) & y.startswith("$") & y.endswith("$"), strip(F.regexp_extract(y, r"(?s)^\$(.*)\$$", 1))).otherwise(y)
+    y = F.regexp_replace(strip(x), r"(?s)^\$\$(.*)\$\$$", "$1")
+    y = F.regexp_replace(strip(y), r"(?s)^\$(.*)\$$", "$1")
     y = F.regexp_replace(F.replace(unwrapped(y), F.lit(","), F.lit("")), r"(?U)\s+", "")
     number = r"[+-]?(?:\d+(?:\.\d*)?|\.\d+)"
-    symbolic = F.lit(False)
-    for m in SYMBOLIC_MARKERS:
-        symbolic = symbolic | y.contains(m)
-    return (
-        F.when(y.rlike(rf"^{number}(?:[eE][+-]?\d+)?$"), "plain_scalar_or_simple_fraction")
-        .when(y.rlike(r"^[+-]?\d+/[+-]?0*[1-9]\d*$"), "plain_scalar_or_simple_fraction")
-        .when(y.rlike(rf"^{number}(?:\\%|%|\^\\circ|\\text\{{[^}}]+\}})$"), "other")
-        .when(symbolic, "exact_symbolic_numeric_expression")
-        .otherwise("other")
-    )
+
+    def cls(v: Column) -> Column:
+        symbolic = F.lit(False)
+        for m in SYMBOLIC_MARKERS:
+            symbolic = symbolic | v.contains(m)
+        return (
+            F.when(v.rlike(rf"^{number}(?:[eE][+-]?\d+)?$"), "plain_scalar_or_simple_fraction")
+            .when(v.rlike(r"^[+-]?\d+/[+-]?0*[1-9]\d*$"), "plain_scalar_or_simple_fraction")
+            .when(v.rlike(rf"^{number}(?:\\%|%|\^\\circ|\\text\{{[^}}]+\}})$"), "other")
+            .when(symbolic, "exact_symbolic_numeric_expression")
+            .otherwise("other")
+        )
+
+    return let(y, cls)
 
 
 def non_blank(values: Column) -> Column:
