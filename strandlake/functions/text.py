@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -105,6 +107,17 @@ def alternation_errors(blocks: Column, most_words: int) -> Column:
     return F.concat(F.when(F.size(blocks) % 2 != 0, F.array(F.lit("odd"))).otherwise(F.array().cast("array<string>")), F.flatten(errors))
 
 
+def window_check(blocks: Column, pairs: int, first: Column, most_words: int) -> Column:
+    """Whether generated blocks are so many pairs, begin with the wanted steer text and keep the form and limits of H06: ok, or the first thing wrong."""
+    errors = alternation_errors(blocks, most_words)
+    return (
+        F.when(F.size(blocks) != 2 * pairs, "pair_count")
+        .when(F.get(blocks, F.lit(0))["text"] != first, "first_steer")
+        .when(F.size(errors) > 0, F.get(errors, F.lit(0)))
+        .otherwise("ok")
+    )
+
+
 def words(x: Column) -> Column:
     return F.regexp_count(x, F.lit(r"(?U)\S+"))
 
@@ -290,6 +303,20 @@ def normal_block(x: Column) -> Column:
     return F.lower(squeeze(x))
 
 
+def at_boundary(x: Column) -> Column:
+    """Text that only grows to a boundary: a cut closing tag is completed, an open exec block closed, and a closed one ends its line.
+    What already ends in an opening tag stays."""
+    partial = "|".join(re.escape("</exec>"[:n]) for n in range(6, 0, -1))
+    opened = F.regexp_extract(x, r"(?s)^.*<(/?exec)>", 1) == "exec"
+    body = F.regexp_replace(x, rf"(?:{partial})$", "")
+    return (
+        F.when(x.rlike(r"<(?:steer|exec)>\s*$"), x)
+        .when(opened, F.concat(body, F.lit("</exec>\n")))
+        .when(x.rlike(r"</exec>\s*$"), F.concat(F.regexp_replace(x, r"\s+$", ""), F.lit("\n")))
+        .otherwise(x)
+    )
+
+
 def first_stop(x: Column) -> Column:
     """The text before the earliest closing steer or think tag."""
     return F.regexp_extract(x, r"(?s)^(.*?)(?:</steer>|</think>|\z)", 1)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 from importlib import import_module
 
 #: Modules of plans; each has QUERIES (name -> function of (spark, sf_dir)) and ORACLES (name -> DuckDB SQL).
-MODULES: tuple[str, ...] = ("events", "text", "dataset", "metrics")
+MODULES: tuple[str, ...] = ("events", "text", "dataset", "metrics", "tree", "values", "ordered")
 
 
 def queries() -> dict[str, Callable]:
