@@ -49,8 +49,11 @@ def mean_and_error(df: DataFrame, per: list[str], x: str, split: Column) -> Data
 
 def correlation(df: DataFrame, per: list[str], x: str, y: str) -> DataFrame:
     """Pearson's r, null for fewer than two rows or no variance, and the least-squares line."""
-    good = (F.count(F.when(F.col(x).isNotNull() & F.col(y).isNotNull(), 1)) >= 2) & (F.stddev_pop(x) > 0) & (F.stddev_pop(y) > 0)
-    return df.groupBy(*per).agg(F.when(good, F.corr(x, y)).alias("r"), F.when(F.stddev_pop(x) > 0, F.regr_slope(y, x)).alias("slope"), F.when(F.stddev_pop(x) > 0, F.regr_intercept(y, x)).alias("intercept"))
+    both = F.col(x).isNotNull() & F.col(y).isNotNull()
+    a, b = F.when(both, F.col(x)), F.when(both, F.col(y))  # under ANSI rules corr() and regr_slope() fail where nothing varies
+    slope = F.try_divide(F.covar_pop(x, y), F.var_pop(a))
+    r = F.when(F.count(a) >= 2, F.try_divide(F.covar_pop(x, y), F.stddev_pop(a) * F.stddev_pop(b)))
+    return df.groupBy(*per).agg(r.alias("r"), slope.alias("slope"), (F.avg(b) - slope * F.avg(a)).alias("intercept"))
 
 
 def moving_average(df: DataFrame, per: list[str], order: str, x: str, window: int) -> DataFrame:

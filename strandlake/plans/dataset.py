@@ -95,20 +95,20 @@ def _(t):
     return masks.filter(F.aggregate(F.slice("m", 2, 9), F.lit(0), lambda a, x: a + x) > 0).select("doc_id")
 
 
-_BAL = """with cap as (select source, count(*) as cap from {documents} group by 1), lv as (select max(l) as level from (select unnest(range(0, (select max(cap) from cap) + 1)) as l) where (select sum(least(cap, l)) from cap) <= 300),
-  base as (select source, least(cap, level) as b, cap > level as more from cap, lv), share as (select source, b + case when more and row_number() over (partition by more order by source) <= 300 - (select sum(b) from base) then 1 else 0 end as n from base)"""
+_BAL = """with cap as (select source, count(*) as cap from {documents} group by 1), lv as (select max(l) as level from (select unnest(range(0, (select max(cap) from cap) + 1)) as l) where (select sum(least(cap, l)) from cap) <= 150),
+  base as (select source, least(cap, level) as b, cap > level as more from cap, lv), share as (select source, b + case when more and row_number() over (partition by more order by source) <= 150 - (select sum(b) from base) then 1 else 0 end as n from base)"""
 
 
 @P.query("f01_allocation", f"{_BAL} select source, n::bigint as n from share")
 def _(t):
     docs = t("documents")
-    shares = D.allocate({r["source"]: r["n"] for r in docs.groupBy("source").agg(F.count("*").alias("n")).collect()}, 300)
+    shares = D.allocate({r["source"]: r["n"] for r in docs.groupBy("source").agg(F.count("*").alias("n")).collect()}, 150)
     return docs.sparkSession.createDataFrame(list(shares.items()), "source string, n long")
 
 
 @P.query("f02_balanced_sample", f"{_BAL} select doc_id, source from (select *, row_number() over (partition by source order by {_HASH.format(42, 'doc_id')}, doc_id) as r from {{documents}}) join share using (source) where r <= n")
 def _(t):
-    return D.balanced(t("documents").select("doc_id", "source"), "source", "doc_id", 300, 42).select("doc_id", "source")
+    return D.balanced(t("documents").select("doc_id", "source"), "source", "doc_id", 150, 42).select("doc_id", "source")
 
 
 @P.query("f03_fraction_per_bucket", f"select doc_id, lang from {{documents}} qualify row_number() over (partition by lang order by {_HASH.format(3, 'doc_id')}, doc_id) <= round_even(count(*) over (partition by lang) * 0.25, 0)")

@@ -18,25 +18,24 @@ def by_row(name: str, build, sql: str | None, table: str = "traces", key: str =
     P.query(name, sql and f"select {key}, {sql} as value from " + (f"(select *, {pre} from {{{table}}})" if pre else f"{{{table}}}"))(lambda t: t(table).select(key, build().alias("value")))
 
 
-T = F.col("trace")
 listed = lambda c: F.array_join(c, "|")
-by_row("h01_think_blocks", lambda: listed(X.think_blocks(T)), rf"coalesce(array_to_string(list_transform(regexp_extract_all(trace, '(?is)<think>(.*?)</think>', 1), lambda x: {STRIP.format('x')}), '|'), '')")
+by_row("h01_think_blocks", lambda: listed(X.think_blocks(F.col("trace"))), rf"coalesce(array_to_string(list_transform(regexp_extract_all(trace, '(?is)<think>(.*?)</think>', 1), lambda x: {STRIP.format('x')}), '|'), '')")
 _BODIES = r"list_transform(regexp_extract_all(trace, '(?is)<(?:{0})>(.*?)</(?:{0})>', 1), lambda x: " + STRIP.format("x") + ")"
 _A, _B = _BODIES.format(X.STEER_TAGS), _BODIES.format(X.EXEC_TAGS)
 _PAIRS, _N = f"{_A} as a, {_B} as b", "least(len(a), len(b))"
-by_row("h02_index_pairs", lambda: listed(F.transform(X.index_pairs(T), lambda p: F.concat(p["steer"], F.lit("=>"), p["exec"]))), f"coalesce(array_to_string(list_transform(range(1, {_N} + 1), lambda i: concat(a[i], '=>', b[i])), '|'), '')", pre=_PAIRS)
-by_row("h02_unmatched", lambda: X.unmatched(T), f"abs(len({_A}) - len({_B}))::int")
+by_row("h02_index_pairs", lambda: listed(F.transform(X.index_pairs(F.col("trace")), lambda p: F.concat(p["steer"], F.lit("=>"), p["exec"]))), f"coalesce(array_to_string(list_transform(range(1, {_N} + 1), lambda i: concat(a[i], '=>', b[i])), '|'), '')", pre=_PAIRS)
+by_row("h02_unmatched", lambda: X.unmatched(F.col("trace")), f"abs(len({_A}) - len({_B}))::int")
 _ADJ = r"(?is)<steer\b[^>]*>(.*?)</steer>\s*<exec\b[^>]*>(.*?)</exec>"
 _S, _E = (f"list_transform(regexp_extract_all(trace, '{_ADJ}', {i}), lambda x: {SQUEEZE.format('x')})" for i in (1, 2))
-by_row("h03_adjacent_pairs", lambda: listed(F.transform(X.adjacent_pairs(T), lambda p: F.concat(p["steer"], F.lit("=>"), p["exec"]))), f"coalesce(array_to_string(list_filter(list_transform(range(1, len(a) + 1), lambda i: case when a[i] <> '' and b[i] <> '' then concat(a[i], '=>', b[i]) end), lambda x: x is not null), '|'), '')", pre=f"{_S} as a, {_E} as b")
-by_row("h04_segments", lambda: listed(F.transform(X.segments(T), lambda s: F.concat(s["type"], F.lit(":"), s["text"]))), rf"coalesce(array_to_string(list_filter(list_transform(regexp_extract_all(trace, '(?is)<steer>.*?</steer>|<exec>.*?</exec>'), lambda x: case when {STRIP.format(chr(39).join(['regexp_replace(x, ', '(?is)^<.*?>|</.*?>$', ', ', '', ', ', 'g', ')']))} <> '' then concat(lower(regexp_extract(x, '^<(\w+)>', 1)), ':', {STRIP.format(chr(39).join(['regexp_replace(x, ', '^<[a-zA-Z]+>|</[a-zA-Z]+>$', ', ', '', ', ', 'g', ')']))}) end), lambda x: x is not null), '|'), '')")
-by_row("h06_alternation_errors", lambda: listed(X.alternation_errors(X.segments(T), 60)), None)
-by_row("h08_structure_issues", lambda: listed(X.structure_issues(T)), None)
+by_row("h03_adjacent_pairs", lambda: listed(F.transform(X.adjacent_pairs(F.col("trace")), lambda p: F.concat(p["steer"], F.lit("=>"), p["exec"]))), f"coalesce(array_to_string(list_filter(list_transform(range(1, len(a) + 1), lambda i: case when a[i] <> '' and b[i] <> '' then concat(a[i], '=>', b[i]) end), lambda x: x is not null), '|'), '')", pre=f"{_S} as a, {_E} as b")
+by_row("h04_segments", lambda: listed(F.transform(X.segments(F.col("trace")), lambda s: F.concat(s["type"], F.lit(":"), s["text"]))), rf"coalesce(array_to_string(list_filter(list_transform(regexp_extract_all(trace, '(?is)<steer>.*?</steer>|<exec>.*?</exec>'), lambda x: case when {STRIP.format(chr(39).join(['regexp_replace(x, ', '(?is)^<.*?>|</.*?>$', ', ', '', ', ', 'g', ')']))} <> '' then concat(lower(regexp_extract(x, '^<(\w+)>', 1)), ':', {STRIP.format(chr(39).join(['regexp_replace(x, ', '^<[a-zA-Z]+>|</[a-zA-Z]+>$', ', ', '', ', ', 'g', ')']))}) end), lambda x: x is not null), '|'), '')")
+by_row("h06_alternation_errors", lambda: listed(X.alternation_errors(X.segments(F.col("trace")), 60)), None)
+by_row("h08_structure_issues", lambda: listed(X.structure_issues(F.col("trace"))), None)
 _COUNT = lambda tag: rf"regexp_extract_all(trace, '(?is)<{tag}>(.*?)(?:</{tag}>|$)', 1)"
 for _tag in ("steer", "exec"):
-    by_row(f"h09_{_tag}_words", lambda tag=_tag: X.block_stats(T)[f"{tag}_words"], rf"coalesce(list_sum(list_transform({_COUNT(_tag)}, lambda x: len(regexp_extract_all(x, '\S+')))), 0)::int")
-    by_row(f"h09_{_tag}_blocks", lambda tag=_tag: X.block_stats(T)[f"{tag}_blocks"], f"len({_COUNT(_tag)})::int")
-by_row("h10_has_boxed", lambda: X.has_boxed(T), r"regexp_matches(trace, '\\boxed\{[^{}]*\}')")
+    by_row(f"h09_{_tag}_words", lambda tag=_tag: X.block_stats(F.col("trace"))[f"{tag}_words"], rf"coalesce(list_sum(list_transform({_COUNT(_tag)}, lambda x: len(regexp_extract_all(x, '\S+')))), 0)::int")
+    by_row(f"h09_{_tag}_blocks", lambda tag=_tag: X.block_stats(F.col("trace"))[f"{tag}_blocks"], f"len({_COUNT(_tag)})::int")
+by_row("h10_has_boxed", lambda: X.has_boxed(F.col("trace")), r"regexp_matches(trace, '\\boxed\{[^{}]*\}')")
 _EV = r"regexp_replace(regexp_replace(trim(answer), '\$|\\!|\\,|,| ', '', 'g'), '\.+$', '')"
 by_row("h13_eval_answer", lambda: X.eval_answer(F.col("answer")), _EV, "rl_rows")
 by_row("h13_numbers", lambda: X.eval_answer(F.concat(F.lit("$-00"), F.col("n_chars").cast("string"), F.lit(",0.."))), r"concat('-', cast(n_chars as varchar), '0')", "rl_rows")
@@ -49,24 +48,24 @@ by_row("h18_without_role", lambda: X.without_role(F.concat(F.col("role"), F.lit(
 by_row("h19_unfenced", lambda: X.unfenced(F.concat(F.lit("\ufeff```text\n"), F.substring("text", 1, 40), F.lit("\n``` done"))), rf"{STRIP.format('substr(text, 1, 40)')}", "documents")
 by_row("h20_replaced_blocks", lambda: X.replaced_blocks(F.concat(F.lit("a<think> </think>b<think>x"), F.col("lang"), F.lit("</think>c")), F.array(F.col("source"))), "concat('a<think></think>b<think>\n', source, '\n</think>c')", "documents")
 _TAGS = f"{X.STEER_TAGS}|{X.EXEC_TAGS}"
-by_row("h21_residual", lambda: X.residual(T), rf"substr({STRIP.format(f'regexp_replace(regexp_replace(trace, {chr(39)}(?is)<(?:{_TAGS})>.*?</(?:{_TAGS})>{chr(39)}, {chr(39)}{chr(39)}, {chr(39)}g{chr(39)}), {chr(39)}(?i)</?(?:{_TAGS})>{chr(39)}, {chr(39)}{chr(39)}, {chr(39)}g{chr(39)})')}, 1, 220)")
-by_row("h22_without_tags", lambda: X.without_tags(T), SQUEEZE.format(r"regexp_replace(trace, '(?i)</?(?:think|steer|exec)\b[^>]*>', ' ', 'g')"))
-by_row("h23_after_think", lambda: X.cleaned_generation(T, "after_think"), STRIP.format(r"regexp_replace(trace, '(?s)^.*</think>', '')"))
+by_row("h21_residual", lambda: X.residual(F.col("trace")), rf"substr({STRIP.format(f'regexp_replace(regexp_replace(trace, {chr(39)}(?is)<(?:{_TAGS})>.*?</(?:{_TAGS})>{chr(39)}, {chr(39)}{chr(39)}, {chr(39)}g{chr(39)}), {chr(39)}(?i)</?(?:{_TAGS})>{chr(39)}, {chr(39)}{chr(39)}, {chr(39)}g{chr(39)})')}, 1, 220)")
+by_row("h22_without_tags", lambda: X.without_tags(F.col("trace")), SQUEEZE.format(r"regexp_replace(trace, '(?i)</?(?:think|steer|exec)\b[^>]*>', ' ', 'g')"))
+by_row("h23_after_think", lambda: X.cleaned_generation(F.col("trace"), "after_think"), STRIP.format(r"regexp_replace(trace, '(?s)^.*</think>', '')"))
 by_row("h24_without_steer_suffix", lambda: X.without_steer_suffix(F.concat(F.lit(" <steer a>"), F.col("text"), F.lit("</ste "))), STRIP.format("text"), "candidates", "doc_id")
-by_row("h25_normal_block", lambda: X.normal_block(T), f"lower({SQUEEZE.format('trace')})")
-by_row("h28_first_stop", lambda: X.first_stop(T), r"regexp_extract(trace, '(?s)^(.*?)(?:</steer>|</think>|$)', 1)")
-by_row("h29_before_think_end", lambda: X.around_think_end(T)["before"], "string_split(trace, '</think>')[1]")
-by_row("h29_after_think_end", lambda: X.around_think_end(T)["after"], "case when contains(trace, '</think>') then substr(trace, strpos(trace, '</think>') + 8) else '' end")
+by_row("h25_normal_block", lambda: X.normal_block(F.col("trace")), f"lower({SQUEEZE.format('trace')})")
+by_row("h28_first_stop", lambda: X.first_stop(F.col("trace")), r"regexp_extract(trace, '(?s)^(.*?)(?:</steer>|</think>|$)', 1)")
+by_row("h29_before_think_end", lambda: X.around_think_end(F.col("trace"))["before"], "string_split(trace, '</think>')[1]")
+by_row("h29_after_think_end", lambda: X.around_think_end(F.col("trace"))["after"], "case when contains(trace, '</think>') then substr(trace, strpos(trace, '</think>') + 8) else '' end")
 by_row("h30_numbered_options", lambda: listed(F.transform(X.numbered_options(F.concat(F.lit("1. a  b\n 12. "), F.col("lang"), F.lit("\nmore"))), lambda o: F.concat(o["number"].cast("string"), F.lit("="), o["text"]))), "concat('1=a b|12=', lang, ' more')")
 by_row("h31_capitalized", lambda: X.capitalized(F.concat(F.lit("  "), F.col("lang"))), "concat('  ', upper(lang[1]), lang[2:])")
-by_row("h32_rendered", lambda: X.rendered(X.index_pairs(T)), f"coalesce(array_to_string(list_transform(range(1, {_N} + 1), lambda i: concat('<steer>', a[i], '</steer>\n<exec>', b[i], '</exec>')), '\n'), '')", pre=_PAIRS)
+by_row("h32_rendered", lambda: X.rendered(X.index_pairs(F.col("trace"))), f"coalesce(array_to_string(list_transform(range(1, {_N} + 1), lambda i: concat('<steer>', a[i], '</steer>\n<exec>', b[i], '</exec>')), '\n'), '')", pre=_PAIRS)
 P.query("h33_steer_ranges", f"""with p as (select *, unnest(range(1, {_N} + 1)) as i from (select doc_id, {_PAIRS} from {{traces}})),
   r as (select doc_id, i, length(a[i]) as la, 7 + coalesce(sum(length(a[i]) + length(b[i]) + 30) over (partition by doc_id order by i rows between unbounded preceding and 1 preceding), 0) as s from p)
   select doc_id, coalesce(value, '') as value from (select doc_id from {{traces}}) left join (select doc_id, string_agg(concat(s::int, '-', (s + la)::int), '|' order by i) as value from r group by 1) using (doc_id)""")(
-    lambda t: t("traces").select("doc_id", listed(F.transform(X.steer_ranges(X.index_pairs(T)), lambda r: F.concat(r["start"].cast("string"), F.lit("-"), r["end"].cast("string")))).alias("value"))
+    lambda t: t("traces").select("doc_id", listed(F.transform(X.steer_ranges(X.index_pairs(F.col("trace"))), lambda r: F.concat(r["start"].cast("string"), F.lit("-"), r["end"].cast("string")))).alias("value"))
 )
-by_row("h34_word_count", lambda: X.word_count(T, "the"), r"len(regexp_extract_all(trace, '(?i)\bthe\b'))::int")
-by_row("h35_last_exec_words", lambda: X.last_exec_words(T), r"len(regexp_extract_all(regexp_extract_all(trace, '(?is)<exec>(.*?)</exec>', 1)[-1], '\S+'))::int")
+by_row("h34_word_count", lambda: X.word_count(F.col("trace"), "the"), r"len(regexp_extract_all(trace, '(?i)\bthe\b'))::int")
+by_row("h35_last_exec_words", lambda: X.last_exec_words(F.col("trace")), r"len(regexp_extract_all(regexp_extract_all(trace, '(?is)<exec>(.*?)</exec>', 1)[-1], '\S+'))::int")
 by_row("h38_token_bucket", lambda: X.token_bucket(F.col("n_chars")), "case when n_chars > 1024 then 'over_1024' when n_chars > 512 then 'over_512' else 'unchanged' end")
 P.query("h39_transcript", "select conv_id, string_agg(concat(role, ': ', text), '\n' order by turn) as value from {conversations} group by 1")(
     lambda t: t("conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", F.col("text").alias("content")))).alias("m")).select("conv_id", X.transcript(F.col("m")).alias("value"))
@@ -112,7 +111,7 @@ by_row("h44_snake", lambda: X.snake(F.concat(F.lit("--My  "), F.col("source"), F
 _SQ = SQUEEZE.format("text")
 by_row("h45_preview", lambda: X.preview(F.col("text"), 60), f"case when length({_SQ}) > 60 then concat({_SQ}[1:57], '...') else {_SQ} end", "documents")
 by_row("h46_tail_words", lambda: X.tail_words(F.col("text"), 5), r"array_to_string(regexp_extract_all(text, '\S+')[-5:], ' ')", "documents")
-by_row("h47_sections", lambda: listed(F.transform(X.sections(X.segments(T)), lambda s: F.concat(s["title"], F.lit("=>"), s["text"]))), None)
+by_row("h47_sections", lambda: listed(F.transform(X.sections(X.segments(F.col("trace"))), lambda s: F.concat(s["title"], F.lit("=>"), s["text"]))), None)
 by_row("h48_wrapper_variants", lambda: listed(X.wrapper_variants(F.concat(F.lit("\\boxed{\\text{"), F.col("lang"), F.lit("}}")))), r"concat('\boxed{{\text{{', lang, '}}}}|\text{{', lang, '}}|', lang)")
 by_row("h50_stats_line", lambda: X.stats_line(F.concat(F.when(F.col("doc_id") % 3 > 0, "Avg prompt throughput: ").otherwise(""), F.col("n_chars").cast("string"), F.lit(".5 tokens/s, Running: 3 reqs")))["prompt_tps"], "case when doc_id % 3 > 0 then n_chars + 0.5 end::double")
 
