@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,12 +25,18 @@ def of_classes(df: DataFrame, cls: Column, classes: list[str], position: str) ->
 
 
 def numbered(df: DataFrame, position: str, into: str = "index", ranges: int = 64) -> DataFrame:
-    """Numbers rows from 0 in order of a numeric column without a global sort in one task: ranges are counted, then numbered inside."""
-    spread = df.repartitionByRange(ranges, position).withColumn("__part", F.spark_partition_id())
+    """Numbers rows from 0 in order of a numeric column without a global sort in one task.
+
+    The column is cut at approximate quantiles that are fixed before, so a row's range never depends on how a job runs; ranges
+    are counted, and rows numbered inside them. Rows without a position come first.
+    """
+    cuts = df.agg(F.percentile_approx(position, [i / ranges for i in range(1, ranges)], 10_000).alias("c")).first()["c"] or []
+    part = F.size(F.filter(F.array(*[F.lit(c) for c in sorted(set(cuts))]), lambda c: c <= F.col(position))) if cuts else F.lit(0)
+    spread = df.withColumn("__part", F.when(F.col(position).isNull(), -1).otherwise(part))
     counted = spread.groupBy("__part").agg(F.count("*").alias("__n"))
     before = counted.withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__n")
-    w = Window.partitionBy("__part").orderBy(position)
-    return spread.withColumn("__own", F.row_number().over(w)).join(F.broadcast(before), "__part").withColumn(into, F.col("__before") + F.col("__own") - 1).drop("__part", "__own", "__before")
+    own = F.row_number().over(Window.partitionBy("__part").orderBy(position))
+    return spread.withColumn("__own", own).join(F.broadcast(before), "__part").withColumn(into, F.col("__before") + F.col("__own") - 1).drop("__part", "__own", "__before")
 
 
 def skip_reason(*rules: tuple[Column, str]) -> Column:
@@ -112,7 +116,8 @@ def balanced(df: DataFrame, source: str, key: str, target: int, seed: int) -> Da
     shares = allocate({r[source]: r["n"] for r in df.groupBy(source).agg(F.count("*").alias("n")).collect()}, target)
     share = spark.createDataFrame(list(shares.items()), f"{source} string, __share long")
     w = Window.partitionBy(source).orderBy(hash_order(seed, F.col(key)), key)
-    return df.withColumn("__rank", F.row_number().over(w)).join(F.broadcast(share), source).filter("__rank <= __share").drop("__rank", "__share")
+    most = max(shares.values(), default=0)  # a fixed limit, so that each task keeps its first rows of a source before the shuffle
+    return df.withColumn("__rank", F.row_number().over(w)).filter(F.col("__rank") <= most).join(F.broadcast(share), source).filter("__rank <= __share").drop("__rank", "__share")
 
 
 def fraction_per_bucket(df: DataFrame, bucket: str, key: str, fraction: float, seed: int) -> DataFrame:
@@ -152,7 +157,8 @@ def proportional(df: DataFrame, label: str, key: str, size: int, seed: int) -> D
             share[s] += step
     shares = df.sparkSession.createDataFrame(list(share.items()), df.select(label).schema.add("__share", "long"))
     w = Window.partitionBy(label).orderBy(hash_order(seed, F.col(key)), key)
-    return df.withColumn("__rank", F.row_number().over(w)).join(F.broadcast(shares), label).filter("__rank <= __share").drop("__rank", "__share")
+    most = max(share.values(), default=0)
+    return df.withColumn("__rank", F.row_number().over(w)).filter(F.col("__rank") <= most).join(F.broadcast(shares), label).filter("__rank <= __share").drop("__rank", "__share")
 
 
 def shortlist_size(n: Column, k: int) -> Column:
@@ -182,7 +188,7 @@ def first_of_each(df: DataFrame, key: str, order: list[str]) -> DataFrame:
 
 
 def text_counts(df: DataFrame, text: str) -> DataFrame:
-    """Distinct texts with their counts, numbered from 1 by count, then text."""
+    """Distinct texts with their counts, numbered from 1 by count, then text; the texts of one clustering call, a bounded set."""
     counted = df.groupBy(text).agg(F.count("*").alias("n"))
     return counted.withColumn("item_id", F.row_number().over(Window.orderBy(F.desc("n"), text)))
 
@@ -213,7 +219,3 @@ def windows_of_text(df: DataFrame, text: str, word: str, low: int, high: int) ->
     at = F.transform(F.sequence(F.lit(1), F.size(pieces) - 1), lambda i: F.length(F.array_join(F.slice(pieces, F.lit(1), i), word)))
     places = F.when(F.size(pieces) > 1, at).otherwise(F.array().cast("array<int>"))
     return df.select("*", F.explode(F.filter(places, lambda p: p.between(low, high))).alias("place"))
-
-
-def buckets_needed(rows: int, per: int) -> int:
-    return max(1, math.ceil(rows / per))

@@ -128,7 +128,7 @@ def rollout_summary(df: DataFrame, prompt: str, cluster: str, depth: str, select
 
 
 def group_sizes(df: DataFrame, order: str, uid: str, size: int) -> DataFrame:
-    """Runs of consecutive equal uids that have another size than expected."""
+    """Runs of consecutive equal uids that have another size than expected; df is one training batch, a bounded set."""
     w = Window.orderBy(order)
     run = F.sum(F.when(F.lag(uid).over(w) == F.col(uid), 0).otherwise(1)).over(w)
     return df.withColumn("run", run).groupBy("run", uid).agg(F.count("*").alias("n")).filter(F.col("n") != size)
