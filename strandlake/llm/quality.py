@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strandlake.llm import common
-from strandlake.llm.toxicity import labelled
+from strandlake.llm.fitting import labelled, trained
 from strandlake.llm.words import Words, not_space
 
 #: Labelled rows of each class that are learned from, at most.
@@ -142,7 +142,7 @@ def train(texts: pa.Array, y: np.ndarray, weight: np.ndarray, width: int = 16, g
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    return train(*labelled(docs, labels, "quality", HELD_OUT, sample))
+    return trained(labelled(docs, labels, "quality", HELD_OUT, sample), train)
 
 
 def score(df: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:

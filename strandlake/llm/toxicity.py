@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from strandlake.llm import common
 from strandlake.llm.boosting import Trees, boost, isotonic
+from strandlake.llm.fitting import labelled, trained
 from strandlake.llm.words import HashSet, Words, letters, lower, not_space
 
 #: Labelled rows of each class that are learned from, at most.
@@ -57,13 +58,25 @@ class Sample:
     """The distinct entries of each labelled text, to learn lexicons of any subset of texts from."""
 
     def __init__(self, texts: pa.Array):
-        buf, at = common.buffers(texts)
         self.n, self.keys, self.doc, self.key = len(texts), [], [], []
-        words = Words(lower(buf, True), at, letters())
-        for n in LENGTHS:
-            keys, of = np.unique(words.prefixes(n) if n else words.hashes(), return_inverse=True)
-            pair = np.unique(words.doc * max(len(keys), 1) + of)
-            self.keys.append(keys), self.doc.append(pair // max(len(keys), 1)), self.key.append(pair % max(len(keys), 1))
+        found: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in LENGTHS]
+        for begin, end in common.slices(texts):
+            buf, at = common.buffers(texts.slice(begin, end - begin))
+            words = Words(lower(buf, True), at, letters())
+            for out, n in zip(found, LENGTHS, strict=True):
+                h = words.prefixes(n) if n else words.hashes()
+                order = np.lexsort((h, words.doc))
+                h, doc = h[order], words.doc[order]
+                new = np.ones(len(h), bool)
+                new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+                out.append(((doc[new] + begin).astype(np.int32), h[new]))
+        for out in found:
+            doc, h = (np.concatenate([x[i] for x in out]) if out else np.zeros(0, t) for i, t in ((0, np.int32), (1, np.uint64)))
+            keys, key, times = np.unique(h, return_inverse=True, return_counts=True)
+            often = times >= 3  # no rarer entry can enter a lexicon
+            use = often[key]
+            self.keys.append(keys[often]), self.doc.append(doc[use]), self.key.append((np.cumsum(often) - 1)[key[use]].astype(np.int32))
+            out.clear()
 
     def lexicon(self, y: np.ndarray, rows: np.ndarray) -> Lexicon:
         out, n1, n0 = Lexicon(), max(1, int(y[rows].sum())), max(1, int((1 - y[rows]).sum()))
@@ -192,36 +205,11 @@ def hash_of(text: str | None) -> int:
     return zlib.crc32((text or "").encode())
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str, held_out: str, sample: int) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-    """Up to `sample` labelled texts of each class, in the order of a hash of their id, with weights that restore the classes' sizes.
-
-    held_out: SQL condition on doc_id for rows that must not be learned from. Rows without an id or a label of 0 or 1 are left
-    out; an id that is labelled twice counts once, with its larger label. Only a bounded sample reaches the driver, and the
-    side that is broadcast holds its ids.
-    """
-    marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).filter(f"doc_id is not null and y in (0, 1) and not ({held_out})").groupBy("doc_id").agg(F.max("y").alias("y"))
-    ids = None
-    for y in (0, 1):
-        part = marked.filter(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-        ids = part if ids is None else ids.unionByName(part)
-    ids = ids.toArrow().to_pylist()
-    spark = docs.sparkSession
-    if not ids:
-        return pa.array([], pa.string()), np.zeros(0), np.zeros(0)
-    size = {r["y"]: r["n"] for r in marked.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    chosen = spark.createDataFrame([(r["doc_id"], r["y"]) for r in ids], "doc_id long, y int")
-    got = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.max("y").alias("y"), F.max(F.coalesce("text", F.lit(""))).alias("text")).toArrow().sort_by("doc_id")
-    y = got.column("y").to_numpy().astype(float)
-    weight = np.where(y == 1, size.get(1, 0) / max(1, (y == 1).sum()), size.get(0, 0) / max(1, (y == 0).sum()))
-    texts = got.column("text").combine_chunks()
-    return texts, y, weight / max(weight.mean(), 1e-9) if len(weight) else weight
-
-
 HELD_OUT = "crc32(cast(cast(doc_id as string) as binary)) % 4 = 2"
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    return train(*labelled(docs, labels, "toxic", HELD_OUT, sample))
+    return trained(labelled(docs, labels, "toxic", HELD_OUT, sample), train)
 
 
 def score(df: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:
