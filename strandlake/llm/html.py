@@ -35,6 +35,7 @@ BAD = set(
     "share sharing social related recommended recommendations outbrain taboola comment comments commentlist disqus respond reply replies discussion "
     "form search searchbox skip hidden".split()
 )
+BAD_PARTS = re.compile("sidebar|navbar|advert|cookie|newsletter|breadcrumb|sponsor|footer|comment(?!ar)|disqus|masthead")
 GOOD = set("article articlebody body content contents entry main maincontent hentry post story text blog".split())
 #: What an opened block closes: an open element of one of these, up to the nearest of the scope.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"tbody", "thead", "tfoot", "tr", "td", "th"}}
@@ -55,6 +56,7 @@ class Tree:
     weight: list[int] = field(default_factory=list)
     dropped: list[bool] = field(default_factory=list)
     link: list[bool] = field(default_factory=list)
+    attributes: list[str] = field(default_factory=list)
     pieces: list[tuple[int, int, str]] = field(default_factory=list)
 
 
@@ -65,7 +67,7 @@ def judged(tag: str, attributes: str) -> tuple[int, bool]:
     got = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes)}
     words = {w.lower() for w in _PARTS.findall(unescape(f"{got.get('class', '')} {got.get('id', '')}"))}
     hidden = "hidden" in got or got.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", got.get("style", ""), re.I)
-    bad = bool(words & BAD) and tag not in ("html", "body", "article", "main") and not (words & {"article", "articlebody", "maincontent", "hentry"} and not words & {"comment", "comments", "ad", "ads", "sidebar", "nav", "footer", "related"})
+    bad = (bool(words & BAD) or any(BAD_PARTS.search(w) for w in words)) and tag not in ("html", "body", "article", "main") and not (words & {"article", "articlebody", "maincontent", "hentry"} and not words & {"comment", "comments", "ad", "ads", "sidebar", "nav", "footer", "related"})
     if hidden or bad or got.get("role", "").lower() in DROPPED_ROLES:
         return -25, True
     main = got.get("role", "").lower() in ("main", "article") or "articlebody" in got.get("itemprop", "").lower()
@@ -79,8 +81,8 @@ def parse(page: str) -> Tree:
         nonlocal line
         up = stack[-1] if stack else -1
         points, out = judged(tag, attributes)
-        t.tag.append(tag), t.parent.append(up), t.end.append(-1), t.weight.append(points)
-        t.dropped.append((up >= 0 and t.dropped[up]) or tag in DROPPED or out)
+        t.tag.append(tag), t.parent.append(up), t.end.append(-1), t.weight.append(points), t.attributes.append(attributes)
+        t.dropped.append(tag in DROPPED or out)
         t.link.append(tag == "a" or (up >= 0 and t.link[up]))
         stack.append(len(t.tag) - 1)
         line += tag in BLOCKS
@@ -153,7 +155,7 @@ def extract(page: str | None) -> str:
         return ""
     t = parse(page)
     n = len(t.tag)
-    headers(t)
+    settle(t)
     size, linked, commas, links = [0] * n, [0] * n, [0] * n, [0] * n
     for i, _, text in t.pieces:
         if not t.dropped[i]:
@@ -201,7 +203,7 @@ def extract(page: str | None) -> str:
         up = t.parent[up]
     ranges = [(best, t.end[best])]
     if t.tag[best] not in ("article", "main", "body", "html"):
-        ranges = siblings(t, best, total, said, size, linked)
+        ranges = siblings(t, best, total, said, size, linked, links)
     out: list[str] = []
     last, parts = -1, []
     skip = menus(t, size, linked, links, own)
@@ -216,36 +218,37 @@ def extract(page: str | None) -> str:
     return "\n".join(x for x in (" ".join(unescape(b).split()) for b in out) if x)
 
 
-def headers(t: Tree) -> None:
-    """Leaves out headers, but for one of an article that holds its first-level title."""
-    titled = set()
+def settle(t: Tree) -> None:
+    """Keeps a header of an article that holds its first-level title, and a form that wraps an article or a page's title; leaves
+    out what is inside left-out elements."""
+    holds: set[int] = set()  # elements with a title or an article inside
     for i, tag in enumerate(t.tag):
-        if tag == "h1":
-            up = t.parent[i]
-            while up >= 0 and t.tag[up] != "header":
-                up = t.parent[up]
-            if up >= 0:
-                titled.add(up)
+        up = t.parent[i] if tag in ("h1", "article", "main") else -1
+        while up >= 0 and up not in holds:
+            holds.add(up)
+            up = t.parent[up]
+    inside = [False] * len(t.tag)
     for i, tag in enumerate(t.tag):
         p = t.parent[i]
-        if tag == "header" and not t.dropped[i]:
-            up = p
-            while up >= 0 and t.tag[up] not in ("article", "main"):
-                up = t.parent[up]
-            t.dropped[i] = up < 0 or i not in titled
-        elif p >= 0 and t.dropped[p]:
-            t.dropped[i] = True
+        inside[i] = tag in ("article", "main") or (p >= 0 and inside[p])
+        if tag == "header":
+            t.dropped[i] |= not (i in holds and p >= 0 and inside[p])
+        elif tag == "form" and i in holds:
+            t.dropped[i] = False
+        t.dropped[i] |= p >= 0 and t.dropped[p]
 
 
-def siblings(t: Tree, best: int, total: list[float], said: list[int], size: list[int], linked: list[int]) -> list[tuple[int, int]]:
-    """The best container, and those children of its parent that score a fifth of it, or are titles or paragraphs of text."""
+def siblings(t: Tree, best: int, total: list[float], said: list[int], size: list[int], linked: list[int], links: list[int]) -> list[tuple[int, int]]:
+    """The best container, and those children of its parent that are like it (a fifth of its points, and marked like it or
+    without links), are paragraphs, or are titles."""
     out, up = [], t.parent[best]
     i = up + 1 if up >= 0 else best
     end = t.end[up] if up >= 0 else t.end[best]
     while i < end:
         density = linked[i] / max(1, size[i])
-        like = total[i] >= max(10.0, total[best] / 5) and density < 0.5
-        prose = t.tag[i] in ("p", "blockquote", "pre") and (size[i] > 80 and density < 0.25 or 0 < size[i] <= 80 and not linked[i])
+        like = total[i] >= max(10.0, total[best] / 5) and density < 0.5 and (not links[i] or t.attributes[i] == t.attributes[best] != "")
+        leaf = said[i] == size[i] > 0 and t.tag[i] in BLOCKS
+        prose = leaf and (size[i] > 80 and density < 0.25 or not linked[i] and (t.tag[i] in ("p", "blockquote", "pre") or said[i] > 15 and t.tag[best] == t.tag[i] and t.attributes[i] == t.attributes[best]))
         title = t.tag[i] in ("h1", "h2", "h3") and not linked[i]
         if i == best or not t.dropped[i] and (like or prose or title):
             out.append((i, t.end[i]))
