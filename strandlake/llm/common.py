@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -33,7 +34,7 @@ def shared_dir(spark: SparkSession) -> str:
 def stored(df: DataFrame) -> DataFrame:
     """df, written to the shared folder and read again: lineage ends here, and no lost executor takes it along."""
     path = shared_dir(df.sparkSession)
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", 16 << 20).parquet(path)  # what a writer holds in memory
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -68,11 +69,22 @@ def slices(texts: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int
         begin = end
 
 
+def trim() -> None:
+    """Gives freed memory back to the system: a worker outlives its task, and idle ones count in the executor's memory."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # a C library without it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def map_text(df: DataFrame, make: Callable[[], Callable[[pa.Array], list]], fields: list[T.StructField], text: str = "text", keep: list[str] | None = None, limit: int = CHUNK_BYTES) -> DataFrame:
     """Adds columns that a function computes from a text column.
 
     make() runs once in each task and returns the function; that takes a string array and returns one array or list for each
-    of `fields`. Of df's columns those in `keep` stay (None: all); a computed column replaces one of its name. Rows are never
+    of `fields`. If it has an attribute close, that is called at the task's end. Of df's columns those in `keep` stay (None: all); a computed column replaces one of its name. Rows are never
     gathered: batches pass one by one, in slices of `limit` bytes.
     """
     new = {f.name for f in fields}
@@ -86,12 +98,16 @@ def map_text(df: DataFrame, make: Callable[[], Callable[[pa.Array], list]], fiel
         from pyspark.sql.pandas.types import to_arrow_type
 
         types, fn = [to_arrow_type(k) for k in kinds], make()
-        for batch in batches:
-            texts = batch.column(len(kept))
-            for begin, end in slices(texts, limit):
-                part = batch.slice(begin, end - begin)
-                got = fn(texts.slice(begin, end - begin))
-                yield pa.RecordBatch.from_arrays(part.columns[: len(kept)] + [x.cast(t) if isinstance(x, pa.Array) else pa.array(x, t) for x, t in zip(got, types, strict=True)], names)
+        try:
+            for batch in batches:
+                texts = batch.column(len(kept))
+                for begin, end in slices(texts, limit):
+                    part = batch.slice(begin, end - begin)
+                    got = fn(texts.slice(begin, end - begin))
+                    yield pa.RecordBatch.from_arrays(part.columns[: len(kept)] + [x.cast(t) if isinstance(x, pa.Array) else pa.array(x, t) for x, t in zip(got, types, strict=True)], names)
+        finally:
+            getattr(fn, "close", lambda: None)()
+            trim()
 
     out = source.mapInArrow(run, T.StructType(inner))
     return out.select(*[F.col(n).alias(c) for n, c in zip(names, [*kept, *(f.name for f in fields)], strict=True)])

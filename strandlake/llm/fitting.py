@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandlake.llm import common
+
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, held_out: str, sample: int) -> DataFrame:
     """(doc_id, y, text, size): up to `sample` labelled texts of each class, in the order of a hash of their id.
@@ -38,7 +40,11 @@ def trained(rows: DataFrame, train: Callable[[pa.Array, np.ndarray, np.ndarray],
             t = pa.Table.from_batches(got).sort_by("doc_id")
             y, size = t.column("y").to_numpy().astype(float), t.column("size").to_numpy().astype(float)
             weight = size / np.where(y == 1, max(1.0, (y == 1).sum()), max(1.0, (y == 0).sum()))
-            model = train(t.column("text").combine_chunks(), y, weight / weight.mean())
+            texts = t.column("text").combine_chunks()
+            del got, t
+            model = train(texts, y, weight / weight.mean())
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
+        common.trim()
 
-    return pickle.loads(rows.repartition(1).mapInArrow(run, "model binary").first()["model"])
+    got = rows.repartition(1).mapInArrow(run, "model binary").first()
+    return pickle.loads(got["model"]) if got else train(pa.array([], pa.string()), np.zeros(0), np.zeros(0))  # no rows, no task

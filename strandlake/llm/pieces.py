@@ -24,8 +24,8 @@ from strandlake.llm import common
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
 MARK_BYTES = MARK.encode()
-#: Words that a worker remembers, and the longest that it does.
-REMEMBERED, LONGEST = 300_000, 48
+#: Words that a task remembers in a generation, and the longest that it does.
+REMEMBERED, LONGEST = 150_000, 48
 
 
 class CharMap:
@@ -159,6 +159,9 @@ class Codec:
             self.young, self.old = {}, young
         return out
 
+    def forget(self) -> None:
+        self.young, self.old = {}, {}
+
     def encode(self, texts: list[str]) -> list[list[int]]:
         return [x.tolist() for x in self.arrays(texts)]
 
@@ -246,6 +249,7 @@ def encoded(df: DataFrame, path: str | None = None, text: str = "text", keep: li
             begins, ends = begins.astype(np.int32), ends.astype(np.int32)
             return [[x.tolist() for x in ids], np.split(begins, cut), np.split(ends, cut), c.decode([x.tolist() for x in ids])]
 
+        fn.close = c.forget
         return fn
 
     ints = T.ArrayType(T.IntegerType())
@@ -268,6 +272,7 @@ def digests(df: DataFrame, path: str | None = None, text: str = "text", keep: li
             ids = [x.tolist() for x in arrays]
             return [[len(x) for x in ids], [sha(",".join([name[i] for i in x])) for x in ids], [sha(t) for t in c.decode(ids)], total[at[1:]] - total[at[:-1]]]
 
+        fn.close = c.forget
         return fn
 
     fields = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType()), T.StructField("covered_bytes", T.LongType())]

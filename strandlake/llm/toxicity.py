@@ -59,24 +59,22 @@ class Sample:
 
     def __init__(self, texts: pa.Array):
         self.n, self.keys, self.doc, self.key = len(texts), [], [], []
-        found: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in LENGTHS]
-        for begin, end in common.slices(texts):
-            buf, at = common.buffers(texts.slice(begin, end - begin))
-            words = Words(lower(buf, True), at, letters())
-            for out, n in zip(found, LENGTHS, strict=True):
+        for n in LENGTHS:  # one length at a time: the entries of all at once would be six times the memory
+            docs, hashes = [np.zeros(0, np.int32)], [np.zeros(0, np.uint64)]
+            for begin, end in common.slices(texts):
+                buf, at = common.buffers(texts.slice(begin, end - begin))
+                words = Words(lower(buf, True), at, letters())
                 h = words.prefixes(n) if n else words.hashes()
                 order = np.lexsort((h, words.doc))
                 h, doc = h[order], words.doc[order]
                 new = np.ones(len(h), bool)
                 new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
-                out.append(((doc[new] + begin).astype(np.int32), h[new]))
-        for out in found:
-            doc, h = (np.concatenate([x[i] for x in out]) if out else np.zeros(0, t) for i, t in ((0, np.int32), (1, np.uint64)))
+                docs.append((doc[new] + begin).astype(np.int32)), hashes.append(h[new])
+            doc, h = np.concatenate(docs), np.concatenate(hashes)
             keys, key, times = np.unique(h, return_inverse=True, return_counts=True)
             often = times >= 3  # no rarer entry can enter a lexicon
             use = often[key]
             self.keys.append(keys[often]), self.doc.append(doc[use]), self.key.append((np.cumsum(often) - 1)[key[use]].astype(np.int32))
-            out.clear()
 
     def lexicon(self, y: np.ndarray, rows: np.ndarray) -> Lexicon:
         out, n1, n0 = Lexicon(), max(1, int(y[rows].sum())), max(1, int((1 - y[rows]).sum()))
