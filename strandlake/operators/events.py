@@ -42,8 +42,14 @@ def attempt_lifecycle(log: DataFrame) -> DataFrame:
 
 
 def pivot_metrics(metrics: DataFrame, names: list[str] = METRICS) -> DataFrame:
-    """One row for each leaf, one text column for each metric."""
-    return metrics.groupBy("leaf_event_index").pivot("metric_name", names).agg(F.max("metric_text"))
+    """One row for each leaf, one text column for each metric. One pass; columns that nobody reads are pruned."""
+    return metrics.groupBy("leaf_event_index").agg(*[F.max(F.when(F.col("metric_name") == n, F.col("metric_text"))).alias(n) for n in names])
+
+
+def with_answer(leaves: DataFrame, metrics: DataFrame) -> DataFrame:
+    """Leaves with right_answer: whether their metric raw_answer_acc is true, null without one. Booleans aggregate without a sort."""
+    own = metrics.filter("metric_name = 'raw_answer_acc' and metric_text is not null").groupBy(F.col("leaf_event_index").alias("event_index")).agg(F.max(truthy(F.col("metric_text"))).alias("right_answer"))
+    return leaves.join(own, "event_index", "left")
 
 
 def leaf_rows(leaves: DataFrame, metrics: DataFrame) -> DataFrame:
@@ -53,14 +59,14 @@ def leaf_rows(leaves: DataFrame, metrics: DataFrame) -> DataFrame:
 
 def leaf_summary(leaves: DataFrame, metrics: DataFrame) -> DataFrame:
     """Correct, incorrect, answers, stop buckets, mean length and distinct previews of each attempt."""
-    right = F.col("raw_answer_acc")
+    right = F.col("right_answer")
     stop = F.col("stop_reason")
-    return leaf_rows(leaves, metrics).groupBy(*ATTEMPT).agg(
+    return with_answer(leaves, metrics).groupBy(*ATTEMPT).agg(
         F.count("*").alias("leaf_count"),
         F.count_if(F.col("verification") == 1).alias("correct_count"),
         F.count_if(F.col("verification") == 0).alias("incorrect_count"),
         F.count(right).alias("answer_count"),
-        F.count_if(truthy(right)).alias("answer_correct_count"),
+        F.count_if(right).alias("answer_correct_count"),
         F.count_if(stop.isin(NATURAL)).alias("natural_count"),
         F.count_if(stop.isin("max_gen_toks_reached", "post_think_toks_reached", "max_context_length_reached")).alias("max_length_count"),
         F.count_if(stop == "repeated_exec_block_loop").alias("repeating_count"),
@@ -129,11 +135,10 @@ def preferred_by_tuple(summary: DataFrame, per: list[str]) -> DataFrame:
 
 def selected_doc_pass_rate(leaves: DataFrame, metrics: DataFrame) -> DataFrame:
     """The preferred attempt of each document and selector, and the mean of its answer accuracy by selector."""
-    rows = leaf_rows(leaves, metrics)
-    own = rows.groupBy(*ATTEMPT).agg(
+    own = with_answer(leaves, metrics).groupBy(*ATTEMPT).agg(
         F.count("*").alias("leaf_count"),
-        F.count("raw_answer_acc").alias("answer_count"),
-        F.count_if(truthy(F.col("raw_answer_acc"))).alias("answer_correct"),
+        F.count("right_answer").alias("answer_count"),
+        F.count_if("right_answer").alias("answer_correct"),
         F.count_if(F.col("verification") == 1).alias("correct"),
         F.count_if(F.col("stop_reason") == "think_end").alias("finished_count"),
         F.max("event_index").alias("last_event_index"),

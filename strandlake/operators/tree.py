@@ -1,14 +1,17 @@
 """Rollout trees: paths, depths, recursive values, variances at branch points, advantages.
 
-A tree (one document's, one prompt's) is walked in one Arrow group: its size is bounded by the rollout budget, one shuffle brings
-its rows together, and depth costs no further job. All else is windows and aggregates.
+A tree (one document's, one prompt's) is walked at once: its size is bounded by the rollout budget, one shuffle brings its rows
+together, and depth costs no further job. All else is windows and aggregates.
 """
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 ALPHA, EPSILON = 0.5, 1e-6
 
@@ -37,14 +40,19 @@ def ordered_nodes(parent: dict) -> list:
 
 def walked(nodes: DataFrame, tree: str, value: str) -> DataFrame:
     """For each node its depth, path from the root, first branch, sum of values along the path, and recursive
-    value (a leaf's own; an inner node's mean of its children). Of rows that repeat a node the last by value counts."""
-    kind = dict(nodes.dtypes)[tree]
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["node_id", value]).drop_duplicates("node_id", keep="last")
-        parent = {int(n): None if pd.isna(p) else int(p) for n, p in zip(pdf.node_id, pdf.parent_node_id)}
-        own = dict(zip(parent, pdf[value].astype(float)))
-        path, total, children = {}, {}, {}
+    value (a leaf's own; an inner node's mean of its children). Of rows that repeat a node the last by value counts; rows without
+    a node id are no nodes.
+
+    Trees come sorted, one after another, so that one Arrow batch holds many of them.
+    """
+    kind = nodes.select(tree).schema[0].dataType
+    long, double = T.LongType(), T.DoubleType()
+    schema = T.StructType([T.StructField(n, k) for n, k in ((tree, kind), ("node_id", long), ("parent_node_id", long), ("depth", T.IntegerType()), ("path", T.ArrayType(long)), ("branch", long), ("path_sum", double), ("is_leaf", T.BooleanType()), ("node_value", double))])
+
+    def rows_of(key: object, rows: list[tuple]) -> list[tuple]:
+        parent = {n: p for n, p, _ in rows}
+        own = {n: v or 0.0 for n, _, v in rows}
+        path, total, children, worth = {}, {}, {}, {}
         order = ordered_nodes(parent)
         for n in order:
             up = parent[n]
@@ -52,14 +60,31 @@ def walked(nodes: DataFrame, tree: str, value: str) -> DataFrame:
             total[n] = own[n] + (0.0 if up is None else total[up])
             if up is not None:
                 children.setdefault(up, []).append(n)
-        worth = {}
         for n in reversed(order):
             worth[n] = sum(worth[c] for c in sorted(children[n])) / len(children[n]) if n in children else own[n]
-        return pd.DataFrame({tree: pdf[tree].iloc[0], "node_id": order, "parent_node_id": pd.array([parent[n] for n in order], "Int64"), "depth": [len(path[n]) - 1 for n in order], "path": [path[n] for n in order], "branch": pd.array([path[n][1] if len(path[n]) > 1 else None for n in order], "Int64"), "path_sum": [total[n] for n in order], "is_leaf": [n not in children for n in order], "node_value": [worth[n] for n in order]})
-
-    schema = f"{tree} {kind}, node_id long, parent_node_id long, depth int, path array<long>, branch long, path_sum double, is_leaf boolean, node_value double"
-    picked = nodes.select(tree, F.col("node_id").cast("long").alias("node_id"), F.col("parent_node_id").cast("long").alias("parent_node_id"), F.col(value).cast("double").alias(value))
-    return picked.groupBy(tree).applyInPandas(walk, schema)
+        return [(key, n, parent[n], len(path[n]) - 1, path[n], path[n][1] if len(path[n]) > 1 else None, total[n], n not in children, worth[n]) for n in order]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_type
+
+        types = [to_arrow_type(f.dataType) for f in schema]
+        as_batch = lambda rows: pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows), types)], schema.names)
+        key, held, out = None, [], []
+        for batch in batches:
+            for k, *row in zip(*(c.to_pylist() for c in batch.columns)):
+                if held and k != key:
+                    out += rows_of(key, held)
+                    held = []
+                key = k
+                held.append(tuple(row))
+            if out:
+                yield as_batch(out)
+                out = []
+        if held:
+            yield as_batch(rows_of(key, held))
+
+    picked = nodes.select(tree, F.col("node_id").cast("long").alias("node_id"), F.col("parent_node_id").cast("long").alias("parent_node_id"), F.col(value).cast("double").alias("value")).filter("node_id is not null")
+    return picked.repartition(tree).sortWithinPartitions(tree, "node_id", "value").mapInArrow(run, schema)
 
 
 def edge_paths(tree: DataFrame, key: str) -> DataFrame:

@@ -51,13 +51,13 @@ def _(t):
 
 _VAR = """, b as (select doc_id, coalesce(cast(branch as varchar), 'no_branch') as branch, avg(value) as m, var_pop(value) as v, count(*) as n from t where is_leaf group by all),
   c as (select *, sum(m * n) over (partition by doc_id) / sum(n) over (partition by doc_id) as centre from b)
-  select doc_id, leaf_count, round(variance, 6) as variance, round(bp1, 6) as bp1, round(bp1_weighted, 6) as bp1_weighted, round(bp2, 6) as bp2, round(bp2_weighted, 6) as bp2_weighted from (select doc_id, count(*) as leaf_count, var_pop(value) as variance from t where is_leaf group by 1)
+  select doc_id, leaf_count, round(variance + 1e-10, 6) as variance, round(bp1 + 1e-10, 6) as bp1, round(bp1_weighted + 1e-10, 6) as bp1_weighted, round(bp2 + 1e-10, 6) as bp2, round(bp2_weighted + 1e-10, 6) as bp2_weighted from (select doc_id, count(*) as leaf_count, var_pop(value) as variance from t where is_leaf group by 1)
   join (select doc_id, var_pop(m) as bp1, sum(n * (m - centre) ** 2) / sum(n) as bp1_weighted, avg(v) as bp2, sum(v * n) / sum(n) as bp2_weighted from c group by 1) using (doc_id)"""
 
 
 @P.query("d16_branch_variance", WALK + _VAR)
 def _(t):
-    return R.branch_variance(walked(t), "doc_id", "node_value").select("doc_id", "leaf_count", *[F.round(c, 6).alias(c) for c in ("variance", "bp1", "bp1_weighted", "bp2", "bp2_weighted")])
+    return R.branch_variance(walked(t), "doc_id", "node_value").select("doc_id", "leaf_count", *[F.round(F.col(c) + 1e-10, 6).alias(c) for c in ("variance", "bp1", "bp1_weighted", "bp2", "bp2_weighted")])
 
 
 @P.query("d17_diagnostics_mean", WALK + _VAR.replace("select doc_id, leaf_count,", ", d as (select doc_id, leaf_count,", 1).replace(", d as", " , d as", 1) + ") select doc_id % 2 as mode, round(avg(variance), 5) as variance, round(avg(bp1), 5) as bp1, round(avg(bp2), 5) as bp2 from d group by 1")
