@@ -93,21 +93,27 @@ def forest(fp: np.ndarray, distance: int, size: int = 512) -> list[tuple[int, in
         return i
 
     out = []
+
+    def join(i: np.ndarray, j: np.ndarray) -> None:
+        for x, y in zip(i.tolist(), j.tolist()):
+            if (p := root(x)) != (q := root(y)):
+                parent[max(p, q)] = min(p, q)
+                out.append((x, y))
+
     for a in range(0, len(fp), size):
-        label = None
         for b in range(0, a + 1, size):
             close = np.bitwise_count(fp[a : a + size, None] ^ fp[None, b : b + size]) <= distance
-            i, j = np.nonzero(close)
-            if len(i) > 4 * size:  # a dense part: links that join nothing new are passed over at once
+            i, j = np.nonzero(np.tril(close, -1) if a == b else close)  # each unordered pair once, the larger position first
+            i, j = i + a, j + b
+            if len(i) > 4 * size:  # a dense part: after one link of each row, those that join nothing new are passed over at once
+                _, first = np.unique(i, return_index=True)
+                join(i[first], j[first])
                 label = np.array([root(x) for x in range(min(len(fp), a + size))])
-                use = label[i + a] != label[j + b]
+                use = label[i] != label[j]
                 i, j = i[use], j[use]
-                _, first = np.unique(np.minimum(label[i + a], label[j + b]) * len(fp) + np.maximum(label[i + a], label[j + b]), return_index=True)
+                _, first = np.unique(np.minimum(label[i], label[j]) * len(fp) + np.maximum(label[i], label[j]), return_index=True)
                 i, j = i[first], j[first]
-            for x, y in zip((i + a).tolist(), (j + b).tolist()):
-                if x > y and (p := root(x)) != (q := root(y)):
-                    parent[max(p, q)] = min(p, q)
-                    out.append((x, y))
+            join(i, j)
     return out
 
 
