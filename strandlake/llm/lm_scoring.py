@@ -1,9 +1,12 @@
 """Cross-entropy difference of documents under matched target and background bigram models.
 
-Both models share one vocabulary (the most frequent words of all documents; any other word is one more token), one order and one
-smoothing (Witten-Bell, over unigrams with one added). Words and bigrams are counted over all documents: tasks add up what they
-read before it is shuffled. A score is the mean over a document's tokens of background loss less target loss, in nats: positive
-where the target model expects the text better. Only counts of (VOCABULARY + 2) x (VOCABULARY + 1) pairs reach the driver.
+Both models share one vocabulary, one order and one smoothing (Witten-Bell, over unigrams with one added). A score is the mean
+over a document's tokens of background loss less target loss, in nats: positive where the target model expects the text better.
+
+corpus_scores(), which op8 runs, keeps every word and bigram of all documents. The corpus is cut into parts of bounded size. Bigrams
+are counted in each part and meet by a shuffle; a part is told the whole count of those that occur in other parts too, as it knows
+the others' itself. Statistics of words are joined to the words of each part. What a task holds is one part and what it was told;
+only three sums reach the driver. fit() and score() are for other texts: models of a vocabulary of chosen size, gathered in one place.
 """
 
 from __future__ import annotations
@@ -13,14 +16,20 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strandlake.llm import common
-from strandlake.llm.words import U, HashSet, Words, letters, lower
+from strandlake.llm.words import BASE, U, HashSet, Words, letters, lower, mixed
 
+#: Known words of a model that fit() gathers, unless told otherwise.
 VOCABULARY = 1023
+#: Bytes of text in a part of the corpus, or one text.
+PART_BYTES = 4 << 20
+#: The context of a text's first word, in place of a word's hash.
+START = U(0)
 #: Ids of the target's documents that are broadcast at most; more are joined by a shuffle.
 BROADCAST_IDS = 500_000
 #: Distinct words that a task holds before it passes them on.
@@ -168,6 +177,166 @@ def score(df: DataFrame, models: Models, text: str = "text", keep: list[str] | N
     return common.map_text(df, make, [T.StructField(k, v) for k, v in names.items()], text, keep)
 
 
+def _parted(df: DataFrame, target: str, text: str, keep: list[str]) -> DataFrame:
+    """Columns k0, k1, ... (those to keep), text, own and part, stored: a row's part must not change between readings."""
+    source = df.select(*[common.col(c).alias(f"k{i}") for i, c in enumerate(keep)], common.col(text).cast("string").alias("text"), F.coalesce(common.col(target).cast("boolean"), F.lit(False)).alias("own"))
+    names = [*source.columns, "part"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, held = TaskContext.get().partitionId() << 32, 0
+        for batch in batches:
+            texts = batch.column(len(keep))
+            for a, b in common.slices(texts):
+                size = len(common.buffers(texts.slice(a, b - a))[0])
+                if held and held + size > PART_BYTES:
+                    part, held = part + 1, 0
+                held += size
+                yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, pa.array(np.full(b - a, part))], names)
+
+    return common.stored(source.mapInArrow(run, T.StructType([*source.schema, T.StructField("part", T.LongType())])))
+
+
+def _bigrams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Context and word of every token as hashes, and which text it stands in."""
+    before, now, doc = [np.zeros(0, U)], [np.zeros(0, U)], [np.zeros(0, np.int64)]
+    for a, b in common.slices(texts):
+        words = words_of(texts.slice(a, b - a))
+        if len(words):
+            h = words.hashes()
+            context = np.concatenate([[START], h[:-1]])
+            first = words.first[:-1]
+            context[first[first < words.first[1:]]] = START
+            before.append(context), now.append(h), doc.append(words.doc + a)
+    return np.concatenate(before), np.concatenate(now), np.concatenate(doc)
+
+
+def _pair(before: np.ndarray, now: np.ndarray) -> np.ndarray:
+    return mixed(before * U(BASE) + now)
+
+
+def _by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(part, contexts, words, own) of batches of (text, own, part); a part's tokens may come in several pieces."""
+    last, held, n = -1, [], 0
+    for batch in batches:
+        texts, own, part = batch.column(0), batch.column(1).to_numpy(zero_copy_only=False).astype(bool), batch.column(2).to_numpy()
+        cut = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(part)]
+        for a, b in zip(cut, cut[1:]):
+            if a == b:
+                continue
+            if held and (part[a] != last or n > HELD):
+                yield last, *(np.concatenate(x) for x in zip(*held))
+                held, n = [], 0
+            last = int(part[a])
+            before, now, doc = _bigrams(texts.slice(a, b - a))
+            held.append((before, now, own[a:b][doc]))
+            n += len(now)
+    if held:
+        yield last, *(np.concatenate(x) for x in zip(*held))
+
+
+def _part_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for part, before, now, own in _by_part(batches):
+        k, at, of, n = np.unique(_pair(before, now), return_index=True, return_inverse=True, return_counts=True)
+        own_n = np.bincount(of, own, len(k)).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (k.view(np.int64), before[at].view(np.int64), np.full(len(k), part), n, own_n)], ["pair", "word", "part", "n", "own_n"])
+
+
+def _part_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for part, before, now, own in _by_part(batches):
+        k, of = np.unique(np.concatenate([now, before]), return_inverse=True)
+        counts = [np.bincount(x, y, len(k)).astype(np.int64) for x in (of[: len(now)], of[len(now) :]) for y in (None, own)]
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.full(len(k), part), k.view(np.int64), *counts)], ["part", "word", "n", "own_n", "followed", "own_followed"])
+
+
+def _whole_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by pair: (part, key, n, own_n), the whole counts of a pair for each of its parts if it has several; and with
+    part -1, for a context, the kinds of words that follow it in all texts and in the target's."""
+    contexts, seen, held = [], [], 0
+
+    def rows(part: np.ndarray, key: np.ndarray, n: np.ndarray, own_n: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (part, key, n, own_n)], ["part", "key", "n", "own_n"])
+
+    def merged() -> tuple[np.ndarray, np.ndarray]:
+        k, of = np.unique(np.concatenate(contexts), return_inverse=True)
+        both = np.concatenate(seen, axis=1)
+        return k, np.stack([np.bincount(of, x, len(k)).astype(np.int64) for x in both])
+
+    def whole(pair: np.ndarray, word: np.ndarray, part: np.ndarray, n: np.ndarray, own_n: np.ndarray) -> pa.RecordBatch:
+        begin = np.concatenate([[0], np.flatnonzero(pair[1:] != pair[:-1]) + 1])
+        n, own_n = np.add.reduceat(n, begin), np.add.reduceat(own_n, begin)
+        contexts.append(word[begin]), seen.append(np.stack([np.ones(len(begin), np.int64), (own_n > 0).astype(np.int64)]))
+        of = np.repeat(np.arange(len(begin)), np.diff([*begin, len(pair)]))
+        use = (np.minimum.reduceat(part, begin) != np.maximum.reduceat(part, begin))[of]
+        return rows(part[use], pair[use], n[of][use], own_n[of][use])
+
+    rest = [np.zeros(0, np.int64)] * 5
+    for batch in batches:
+        now = [np.concatenate([r, c.to_numpy()]) for r, c in zip(rest, batch.columns, strict=True)]
+        last = int(np.searchsorted(now[0], now[0][-1])) if len(now[0]) else 0
+        rest = [x[last:] for x in now]
+        if last:
+            yield whole(*(x[:last] for x in now))
+            held += len(contexts[-1])
+        if held > 2 * HELD:
+            k, both = merged()
+            contexts, seen, held = [k], [both], len(k)
+            if held > HELD:
+                yield rows(np.full(len(k), -1), k, *both)
+                contexts, seen, held = [], [], 0
+    if len(rest[0]):
+        yield whole(*rest)
+    if contexts:
+        k, both = merged()
+        yield rows(np.full(len(k), -1), k, *both)
+
+
+def corpus_scores(df: DataFrame, target: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """What score() adds, under models of all words and bigrams of df itself; target model: rows whose column `target` is true."""
+    names = {"n_tokens": T.LongType(), "target_loss": T.DoubleType(), "background_loss": T.DoubleType(), "difference": T.DoubleType()}
+    kept = [c for c in (df.columns if keep is None else keep) if c not in names]
+    docs = _parted(df, target, text, kept)
+    read = docs.select("text", "own", "part")
+    n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    pairs = read.mapInArrow(_part_pairs, "pair long, word long, part long, n long, own_n long").repartition(n, "pair").sortWithinPartitions("pair")
+    whole = common.stored(pairs.mapInArrow(_whole_counts, "part long, key long, n long, own_n long"))
+    words = read.mapInArrow(_part_words, "part long, word long, n long, own_n long, followed long, own_followed long")
+    kinds = whole.filter("part = -1").select(F.col("key").alias("word"), *[F.lit(0).cast("long").alias(c) for c in words.columns[2:]], F.col("n").alias("kinds"), F.col("own_n").alias("own_kinds"))
+    each = words.drop("part").withColumns({"kinds": F.lit(0).cast("long"), "own_kinds": F.lit(0).cast("long")}).unionByName(kinds)
+    stats = common.stored(each.groupBy("word").agg(*[F.sum(c).alias(c) for c in each.columns[1:]]))
+    total = stats.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("own_n"), F.lit(0)).alias("own_n"), F.count(F.when(F.col("n") > 0, 1)).alias("size")).first()
+    sums, size = (total["n"], total["own_n"]), total["size"]
+    more = ["followed", "own_followed", "kinds", "own_kinds"]
+    told = whole.filter("part >= 0").select("part", "key", F.lit(False).alias("is_word"), "n", "own_n", *[F.lit(0).cast("long").alias(c) for c in more])
+    told = told.unionByName(words.select("part", "word").join(stats, "word").select("part", F.col("word").alias("key"), F.lit(True).alias("is_word"), "n", "own_n", *more))
+    out = T.StructType([*docs.schema[: len(kept)], *(T.StructField(k, v) for k, v in names.items())])
+
+    def run(rows: pa.Table, told: pa.Table) -> pa.Table:
+        texts = rows.column("text").cast(pa.large_string()).combine_chunks()
+        own = rows.column("own").to_numpy().astype(bool)
+        before, now, doc = _bigrams(texts)
+        pair, at, of, here = np.unique(_pair(before, now), return_index=True, return_inverse=True, return_counts=True)
+        key, is_word = told.column("key").to_numpy().view(U), told.column("is_word").to_numpy().astype(bool)
+        which = [np.flatnonzero(x)[np.argsort(key[x])] for x in (~is_word, is_word)]
+        among, known = key[which[0]], key[which[1]]
+        place = np.searchsorted(among, pair)
+        met = np.flatnonzero(place < len(among))
+        met = met[among[place[met]] == pair[met]]
+        context, word = np.searchsorted(known, before[at]), np.searchsorted(known, now[at])
+        each, got = np.bincount(doc, minlength=len(rows)), []
+        for i, prefix, count in ((1, "own_", np.bincount(of, own[doc], len(pair))), (0, "", here)):
+            x = count.astype(float)
+            x[met] = told.column(f"{prefix}n").to_numpy()[which[0]][place[met]]
+            unigram, followed, kinds = (told.column(prefix + c).to_numpy()[which[1]] for c in ("n", "followed", "kinds"))
+            k = np.maximum(1, kinds[context])
+            loss = -np.log((x + k * (unigram[word] + 1) / max(1, sums[i] + size)) / (followed[context] + k))
+            got.append(np.bincount(doc, loss[of], len(rows)) / np.maximum(1, each))
+        values = [each, got[0], got[1], got[1] - got[0]]
+        return pa.table([*rows.columns[: len(kept)], *(pa.array(x) for x in values)], names=[f.name for f in out])
+
+    scored = docs.groupBy("part").cogroup(told.groupBy("part")).applyInArrow(run, out)
+    return scored.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(kept)], *names)
+
+
 def with_target(docs: DataFrame, ids: DataFrame, most: int = BROADCAST_IDS) -> DataFrame:
     """docs with a boolean column `target`: whether its doc_id is in ids (one column of distinct ids)."""
     known = ids.select(F.col(ids.columns[0]).alias("doc_id"), F.lit(True).alias("__own"))
@@ -179,4 +348,4 @@ def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Target: the documents that are labelled as of quality and not toxic. Background: all documents."""
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
     good = common.table(spark, sf_dir, "labels").filter("quality = 1 and toxic = 0").select("doc_id").distinct()
-    return score(docs, fit(with_target(docs, good), "target"), keep=["doc_id"])
+    return corpus_scores(with_target(docs, good), "target", keep=["doc_id"])

@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from strandlake.llm import simhash
+from strandlake.llm import lm_scoring, simhash
 
 
 @pytest.mark.parametrize("n", [46, 65, 100, 512, 513, 600])
@@ -51,3 +51,38 @@ def test_forest_of_mixed_density_by_brute_force():
         label = new
     got = simhash.forest(fps, 4)
     assert len(got) == len(fps) - len(set(label.tolist())) and all(close[i, j] and label[i] == label[j] for i, j in got)
+
+
+@pytest.mark.parametrize("part", [1, 20_000, 4 << 20])
+def test_language_models_of_the_whole_vocabulary(spark, monkeypatch, part):
+    rng = random.Random(part)
+    texts = [" ".join(f"w{int(rng.paretovariate(0.4)) % 4000}" for _ in range(rng.randrange(1, 60))) for _ in range(400)]
+    texts[:6] = ["same rarest", "same rarer", "", None, "..", "the the the"]
+    rows = [(i if i != 9 else None, t, i % 3 == 0) for i, t in enumerate(texts)]
+    monkeypatch.setattr(lm_scoring, "PART_BYTES", part)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, target boolean").repartition(3)
+    tokens = [(t or "").replace(".", "").split() for t in texts]
+    ids = {w: i for i, w in enumerate(sorted({w for t in tokens for w in t}))}
+    assert len(ids) > lm_scoring.VOCABULARY + 1
+    loss = {}
+    for own in (True, False):
+        counts = np.zeros((len(ids) + 1, len(ids)))
+        for t, (_, _, target) in zip(tokens, rows):
+            for a, b in zip([None, *t], t):
+                counts[len(ids) if a is None else ids[a], ids[b]] += target or not own
+        loss[own] = lm_scoring.losses(counts)
+    got = {r["doc_id"]: r for r in lm_scoring.corpus_scores(docs, "target", keep=["doc_id"]).collect()}
+    assert len(got) == len(rows)
+    for t, (i, _, _) in zip(tokens, rows):
+        want = [np.mean([loss[own][len(ids) if a is None else ids[a], ids[b]] for a, b in zip([None, *t], t)] or [0.0]) for own in (True, False)]
+        assert got[i]["n_tokens"] == len(t) and np.allclose([got[i]["target_loss"], got[i]["background_loss"], got[i]["difference"]], [*want, want[1] - want[0]])
+    assert got[0]["background_loss"] != got[1]["background_loss"] or got[0]["target_loss"] != got[1]["target_loss"]
+
+
+def test_op8_keeps_every_word(spark, tmp_path):
+    rows = [(i, f"common start w{i % 2000} end", "en") for i in range(3000)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, 0) for i in range(0, 1500)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = {r["doc_id"]: r for r in lm_scoring.op8_lm_scoring(spark, str(tmp_path)).collect()}
+    assert got[0]["background_loss"] < got[1999]["background_loss"]  # w0 occurs twice, w1999 once
+    assert got[0]["target_loss"] < got[1999]["target_loss"]
