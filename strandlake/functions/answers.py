@@ -142,12 +142,21 @@ def bare_edges(text: str) -> str:
         text = (text[len(cut) :] if low.startswith(cut) else text[: -len(cut)]).strip()
 
 
+def resembles(a: str, b: str, least: float) -> bool:
+    """Whether similarity() is `least` or more; what bounds it from above is looked at first."""
+    if not a or not b:
+        return least <= 0
+    if 2 * min(len(a), len(b)) / (len(a) + len(b)) < least:
+        return False
+    m = SequenceMatcher(None, a, b, autojunk=False)
+    return m.quick_ratio() >= least and m.ratio() >= least
+
+
 def repeat_runs(blocks: list[str], threshold: float = 0.9, window: int = 3) -> list[int]:
     """For each block, how many in a row resemble one of the `window` blocks before them, itself included."""
     out, run = [], 0
     for i, b in enumerate(blocks):
-        best = max((similarity(p, b) for p in blocks[max(0, i - window) : i]), default=0.0)
-        run = run + 1 if i and best >= threshold else 1
+        run = run + 1 if any(resembles(p, b, threshold) for p in blocks[max(0, i - window) : i]) else 1
         out.append(run)
     return out
 

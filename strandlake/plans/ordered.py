@@ -73,7 +73,7 @@ def _(t):
 
 @P.query("e21_repeat_runs")
 def _(t):
-    blocks = F.transform(F.slice(X.segments(C("trace")), 1, 12), lambda s: F.substring(X.normal_block(s["text"]), 1, 120))
+    blocks = F.transform(X.segments(C("trace")), lambda s: X.normal_block(s["text"]))
     return t("traces").select("doc_id", F.array_join(F.transform(A.udf_repeat_runs(blocks), lambda n: n.cast("string")), ",").alias("runs"))
 
 
