@@ -57,21 +57,22 @@ class Tree:
     dropped: list[bool] = field(default_factory=list)
     link: list[bool] = field(default_factory=list)
     attributes: list[str] = field(default_factory=list)
+    named: list[int] = field(default_factory=list)  # 1: a boilerplate name, 2: that of comments
     pieces: list[tuple[int, int, str]] = field(default_factory=list)
 
 
-def judged(tag: str, attributes: str) -> tuple[int, bool]:
-    """Points of an element's own marks, and whether it is left out."""
+def judged(tag: str, attributes: str) -> tuple[int, bool, int]:
+    """Points of an element's own marks, whether they leave it out, and whether its name is one of boilerplate (1) or comments (2)."""
     if not attributes.strip():
-        return 0, False
+        return 0, False, 0
     got = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes)}
     words = {w.lower() for w in _PARTS.findall(unescape(f"{got.get('class', '')} {got.get('id', '')}"))}
     hidden = "hidden" in got or got.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", got.get("style", ""), re.I)
     bad = (bool(words & BAD) or any(BAD_PARTS.search(w) for w in words)) and tag not in ("html", "body", "article", "main") and not (words & {"article", "articlebody", "maincontent", "hentry"} and not words & {"comment", "comments", "ad", "ads", "sidebar", "nav", "footer", "related"})
-    if hidden or bad or got.get("role", "").lower() in DROPPED_ROLES:
-        return -25, True
+    if hidden or got.get("role", "").lower() in DROPPED_ROLES:
+        return -25, True, 0
     main = got.get("role", "").lower() in ("main", "article") or "articlebody" in got.get("itemprop", "").lower()
-    return (25 if words & GOOD else 0) + (25 if main else 0), False
+    return (25 if words & GOOD else 0) + (25 if main else 0), False, 0 if not (bad or tag == "article") else 2 if any(w.startswith("comment") and w != "commentary" for w in words) else int(bad)
 
 
 def parse(page: str) -> Tree:
@@ -80,9 +81,10 @@ def parse(page: str) -> Tree:
     def push(tag: str, attributes: str) -> None:
         nonlocal line
         up = stack[-1] if stack else -1
-        points, out = judged(tag, attributes)
+        points, out, named = judged(tag, attributes)
         t.tag.append(tag), t.parent.append(up), t.end.append(-1), t.weight.append(points), t.attributes.append(attributes)
         t.dropped.append(tag in DROPPED or out)
+        t.named.append(named)
         t.link.append(tag == "a" or (up >= 0 and t.link[up]))
         stack.append(len(t.tag) - 1)
         line += tag in BLOCKS
@@ -154,8 +156,68 @@ def extract(page: str | None) -> str:
     if not page:
         return ""
     t = parse(page)
+    marked = t.dropped
+    names = by_name(t)
+    settle(t, marked, names)
+    text = main_text(t)
+    found = text and any(tag in ("article", "main") and not x for tag, x in zip(t.tag, t.dropped))
+    if any(names) and not found and len(text) < max(1, prose(t, marked) / 10):  # little is left: only names of comments count
+        settle(t, marked, [x and k == 2 for x, k in zip(names, t.named)])
+        text = max(text, main_text(t), key=len)
+        if not text:
+            settle(t, marked, [False] * len(names))
+            text = main_text(t)
+    return text
+
+
+def prose(t: Tree, marked: list[bool]) -> int:
+    """Characters of text outside links, headers and what is left out by tag, mark or as comments."""
+    settle(t, marked, [k == 2 and tag != "article" for k, tag in zip(t.named, t.tag)])
+    return sum(len(text.strip()) for i, _, text in t.pieces if not t.dropped[i] and not t.link[i])
+
+
+def by_name(t: Tree) -> list[bool]:
+    """Which elements their names leave out: not one that holds the main element, the largest article (the first h1, if there is
+    neither) or most of the points of paragraphs."""
+    n = len(t.tag)
+    out = [k > 0 and tag != "article" for k, tag in zip(t.named, t.tag)]
+    if not any(out):
+        return out
+    gone, comments, size, linked, said, commas = [False] * n, [False] * n, [0] * n, [0] * n, [0] * n, [0] * n
+    for i, up in enumerate(t.parent):
+        gone[i] = t.dropped[i] and t.tag[i] not in ("form", "header") or (up >= 0 and gone[up])
+        comments[i] = t.named[i] == 2 or (up >= 0 and comments[up])
+    for i, _, text in t.pieces:
+        if not gone[i] and not comments[i]:
+            size[i] += (k := len(text.strip()))
+            linked[i] += k if t.link[i] else 0
+            commas[i] += sum(map(text.count, ",،、，"))
+    said, held, points = list(size), list(size), [0.0] * n
+    for i in range(n - 1, -1, -1):
+        p = t.parent[i]
+        if t.tag[i] in BLOCKS and said[i] and t.tag[i] not in ("h1", "h2", "h3", "h4", "h5", "h6"):
+            points[i] += (1 + commas[i] + min(said[i] / 100, 3)) * (1 - min(1, linked[i] / said[i]))
+        if p >= 0:
+            held[p] += held[i]
+            points[p] += points[i]
+            if t.tag[i] not in BLOCKS:
+                said[p], linked[p], commas[p] = said[p] + said[i], linked[p] + linked[i], commas[p] + commas[i]
+    kept = [i for i in range(n) if t.tag[i] == "main" and not gone[i]]
+    articles = [i for i in range(n) if t.tag[i] == "article" and held[i] and not gone[i]]
+    kept += [max(articles, key=lambda i: held[i])] if articles else []
+    at = kept or [i for i in range(n) if t.tag[i] == "h1" and not gone[i]][:1]
+    for i in at:
+        while i >= 0:
+            out[i], i = False, t.parent[i]
+    most = max((points[i] for i in kept), default=points[0]) / 2
+    for i in range(n):
+        if out[i] and t.named[i] == 1 and points[i] > most and (not kept or any(a <= i < t.end[a] for a in kept)):
+            out[i] = False
+    return out
+
+
+def main_text(t: Tree) -> str:
     n = len(t.tag)
-    settle(t)
     size, linked, commas, links = [0] * n, [0] * n, [0] * n, [0] * n
     for i, _, text in t.pieces:
         if not t.dropped[i]:
@@ -218,9 +280,10 @@ def extract(page: str | None) -> str:
     return "\n".join(x for x in (" ".join(unescape(b).split()) for b in out) if x)
 
 
-def settle(t: Tree) -> None:
-    """Keeps a header of an article that holds its first-level title, and a form that wraps an article or a page's title; leaves
+def settle(t: Tree, marked: list[bool], names: list[bool]) -> None:
+    """Leaves out what is marked or named so. Keeps a header of an article that holds its first-level title, and a form that wraps an article or a page's title; leaves
     out what is inside left-out elements."""
+    t.dropped = [a or b for a, b in zip(marked, names)]
     holds: set[int] = set()  # elements with a title or an article inside
     for i, tag in enumerate(t.tag):
         up = t.parent[i] if tag in ("h1", "article", "main") else -1

@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from strandlake.llm import lm_scoring, simhash
+from strandlake.llm import html, lm_scoring, simhash
 
 
 @pytest.mark.parametrize("n", [46, 65, 100, 512, 513, 600])
@@ -86,3 +86,24 @@ def test_op8_keeps_every_word(spark, tmp_path):
     got = {r["doc_id"]: r for r in lm_scoring.op8_lm_scoring(spark, str(tmp_path)).collect()}
     assert got[0]["background_loss"] < got[1999]["background_loss"]  # w0 occurs twice, w1999 once
     assert got[0]["target_loss"] < got[1999]["target_loss"]
+
+
+BODY = "<p>First, a sentence of the story, long enough to count.</p><p>Second, and more of it, with commas.</p>"
+TEXT = "First, a sentence of the story, long enough to count.\nSecond, and more of it, with commas."
+NAV = "<ul><li><a href=a>Home</a><li><a href=b>News</a><li><a href=c>More</a></ul>"
+
+
+@pytest.mark.parametrize("name", ["content-sidebar-wrap", "has-sidebar", "elementor-widget elementor-widget-theme-post-content"])
+@pytest.mark.parametrize("inner", [f"<article><h1>T</h1>{BODY}</article>", f"<main>{BODY}</main>", BODY, f"<h1>T</h1>{BODY}", f"<article><div class=sidebar-left>{BODY}</div></article>"])
+def test_wrappers_named_like_boilerplate(name, inner):
+    page = f"<body>{NAV}<div class='{name}'>{inner}<div class=sidebar><p>side, side</p></div></div><div id=comments><p>nice</p></div></body>"
+    assert html.extract(page) == ("T\n" if "<h1>" in inner else "") + TEXT
+
+
+def test_boilerplate_stays_out():
+    long = "<p>wow, nice, yes, great, thanks, and so on, and on, and on.</p>" * 20
+    assert html.extract(f"<body><div class=post>{BODY}</div><div id=comments>{long}</div></body>") == TEXT
+    assert html.extract(f"<body><div class=post>{BODY}</div><section id=comments><article class=comment>{long}</article></section></body>") == TEXT
+    assert html.extract(f"<body><article>{BODY}</article><div class=sidebar>{long}</div></body>") == TEXT
+    assert html.extract("<body><div class=popup><p>all there is</p></div></body>") == "all there is"
+    assert html.extract("<body><div class=comments><p>all there is</p></div></body>") == "all there is"
