@@ -1,16 +1,20 @@
 """Cross-entropy difference of documents under matched target and background bigram models.
 
-Both models share one vocabulary, one order and one smoothing (Witten-Bell, over unigrams with one added). A score is the mean
-over a document's tokens of background loss less target loss, in nats: positive where the target model expects the text better.
-
-corpus_scores(), which op8 runs, keeps every word and bigram of all documents. The corpus is cut into parts of bounded size. Bigrams
-are counted in each part and meet by a shuffle; a part is told the whole count of those that occur in other parts too, as it knows
-the others' itself. Statistics of words are joined to the words of each part. What a task holds is one part and what it was told;
-only three sums reach the driver. fit() and score() are for other texts: models of a vocabulary of chosen size, gathered in one place.
+Both models share one vocabulary, one order and one smoothing: bigrams with a Dirichlet prior of weight PRIOR, which is the model of
+single words with one added. A score is the mean over a document's tokens of background loss less target loss, in nats: positive
+where the target model expects the text better.
+
+corpus_scores(), which op8 runs, keeps every word and bigram of all documents. The corpus is cut into parts of bounded size, stored
+in a table that is bucketed by part, so that no later step moves texts. A part sends its sorted distinct n-grams with their
+counts, cut by ranges of their hashes, to the tasks of the ranges; each of these sums what it got and answers every part with
+whole counts in the order in which that part had sent its own, so that answers need no keys. What a task holds is one part or one
+range of hashes; only three sums reach the driver. fit() and score() are for other texts: models of a vocabulary of chosen size,
+gathered in one place.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,10 +30,14 @@ from strandlake.llm.words import BASE, U, HashSet, Words, letters, lower, mixed
 
 #: Known words of a model that fit() gathers, unless told otherwise.
 VOCABULARY = 1023
-#: Bytes of text in a part of the corpus, or one text.
-PART_BYTES = 4 << 20
+#: Occurrences that the prior distribution of a context counts as.
+PRIOR = 8.0
+#: Bytes of text in a part of the corpus, or one text; and what a row counts as besides.
+PART_BYTES, ROW_BYTES = 8 << 20, 64
 #: The context of a text's first word, in place of a word's hash.
 START = U(0)
+#: The last two bits of an n-gram's key tell words (0), bigrams (1) and the beginnings of texts (2) apart.
+KIND, BIGRAM, BEGINNING = U(2**64 - 4), U(1), U(2)
 #: Ids of the target's documents that are broadcast at most; more are joined by a shuffle.
 BROADCAST_IDS = 500_000
 #: Distinct words that a task holds before it passes them on.
@@ -130,11 +138,10 @@ def bigram_counts(df: DataFrame, vocab: Vocabulary, target: str, text: str = "te
 
 
 def losses(counts: np.ndarray) -> np.ndarray:
-    """-log P(token | context) by Witten-Bell; counts: contexts x tokens."""
+    """-log P(token | context); counts: contexts x tokens."""
     counts = counts.astype(float)
     unigram = (counts.sum(0) + 1) / (counts.sum() + counts.shape[1])
-    n, kinds = counts.sum(1, keepdims=True), np.maximum(1, (counts > 0).sum(1, keepdims=True))
-    return -np.log((counts + kinds * unigram) / (n + kinds))
+    return -np.log((counts + PRIOR * unigram) / (counts.sum(1, keepdims=True) + PRIOR))
 
 
 @dataclass
@@ -177,8 +184,8 @@ def score(df: DataFrame, models: Models, text: str = "text", keep: list[str] | N
     return common.map_text(df, make, [T.StructField(k, v) for k, v in names.items()], text, keep)
 
 
-def _parted(df: DataFrame, target: str, text: str, keep: list[str]) -> DataFrame:
-    """Columns k0, k1, ... (those to keep), text, own and part, stored: a row's part must not change between readings."""
+def _parted(df: DataFrame, target: str, text: str, keep: list[str], buckets: int) -> DataFrame:
+    """Columns k0, k1, ... (those to keep), text, own and part, in a table bucketed by part."""
     source = df.select(*[common.col(c).alias(f"k{i}") for i, c in enumerate(keep)], common.col(text).cast("string").alias("text"), F.coalesce(common.col(target).cast("boolean"), F.lit(False)).alias("own"))
     names = [*source.columns, "part"]
 
@@ -187,153 +194,167 @@ def _parted(df: DataFrame, target: str, text: str, keep: list[str]) -> DataFrame
         for batch in batches:
             texts = batch.column(len(keep))
             for a, b in common.slices(texts):
-                size = len(common.buffers(texts.slice(a, b - a))[0])
+                size = len(common.buffers(texts.slice(a, b - a))[0]) + ROW_BYTES * (b - a)
                 if held and held + size > PART_BYTES:
                     part, held = part + 1, 0
                 held += size
                 yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, pa.array(np.full(b - a, part))], names)
 
-    return common.stored(source.mapInArrow(run, T.StructType([*source.schema, T.StructField("part", T.LongType())])))
+    out, name = source.mapInArrow(run, T.StructType([*source.schema, T.StructField("part", T.LongType())])), f"strandlake_{uuid.uuid4().hex}"
+    out.write.option("parquet.block.size", 16 << 20).option("path", common.shared_dir(df.sparkSession)).bucketBy(buckets, "part").saveAsTable(name, format="parquet")
+    return df.sparkSession.table(name)
 
 
-def _bigrams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Context and word of every token as hashes, and which text it stands in."""
-    before, now, doc = [np.zeros(0, U)], [np.zeros(0, U)], [np.zeros(0, np.int64)]
+def _bigrams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Context and word of every token as hashes, which text it stands in, and whether it is the last there."""
+    before, now, doc, last = [np.zeros(0, U)], [np.zeros(0, U)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
     for a, b in common.slices(texts):
         words = words_of(texts.slice(a, b - a))
         if len(words):
             h = words.hashes()
-            context = np.concatenate([[START], h[:-1]])
-            first = words.first[:-1]
-            context[first[first < words.first[1:]]] = START
-            before.append(context), now.append(h), doc.append(words.doc + a)
-    return np.concatenate(before), np.concatenate(now), np.concatenate(doc)
+            context, ends = np.concatenate([[START], h[:-1]]), np.zeros(len(h), bool)
+            some = words.first[:-1] < words.first[1:]
+            context[words.first[:-1][some]] = START
+            ends[words.first[1:][some] - 1] = True
+            before.append(context), now.append(h), doc.append(words.doc + a), last.append(ends)
+    return np.concatenate(before), np.concatenate(now), np.concatenate(doc), np.concatenate(last)
 
 
 def _pair(before: np.ndarray, now: np.ndarray) -> np.ndarray:
     return mixed(before * U(BASE) + now)
 
 
-def _by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """(part, contexts, words, own) of batches of (text, own, part); a part's tokens may come in several pieces."""
-    last, held, n = -1, [], 0
-    for batch in batches:
-        texts, own, part = batch.column(0), batch.column(1).to_numpy(zero_copy_only=False).astype(bool), batch.column(2).to_numpy()
-        cut = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(part)]
-        for a, b in zip(cut, cut[1:]):
-            if a == b:
-                continue
-            if held and (part[a] != last or n > HELD):
-                yield last, *(np.concatenate(x) for x in zip(*held))
-                held, n = [], 0
-            last = int(part[a])
-            before, now, doc = _bigrams(texts.slice(a, b - a))
-            held.append((before, now, own[a:b][doc]))
-            n += len(now)
-    if held:
-        yield last, *(np.concatenate(x) for x in zip(*held))
-
-
-def _part_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part, before, now, own in _by_part(batches):
-        k, at, of, n = np.unique(_pair(before, now), return_index=True, return_inverse=True, return_counts=True)
-        own_n = np.bincount(of, own, len(k)).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (k.view(np.int64), before[at].view(np.int64), np.full(len(k), part), n, own_n)], ["pair", "word", "part", "n", "own_n"])
-
-
-def _part_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part, before, now, own in _by_part(batches):
-        k, of = np.unique(np.concatenate([now, before]), return_inverse=True)
-        counts = [np.bincount(x, y, len(k)).astype(np.int64) for x in (of[: len(now)], of[len(now) :]) for y in (None, own)]
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.full(len(k), part), k.view(np.int64), *counts)], ["part", "word", "n", "own_n", "followed", "own_followed"])
-
-
-def _whole_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by pair: (part, key, n, own_n), the whole counts of a pair for each of its parts if it has several; and with
-    part -1, for a context, the kinds of words that follow it in all texts and in the target's."""
-    contexts, seen, held = [], [], 0
-
-    def rows(part: np.ndarray, key: np.ndarray, n: np.ndarray, own_n: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in (part, key, n, own_n)], ["part", "key", "n", "own_n"])
-
-    def merged() -> tuple[np.ndarray, np.ndarray]:
-        k, of = np.unique(np.concatenate(contexts), return_inverse=True)
-        both = np.concatenate(seen, axis=1)
-        return k, np.stack([np.bincount(of, x, len(k)).astype(np.int64) for x in both])
-
-    def whole(pair: np.ndarray, word: np.ndarray, part: np.ndarray, n: np.ndarray, own_n: np.ndarray) -> pa.RecordBatch:
-        begin = np.concatenate([[0], np.flatnonzero(pair[1:] != pair[:-1]) + 1])
-        n, own_n = np.add.reduceat(n, begin), np.add.reduceat(own_n, begin)
-        contexts.append(word[begin]), seen.append(np.stack([np.ones(len(begin), np.int64), (own_n > 0).astype(np.int64)]))
-        of = np.repeat(np.arange(len(begin)), np.diff([*begin, len(pair)]))
-        use = (np.minimum.reduceat(part, begin) != np.maximum.reduceat(part, begin))[of]
-        return rows(part[use], pair[use], n[of][use], own_n[of][use])
-
-    rest = [np.zeros(0, np.int64)] * 5
-    for batch in batches:
-        now = [np.concatenate([r, c.to_numpy()]) for r, c in zip(rest, batch.columns, strict=True)]
-        last = int(np.searchsorted(now[0], now[0][-1])) if len(now[0]) else 0
-        rest = [x[last:] for x in now]
-        if last:
-            yield whole(*(x[:last] for x in now))
-            held += len(contexts[-1])
-        if held > 2 * HELD:
-            k, both = merged()
-            contexts, seen, held = [k], [both], len(k)
-            if held > HELD:
-                yield rows(np.full(len(k), -1), k, *both)
-                contexts, seen, held = [], [], 0
-    if len(rest[0]):
-        yield whole(*rest)
-    if contexts:
-        k, both = merged()
-        yield rows(np.full(len(k), -1), k, *both)
+@dataclass
+class Grams:
+    """The n-grams of a part of the corpus."""
+
+    keys: np.ndarray  # sorted and distinct
+    is_word: np.ndarray  # of each key
+    rank: np.ndarray  # of each key that is a word, among those
+    word: np.ndarray  # place in keys of each token's word
+    pair: np.ndarray  # and of its bigram
+    doc: np.ndarray
+    first: np.ndarray  # whether a token is the first of its text
+    counts: list[np.ndarray]  # of the keys, in all texts and in the target's; of the words as last ones, in both
+
+    @staticmethod
+    def of(texts: pa.Array, own: np.ndarray) -> Grams:
+        before, now, doc, last = _bigrams(texts)
+        m, first, mine = len(now), before == START, own[doc]
+        keys, at = np.unique(np.concatenate([now & KIND, _pair(before, now) & KIND | BIGRAM, np.full(int(first.sum()), BEGINNING)]), return_inverse=True)
+        is_word = keys & ~KIND == 0
+        rank = np.cumsum(is_word) - 1
+        ends, count = rank[at[:m][last]], lambda i, size, by=None: np.bincount(i, by, size).astype(U)
+        counts = [count(at, len(keys)), count(at, len(keys), np.concatenate([mine, mine, mine[first]])), count(ends, int(is_word.sum())), count(ends, int(is_word.sum()), mine[last])]
+        return Grams(keys, is_word, rank, at[:m], at[m : 2 * m], doc, first, counts)
+
+    def loss(self, n: np.ndarray, ends: np.ndarray, tokens: int, kinds: int) -> np.ndarray:
+        """Of each token, from the whole counts of the keys, and of the words as last ones. What follows a word is all its occurrences but those."""
+        n = n.astype(float)
+        followed = n[self.word] - ends.astype(float)[self.rank[self.word]]
+        context = np.concatenate([followed[:1], followed[:-1]])
+        context[self.first] = n[np.searchsorted(self.keys, BEGINNING)] if self.first.any() else 0.0
+        return -np.log((n[self.pair] + PRIOR * (n[self.word] + 1) / (tokens + kinds)) / (context + PRIOR))
+
+
+def _packed(x: np.ndarray) -> bytes:
+    """Numbers, their bytes in planes (those of small numbers are mostly zeros), compressed."""
+    return pa.compress(np.ascontiguousarray(x.astype(U).view(np.uint8).reshape(-1, 8).T), "zstd", asbytes=True) if len(x) else b""
+
+
+def _unpacked(data: bytes, n: int) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(pa.decompress(data, 8 * n, "zstd", asbytes=True), np.uint8).reshape(8, n).T).view(U).reshape(n) if n else np.zeros(0, U)
+
+
+_COUNTS = ["n", "own_n", "ends", "own_ends"]
+_SENT = "part long, bucket int, size int, words int, keys binary, n binary, own_n binary, ends binary, own_ends binary"
+_TOLD = "part long, bucket int, size int, words int, n binary, own_n binary, ends binary, own_ends binary, tokens long, own_tokens long, kinds long"
+
+
+def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """Ranges of the keys: rising with them."""
+    return (keys >> U(32)) * U(buckets) >> U(32)
+
+
+def _sent(buckets: int):
+    """What a part sends: a row for each range of keys that it has."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        own = rows.column("own").to_numpy().astype(bool)
+        grams = Grams.of(rows.column("text").cast(pa.large_string()).combine_chunks(), own)
+        which = _bucket(grams.keys, buckets)
+        begin = np.flatnonzero(np.concatenate([[True], which[1:] != which[:-1]])) if len(which) else np.zeros(0, np.int64)
+        words = np.concatenate([[0], np.cumsum(grams.is_word)])
+        out = []
+        for a, b in zip(begin.tolist(), [*begin[1:].tolist(), len(which)]):
+            u, v = int(words[a]), int(words[b])
+            keys = grams.keys[a:b]
+            counts = [_packed(x[a:b]) for x in grams.counts[:2]] + [_packed(x[u:v]) for x in grams.counts[2:]]
+            out.append((rows.column("part")[0].as_py(), int(which[a]), b - a, v - u, _packed(np.diff(keys, prepend=U(0))), *counts))
+        del grams
+        common.trim()
+        schema = pa.schema([("part", pa.int64()), ("bucket", pa.int32()), ("size", pa.int32()), ("words", pa.int32()), ("keys", pa.binary()), *((c, pa.binary()) for c in _COUNTS)])
+        return pa.table([pa.array(c, f.type) for c, f in zip(zip(*out) if out else [[]] * len(schema), schema)], schema=schema)
+
+    return run
+
+
+def _told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of what all parts sent of one range of keys: to each part the whole counts of its keys, in its order; and in a row of part -1
+    the tokens, those of the target, and the distinct words of the range."""
+    held = pa.Table.from_batches(list(batches), None) if (batches := [b for b in batches if b.num_rows]) else None
+    if held is None:
+        return
+    sent = [held.column(c).to_pylist() for c in ("part", "bucket", "size", "words", "keys", *_COUNTS)]
+    del held
+    each = [np.cumsum(_unpacked(k, n), dtype=U) for k, n in zip(sent[4], sent[2])]
+    keys, at = np.unique(np.concatenate(each), return_inverse=True)
+    is_word = np.concatenate(each) & ~KIND == 0
+    total = [np.bincount(i, np.concatenate([_unpacked(x, n) for x, n in zip(c, size)]), len(keys)).astype(U) for c, size, i in zip(sent[5:], (sent[2], sent[2], sent[3], sent[3]), (at, at, at[is_word], at[is_word]))]
+    own = keys & ~KIND == 0
+    names, types = ["part", "bucket", "size", "words", *_COUNTS, "tokens", "own_tokens", "kinds"], [pa.int64(), pa.int32(), pa.int32(), pa.int32(), *[pa.binary()] * 4, *[pa.int64()] * 3]
+    row = lambda *values: pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types, strict=True)], names)
+    yield row(-1, None, None, None, None, None, None, None, int(total[0][own].sum()), int(total[1][own].sum()), int(own.sum()))
+    begin = 0
+    for part, bucket, size, words in zip(*sent[:4]):
+        i = at[begin : begin + size]
+        w = i[is_word[begin : begin + size]]
+        yield row(part, bucket, size, words, *(_packed(t[j]) for t, j in zip(total, (i, i, w, w))), None, None, None)
+        begin += size
+    del sent, each, keys, at, is_word, total
+    common.trim()
 
 
 def corpus_scores(df: DataFrame, target: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """What score() adds, under models of all words and bigrams of df itself; target model: rows whose column `target` is true."""
     names = {"n_tokens": T.LongType(), "target_loss": T.DoubleType(), "background_loss": T.DoubleType(), "difference": T.DoubleType()}
     kept = [c for c in (df.columns if keep is None else keep) if c not in names]
-    docs = _parted(df, target, text, kept)
-    read = docs.select("text", "own", "part")
     n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    pairs = read.mapInArrow(_part_pairs, "pair long, word long, part long, n long, own_n long").repartition(n, "pair").sortWithinPartitions("pair")
-    whole = common.stored(pairs.mapInArrow(_whole_counts, "part long, key long, n long, own_n long"))
-    words = read.mapInArrow(_part_words, "part long, word long, n long, own_n long, followed long, own_followed long")
-    kinds = whole.filter("part = -1").select(F.col("key").alias("word"), *[F.lit(0).cast("long").alias(c) for c in words.columns[2:]], F.col("n").alias("kinds"), F.col("own_n").alias("own_kinds"))
-    each = words.drop("part").withColumns({"kinds": F.lit(0).cast("long"), "own_kinds": F.lit(0).cast("long")}).unionByName(kinds)
-    stats = common.stored(each.groupBy("word").agg(*[F.sum(c).alias(c) for c in each.columns[1:]]))
-    total = stats.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("own_n"), F.lit(0)).alias("own_n"), F.count(F.when(F.col("n") > 0, 1)).alias("size")).first()
-    sums, size = (total["n"], total["own_n"]), total["size"]
-    more = ["followed", "own_followed", "kinds", "own_kinds"]
-    told = whole.filter("part >= 0").select("part", "key", F.lit(False).alias("is_word"), "n", "own_n", *[F.lit(0).cast("long").alias(c) for c in more])
-    told = told.unionByName(words.select("part", "word").join(stats, "word").select("part", F.col("word").alias("key"), F.lit(True).alias("is_word"), "n", "own_n", *more))
+    docs = _parted(df, target, text, kept, n)
+    buckets = max(n, docs.select("part").distinct().count() // 2)  # so many keys of a part that a task's share is bounded
+    sent = docs.select("text", "own", "part").groupBy("part").applyInArrow(_sent(buckets), _SENT)
+    told = common.stored(sent.repartitionById(buckets, "bucket").mapInArrow(_told, _TOLD))
+    total = told.filter("part = -1").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tokens", "own_tokens", "kinds")]).first()
+    tokens, kinds = (total["tokens"], total["own_tokens"]), total["kinds"]
     out = T.StructType([*docs.schema[: len(kept)], *(T.StructField(k, v) for k, v in names.items())])
 
     def run(rows: pa.Table, told: pa.Table) -> pa.Table:
-        texts = rows.column("text").cast(pa.large_string()).combine_chunks()
-        own = rows.column("own").to_numpy().astype(bool)
-        before, now, doc = _bigrams(texts)
-        pair, at, of, here = np.unique(_pair(before, now), return_index=True, return_inverse=True, return_counts=True)
-        key, is_word = told.column("key").to_numpy().view(U), told.column("is_word").to_numpy().astype(bool)
-        which = [np.flatnonzero(x)[np.argsort(key[x])] for x in (~is_word, is_word)]
-        among, known = key[which[0]], key[which[1]]
-        place = np.searchsorted(among, pair)
-        met = np.flatnonzero(place < len(among))
-        met = met[among[place[met]] == pair[met]]
-        context, word = np.searchsorted(known, before[at]), np.searchsorted(known, now[at])
-        each, got = np.bincount(doc, minlength=len(rows)), []
-        for i, prefix, count in ((1, "own_", np.bincount(of, own[doc], len(pair))), (0, "", here)):
-            x = count.astype(float)
-            x[met] = told.column(f"{prefix}n").to_numpy()[which[0]][place[met]]
-            unigram, followed, kinds = (told.column(prefix + c).to_numpy()[which[1]] for c in ("n", "followed", "kinds"))
-            k = np.maximum(1, kinds[context])
-            loss = -np.log((x + k * (unigram[word] + 1) / max(1, sums[i] + size)) / (followed[context] + k))
-            got.append(np.bincount(doc, loss[of], len(rows)) / np.maximum(1, each))
-        values = [each, got[0], got[1], got[1] - got[0]]
-        return pa.table([*rows.columns[: len(kept)], *(pa.array(x) for x in values)], names=[f.name for f in out])
-
-    scored = docs.groupBy("part").cogroup(told.groupBy("part")).applyInArrow(run, out)
+        grams = Grams.of(rows.column("text").cast(pa.large_string()).combine_chunks(), rows.column("own").to_numpy().astype(bool))
+        told = told.sort_by("bucket")
+        size, words = (told.column(c).to_pylist() for c in ("size", "words"))
+        n, own_n, ends, own_ends = (np.concatenate([np.zeros(0, U), *(_unpacked(x, k) for x, k in zip(told.column(c).to_pylist(), by))]) for c, by in zip(_COUNTS, (size, size, words, words)))
+        if len(n) != len(grams.keys):
+            raise ValueError("the answers don't fit the part")
+        each = np.bincount(grams.doc, minlength=len(rows))
+        mean = lambda loss: np.bincount(grams.doc, loss, len(rows)) / np.maximum(1, each)
+        own, all_ = mean(grams.loss(own_n, own_ends, tokens[1], kinds)), mean(grams.loss(n, ends, tokens[0], kinds))
+        scored = pa.table([*rows.columns[: len(kept)], *(pa.array(x) for x in (each, own, all_, all_ - own))], names=[f.name for f in out])
+        del grams, n, own_n, ends, own_ends
+        common.trim()
+        return scored
+
+    answers = told.filter("part >= 0").select("part", "bucket", "size", "words", *_COUNTS)
+    scored = docs.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(run, out)
     return scored.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(kept)], *names)
 
 
