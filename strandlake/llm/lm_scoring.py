@@ -248,13 +248,27 @@ class Grams:
         counts = [count(at, len(keys)), count(at, len(keys), np.concatenate([mine, mine, mine[first]])), count(ends, int(is_word.sum())), count(ends, int(is_word.sum()), mine[last])]
         return Grams(keys, is_word, rank, at[:m], at[m : 2 * m], doc, first, counts)
 
-    def loss(self, n: np.ndarray, ends: np.ndarray, tokens: int, kinds: int) -> np.ndarray:
-        """Of each token, from the whole counts of the keys, and of the words as last ones. What follows a word is all its occurrences but those."""
+    def loss(self, n: np.ndarray, ends: np.ndarray, tokens: int, kinds: int, less: tuple[np.ndarray, ...] | None = None) -> np.ndarray:
+        """Of each token, from the whole counts of the keys, and of the words as last ones. What follows a word is all its occurrences
+        but those. less: what of each of these counts is not to be regarded, for each token."""
         n = n.astype(float)
-        followed = n[self.word] - ends.astype(float)[self.rank[self.word]]
-        context = np.concatenate([followed[:1], followed[:-1]])
-        context[self.first] = n[np.searchsorted(self.keys, BEGINNING)] if self.first.any() else 0.0
-        return -np.log((n[self.pair] + PRIOR * (n[self.word] + 1) / (tokens + kinds)) / (context + PRIOR))
+        pair, word, followed = n[self.pair], n[self.word], n[self.word] - ends.astype(float)[self.rank[self.word]]
+        begun = n[np.searchsorted(self.keys, BEGINNING)] if self.first.any() else 0.0
+        if less:
+            pair, word, followed, begun, tokens = (x - y for x, y in zip((pair, word, followed, begun, tokens), less))
+        context = np.where(self.first, begun, np.concatenate([followed[:1], followed[:-1]]))
+        return -np.log((pair + PRIOR * (word + 1) / (tokens + kinds)) / (context + PRIOR))
+
+    def within(self) -> tuple[np.ndarray, ...]:
+        """For each token, how often its own text has its bigram, its word, and its word with another one behind it; its beginnings (1) and tokens."""
+        pair, word = (self._again(x) for x in (self.pair, self.word))
+        last = np.zeros(int(self.doc[-1]) + 1 if len(self.doc) else 0, np.int64)
+        last[self.doc] = self.word  # of equal places the last one stays
+        return pair, word, word - (self.word == last[self.doc]), np.ones(len(self.doc), np.int64), np.bincount(self.doc)[self.doc]
+
+    def _again(self, at: np.ndarray) -> np.ndarray:
+        _, of, n = np.unique(self.doc * len(self.keys) + at, return_inverse=True, return_counts=True)
+        return n[of]
 
 
 def _packed(x: np.ndarray) -> bytes:
@@ -325,8 +339,12 @@ def _told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     common.trim()
 
 
-def corpus_scores(df: DataFrame, target: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """What score() adds, under models of all words and bigrams of df itself; target model: rows whose column `target` is true."""
+def corpus_scores(df: DataFrame, target: str, text: str = "text", keep: list[str] | None = None, held_out: bool = False) -> DataFrame:
+    """What score() adds, under models of all words and bigrams of df itself; target model: rows whose column `target` is true.
+
+    held_out: a text is scored by the models of all other texts (another row's copy of it is another text), so that the target's
+    own texts have no advantage.
+    """
     names = {"n_tokens": T.LongType(), "target_loss": T.DoubleType(), "background_loss": T.DoubleType(), "difference": T.DoubleType()}
     kept = [c for c in (df.columns if keep is None else keep) if c not in names]
     n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
@@ -339,7 +357,8 @@ def corpus_scores(df: DataFrame, target: str, text: str = "text", keep: list[str
     out = T.StructType([*docs.schema[: len(kept)], *(T.StructField(k, v) for k, v in names.items())])
 
     def run(rows: pa.Table, told: pa.Table) -> pa.Table:
-        grams = Grams.of(rows.column("text").cast(pa.large_string()).combine_chunks(), rows.column("own").to_numpy().astype(bool))
+        mine = rows.column("own").to_numpy().astype(bool)
+        grams = Grams.of(rows.column("text").cast(pa.large_string()).combine_chunks(), mine)
         told = told.sort_by("bucket")
         size, words = (told.column(c).to_pylist() for c in ("size", "words"))
         n, own_n, ends, own_ends = (np.concatenate([np.zeros(0, U), *(_unpacked(x, k) for x, k in zip(told.column(c).to_pylist(), by))]) for c, by in zip(_COUNTS, (size, size, words, words)))
@@ -347,9 +366,11 @@ def corpus_scores(df: DataFrame, target: str, text: str = "text", keep: list[str
             raise ValueError("the answers don't fit the part")
         each = np.bincount(grams.doc, minlength=len(rows))
         mean = lambda loss: np.bincount(grams.doc, loss, len(rows)) / np.maximum(1, each)
-        own, all_ = mean(grams.loss(own_n, own_ends, tokens[1], kinds)), mean(grams.loss(n, ends, tokens[0], kinds))
+        less = grams.within() if held_out else None
+        all_ = mean(grams.loss(n, ends, tokens[0], kinds, less))
+        own = mean(grams.loss(own_n, own_ends, tokens[1], kinds, less and tuple(x * mine[grams.doc] for x in less)))
         scored = pa.table([*rows.columns[: len(kept)], *(pa.array(x) for x in (each, own, all_, all_ - own))], names=[f.name for f in out])
-        del grams, n, own_n, ends, own_ends
+        del grams, less, n, own_n, ends, own_ends
         common.trim()
         return scored
 
@@ -366,7 +387,7 @@ def with_target(docs: DataFrame, ids: DataFrame, most: int = BROADCAST_IDS) -> D
 
 
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Target: the documents that are labelled as of quality and not toxic. Background: all documents."""
+    """Target: the documents that are labelled as of quality and not toxic. Background: all documents. Each is scored by the others."""
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
     good = common.table(spark, sf_dir, "labels").filter("quality = 1 and toxic = 0").select("doc_id").distinct()
-    return corpus_scores(with_target(docs, good), "target", keep=["doc_id"])
+    return corpus_scores(with_target(docs, good), "target", keep=["doc_id"], held_out=True)

@@ -85,7 +85,7 @@ def test_language_models_by_brute_force(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, target boolean")
     m = lm_scoring.fit(docs, "target", most=3)
     words = [w for _, t, _ in rows for w in (t or "").lower().replace(",", "").split()]
-    top = sorted(set(words), key=lambda w: -words.count(w))[:2]
+    top = sorted(set(words), key=lambda w: (-words.count(w), w))[:2]
     assert top == ["a", "b"] and m.vocab.size == 4
     counts = {}
     for own in (True, False):

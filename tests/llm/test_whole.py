@@ -1,6 +1,8 @@
 """Operators do the whole job: cases in which less of it would go unseen by the other tests."""
 
+import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -79,13 +81,37 @@ def test_language_models_of_the_whole_vocabulary(spark, monkeypatch, part):
     assert got[0]["background_loss"] != got[1]["background_loss"] or got[0]["target_loss"] != got[1]["target_loss"]
 
 
+def test_held_out_scores_by_brute_force(spark, monkeypatch):
+    rng = random.Random(3)
+    texts = [" ".join(f"w{int(rng.paretovariate(0.6)) % 90}" for _ in range(rng.randrange(1, 40))) for _ in range(80)]
+    texts[:8] = ["only once here", "twice in the corpus", "twice in the corpus", "again again again", "", None, "...", "end"]
+    rows = [(i if i != 9 else None, t, i % 3 == 0) for i, t in enumerate(texts)]
+    monkeypatch.setattr(lm_scoring, "PART_BYTES", 2000)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, target boolean").repartition(3)
+    tokens = [(t or "").replace(".", "").split() for t in texts]
+    words = {w for t in tokens for w in t}
+    got = {r["doc_id"]: r for r in lm_scoring.corpus_scores(docs, "target", keep=["doc_id"], held_out=True).collect()}
+    assert len(got) == len(rows)
+    for k, (t, (i, _, _)) in enumerate(zip(tokens, rows)):
+        want = []
+        for own in (True, False):
+            rest = [x for j, (x, r) in enumerate(zip(tokens, rows)) if j != k and (r[2] or not own)]
+            pairs = [p for x in rest for p in zip([None, *x], x)]
+            one, both, before = (Counter(y) for y in ([w for x in rest for w in x], pairs, [a for a, _ in pairs]))
+            unigram = lambda w: (one[w] + 1) / (sum(one.values()) + len(words))
+            loss = [-math.log((both[a, b] + lm_scoring.PRIOR * unigram(b)) / (before[a] + lm_scoring.PRIOR)) for a, b in zip([None, *t], t)]
+            want.append(np.mean(loss or [0.0]))
+        assert got[i]["n_tokens"] == len(t) and np.allclose([got[i]["target_loss"], got[i]["background_loss"], got[i]["difference"]], [*want, want[1] - want[0]])
+
+
 def test_op8_keeps_every_word(spark, tmp_path):
-    rows = [(i, f"common start w{i % 2000} end", "en") for i in range(3000)]
+    rows = [(i, f"common start w{i % 2000} end", "en") for i in range(3000)] + [(4000, "common start w0 end", "en"), (4001, "common start w1 end", "en")]
     spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
-    spark.createDataFrame([(i, 1, 0) for i in range(0, 1500)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(i, 1, 0) for i in [*range(0, 1500), 4000]], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     got = {r["doc_id"]: r for r in lm_scoring.op8_lm_scoring(spark, str(tmp_path)).collect()}
-    assert got[0]["background_loss"] < got[1999]["background_loss"]  # w0 occurs twice, w1999 once
-    assert got[0]["target_loss"] < got[1999]["target_loss"]
+    assert got[0]["background_loss"] < got[1500]["background_loss"] - 1  # w0 occurs in other texts too, w1500 in none
+    assert got[0]["target_loss"] < got[1]["target_loss"] - 1  # w0 occurs in another text of the target, w1 in no other
+    assert got[4001]["target_loss"] < got[1]["target_loss"] - 1  # which it is for a text that is not of the target
 
 
 BODY = "<p>First, a sentence of the story, long enough to count.</p><p>Second, and more of it, with commas.</p>"
