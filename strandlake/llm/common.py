@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import re
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -26,9 +27,11 @@ def col(name: str) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new path in the folder that all executors share (spark.checkpoint.dir); a local one only where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/checkpoints/strandlake"
-    return f"{root.rstrip('/')}/strandlake-{uuid.uuid4().hex}"
+    """A new path in the folder that all executors share (spark.checkpoint.dir); a local one only where all runs on one machine."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{(root or '/tmp/checkpoints/strandlake').rstrip('/')}/strandlake-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame) -> DataFrame:
@@ -46,6 +49,27 @@ def forget(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def unused(name: str, columns: list[str]) -> str:
+    """name, or name with so many underscores that no column has it in any case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def with_facts(df: DataFrame, facts: DataFrame, key: str, rows: int) -> DataFrame:
+    """df joined by key with facts, which has one row for each key, and in n that key's number of rows in df; rows: those of df.
+
+    Keys with over a quarter of a task's fair share of rows, of which there are at most four for each task, are joined by
+    broadcast, so that their rows never meet; all others by a shuffle.
+    """
+    tasks = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    most = max(1000, rows // (4 * tasks))
+    heavy, light = facts.filter(F.col("n") > most).drop("n"), facts.filter(F.col("n") <= most).drop("n")
+    rest = df.join(F.broadcast(heavy.select(key)), key, "left_anti").join(light, key)
+    return rest.unionByName(df.join(F.broadcast(heavy), key))
+
+
 def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of all texts, one after another, and the n+1 places where they begin and end. Null counts as empty."""
     if texts.null_count:

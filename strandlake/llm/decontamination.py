@@ -1,20 +1,21 @@
 """Benchmark decontamination: a broadcast set of hashed benchmark windows, scanned over the token windows of each document.
 
 A window is N consecutive words of an item, or all words of a shorter item. Hashes only propose hits; each is verified against
-the window's words. The set is broadcast while it has at most MAX_WINDOWS windows; a larger benchmark is scanned in slices of
-that many, one pass each, and the passes' hit spans are united, so nothing depends on the benchmark's size but the number of
-passes.
+the window's words. The set is broadcast while it has at most MAX_WINDOWS windows, those of several items counted for each; a larger
+one is cut into slices of that many by a hash of window and item, whatever items it comes from, with one pass each over a stored
+copy of the texts. The passes' hits are united, so nothing depends on the benchmark's size but the number of passes.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,27 +33,44 @@ SHARE = 20
 class Windows:
     """The distinct windows of a benchmark by length: hash sets, and for each key its words and the items that hold it."""
 
-    by_length: dict[int, tuple[HashSet, list[list[tuple[bytes, list[int]]]]]]
-
-
-def item_windows(texts: pa.Array, items: list[int], n: int = N) -> dict[tuple[int, int, bytes], list[int]]:
-    """(length, hash, words) -> items, in order. Items without words have no window."""
-    buf, at = common.buffers(texts)
-    words = Words(lower(buf), at, letters())
-    h, out = words.hashes(), {}
-    for d, item in enumerate(items):
-        a, b = int(words.first[d]), int(words.first[d + 1])
-        size = min(n, b - a)
-        if size:
-            spelled = [words.word(i) for i in range(a, b)]
-            for i, key in enumerate(window_hashes(h[a:b], size).tolist()):
-                of = out.setdefault((size, key, b" ".join(spelled[i : i + size])), [])
-                if not of or of[-1] != item:
-                    of.append(item)
+    by_length: dict[int, tuple[HashSet, list[list[tuple[bytes, list]]]]]
+
+
+def item_windows(benchmark: DataFrame, n: int = N) -> DataFrame:
+    """(size, key, words, item): the distinct windows of each item of (item, text), with their hashes. Items without words have none."""
+    kind = benchmark.schema["item"].dataType
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for begin, end in common.slices(batch.column(1)):
+                items = batch.column(0).slice(begin, end - begin)
+                buf, at = common.buffers(batch.column(1).slice(begin, end - begin))
+                words = Words(lower(buf), at, letters())
+                h = words.hashes()
+                for d, item in enumerate(items):
+                    a, b = int(words.first[d]), int(words.first[d + 1])
+                    if not (size := min(n, b - a)):
+                        continue
+                    keys = window_hashes(h[a:b], size).view(np.int64)
+                    for i in range(0, len(keys), 10_000):  # a long item's windows are many times its text
+                        spelled = [words.word(j) for j in range(a + i, min(b, a + i + 10_000 + size - 1))]
+                        part = keys[i : i + 10_000]
+                        rows = [pa.array(np.full(len(part), size, np.int32)), pa.array(part), pa.array([b" ".join(spelled[j : j + size]) for j in range(len(part))]), pa.array([item.as_py()] * len(part), items.type)]
+                        yield pa.RecordBatch.from_arrays(rows, ["size", "key", "words", "item"])
+
+    schema = T.StructType([T.StructField("size", T.IntegerType()), T.StructField("key", T.LongType()), T.StructField("words", T.BinaryType()), T.StructField("item", kind)])
+    return benchmark.select("item", "text").mapInArrow(run, schema).distinct()
+
+
+def gathered(rows: pa.Table) -> dict[tuple[int, int, bytes], list]:
+    """(length, hash, words) -> items."""
+    out: dict[tuple[int, int, bytes], list] = {}
+    for size, key, words, item in zip(*(rows.column(c).to_pylist() for c in ("size", "key", "words", "item"))):
+        out.setdefault((size, key & (1 << 64) - 1, words), []).append(item)
     return out
 
 
-def build(windows: dict[tuple[int, int, bytes], list[int]]) -> Windows:
+def build(windows: dict[tuple[int, int, bytes], list]) -> Windows:
     by_length: dict[int, dict[int, list]] = {}
     for (size, key, spelled), of in windows.items():
         by_length.setdefault(size, {}).setdefault(key, []).append((spelled, of))
@@ -63,13 +81,13 @@ def build(windows: dict[tuple[int, int, bytes], list[int]]) -> Windows:
     return Windows(out)
 
 
-def scan(texts: pa.Array, windows: Windows) -> tuple[list[int], list[list[tuple[int, int]]], list[list[int]], Words]:
+def scan(texts: pa.Array, windows: Windows) -> tuple[list[int], list[list[tuple[int, int]]], list[list], Words]:
     """For each text: number of words, hit spans as merged (first word, past the last), items with occurring windows."""
     buf, at = common.buffers(texts)
     words = Words(lower(buf), at, letters())
     h, first = words.hashes(), words.first
     spans: list[list[tuple[int, int]]] = [[] for _ in range(len(texts))]
-    items: list[set[int]] = [set() for _ in range(len(texts))]
+    items: list[set] = [set() for _ in range(len(texts))]
     for size, (keys, entries) in windows.by_length.items():
         found, key = keys.find(window_hashes(h, size))
         for i, k in zip(found.tolist(), key.tolist()):
@@ -100,39 +118,47 @@ _SPANS = T.ArrayType(T.ArrayType(T.IntegerType()))
 def hits(df: DataFrame, benchmark: DataFrame, text: str = "text", keep: list[str] | None = None, n: int = N, most: int = MAX_WINDOWS) -> DataFrame:
     """Adds n_words, hit_words (merged spans of word positions) and hit_items (sorted item ids) to every row.
 
-    Null and empty texts have no words; benchmark rows that are null, empty or repeated add nothing; items without an id count
-    as item -1. A column of df with one of the new names is replaced.
+    Null and empty texts have no words; benchmark rows that are null, empty or repeated add nothing. Ids of items are longs, where
+    they are whole numbers (null counts as -1), or strings (null counts as the empty one). A column of df with one of the new
+    names is replaced.
     """
     keep = [c for c in (df.columns if keep is None else keep) if c not in ("n_words", "hit_words", "hit_items")]
-    rows = benchmark.select(F.coalesce(F.col("item_id").cast("long"), F.lit(-1)).alias("item_id"), F.col("text").cast("string").alias("text"))
-    out = df
-    sized = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size(F.split(F.coalesce("text", F.lit("")), "[^0-9A-Za-z\\x{80}-\\x{10FFFF}]+"))), F.lit(0)).alias("words")).first()
-    parts = max(1, math.ceil(sized["words"] / most))
-    for k in range(parts):  # one pass for a benchmark of the usual size
-        own = rows.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k) if parts > 1 else rows
-        got = own.toArrow().sort_by("item_id")
-        windows = build(item_windows(got.column("text").combine_chunks(), got.column("item_id").to_pylist(), n))
-        shared = df.sparkSession.sparkContext.broadcast(windows)
-        name = {x: f"{x}_{k}" if parts > 1 else x for x in ("n_words", "hit_words", "hit_items")}
-
-        def make(shared=shared):
+    whole = isinstance(benchmark.schema["item_id"].dataType, T.IntegralType)
+    kind = T.LongType() if whole else T.StringType()
+    items = benchmark.select(F.coalesce(F.col("item_id").cast(kind), F.lit(-1 if whole else "")).alias("item"), F.col("text").cast("string").alias("text"))
+    windows = common.stored(item_windows(items, n))
+    parts = max(1, math.ceil(windows.count() / most))
+    fields = [T.StructField("n_words", T.LongType()), T.StructField("hit_words", _SPANS), T.StructField("hit_items", T.ArrayType(kind))]
+
+    def marked(rows: DataFrame, windows: DataFrame, text: str, keep: list[str]) -> DataFrame:
+        shared = df.sparkSession.sparkContext.broadcast(build(gathered(windows.toArrow())))
+
+        def make():
             def fn(texts: pa.Array) -> list:
-                n_words, spans, items, _ = scan(texts, shared.value)
-                return [n_words, [[list(s) for s in x] for x in spans], items]
+                n_words, spans, found, _ = scan(texts, shared.value)
+                return [n_words, [[list(s) for s in x] for x in spans], found]
 
             return fn
 
-        fields = [T.StructField(name["n_words"], T.LongType()), T.StructField(name["hit_words"], _SPANS), T.StructField(name["hit_items"], T.ArrayType(T.LongType()))]
-        last = k == parts - 1
-        out = common.map_text(out, make, fields, text, (keep + ([] if last or text in keep else [text]) + [c for c in out.columns if c.startswith(("n_words_", "hit_words_", "hit_items_")) and c not in keep]))
-        if parts > 1 and not last:
-            out = common.stored(out)  # one set at a time in a worker's memory
-    if parts > 1:
-        make_one = F.udf(lambda x: [list(s) for s in merged([tuple(s) for s in x])], _SPANS)
-        spans = make_one(F.flatten(F.array(*[F.col(f"hit_words_{k}") for k in range(parts)])))
-        items = F.array_sort(F.array_distinct(F.flatten(F.array(*[F.col(f"hit_items_{k}") for k in range(parts)]))))
-        out = out.select(*[common.col(c) for c in keep], F.col("n_words_0").alias("n_words"), spans.alias("hit_words"), items.alias("hit_items"))
-    return out
+        return common.map_text(rows, make, fields, text, keep)
+
+    if parts == 1:
+        return marked(df, windows, text, keep)
+    rows = common.stored(df.select(*[common.col(c).alias(f"k{i}") for i, c in enumerate(keep)], common.col(text).cast("string").alias("text"), F.monotonically_increasing_id().alias("row")))
+    slice_of = F.pmod(F.xxhash64("size", "key", "words", "item"), F.lit(parts))
+    found = None
+    for k in range(parts):  # one set at a time in a worker's memory; only the first pass keeps documents without hits
+        own = marked(rows.select("row", "text"), windows.filter(slice_of == k), "text", ["row"])
+        own = common.stored(own if k == 0 else own.filter(F.size("hit_items") > 0))
+        found = own if found is None else found.unionByName(own)
+    own = Window.partitionBy("row").orderBy("a", "b")
+    reached = F.max("b").over(own.rowsBetween(Window.unboundedPreceding, -1))
+    spans = found.select("row", F.explode("hit_words").alias("s")).select("row", F.col("s")[0].alias("a"), F.col("s")[1].alias("b"))
+    spans = spans.withColumn("new", F.when(F.col("a") <= reached, 0).otherwise(1)).withColumn("span", F.sum("new").over(own.rowsBetween(Window.unboundedPreceding, 0)))
+    spans = spans.groupBy("row", "span").agg(F.min("a").alias("a"), F.max("b").alias("b")).groupBy("row").agg(F.transform(F.sort_array(F.collect_list(F.struct("a", "b"))), lambda s: F.array(s["a"], s["b"])).alias("hit_words"))
+    rest = found.groupBy("row").agg(F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("hit_items")))).alias("hit_items"))
+    out = rows.drop("text").join(rest, "row").join(spans, "row", "left")
+    return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], "n_words", F.coalesce("hit_words", F.array().cast(_SPANS)).alias("hit_words"), "hit_items")
 
 
 def n_hit() -> F.Column:
@@ -143,9 +169,15 @@ def contaminated(share: int = SHARE) -> F.Column:
     return (n_hit() > 0) & (share * n_hit() >= F.col("n_words"))
 
 
-def without_documents(df: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """df without its contaminated documents."""
-    return hits(df, benchmark).filter(~contaminated()).select(*[common.col(c) for c in df.columns])
+def _numbered(df: DataFrame) -> DataFrame:
+    """df's columns as c0, c1, ..., so that none of its names meets one of hits()."""
+    return df.select(*[common.col(c).alias(f"c{i}") for i, c in enumerate(df.columns)])
+
+
+def without_documents(df: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
+    """df without its contaminated documents; all columns stay as they are."""
+    marked = hits(_numbered(df), benchmark, f"c{df.columns.index(text)}")
+    return marked.filter(~contaminated()).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(df.columns)])
 
 
 def cut(text: str | None, spans: list) -> str | None:
@@ -160,10 +192,10 @@ def cut(text: str | None, spans: list) -> str | None:
 
 
 def without_spans(df: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
-    """df with every hit span cut from its text; null texts stay null."""
+    """df with every hit span cut from its text; null texts stay null, and all other columns as they are."""
     cut_all = F.pandas_udf(lambda texts, spans: pd.Series([cut(t, s) for t, s in zip(texts, spans)], dtype=object), T.StringType())
-    marked = hits(df, benchmark, text, [*df.columns])
-    return marked.select(*[(cut_all(common.col(c), F.col("hit_words")) if c == text else common.col(c)).alias(c) for c in df.columns])
+    marked = hits(_numbered(df), benchmark, f"c{df.columns.index(text)}")
+    return marked.select(*[(cut_all(F.col(f"c{i}"), F.col("hit_words")) if c == text else F.col(f"c{i}")).alias(c) for i, c in enumerate(df.columns)])
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

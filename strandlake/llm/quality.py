@@ -145,16 +145,16 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     return trained(labelled(docs, labels, "quality", HELD_OUT, sample), train)
 
 
-def score(df: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Adds quality, a double from 0 to 1, to every row; null texts count as empty, equal texts score alike."""
+def score(df: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None, into: str = "quality") -> DataFrame:
+    """Adds a double from 0 to 1 to every row; null texts count as empty, equal texts score alike. A column named `into` is replaced."""
     shared = df.sparkSession.sparkContext.broadcast(model)
-    return common.map_text(df, lambda: lambda texts: [shared.value.score(texts)], [T.StructField("quality", T.DoubleType())], text, keep)
+    return common.map_text(df, lambda: lambda texts: [shared.value.score(texts)], [T.StructField(into, T.DoubleType())], text, keep)
 
 
-def reject(df: DataFrame, model: Model, limit: float = LIMIT) -> DataFrame:
-    """df without the rows that score below limit."""
-    out = score(df, model, keep=df.columns)
-    return out.filter(F.col("quality") >= limit).select(*[common.col(c) for c in df.columns])
+def reject(df: DataFrame, model: Model, limit: float = LIMIT, text: str = "text") -> DataFrame:
+    """df without the rows that score below limit; all columns stay as they are."""
+    into = common.unused("score", df.columns)
+    return score(df, model, text, df.columns, into).filter(F.col(into) >= limit).drop(into)
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -171,26 +171,31 @@ def groups(df: DataFrame, id_col: str = "doc_id", text: str = "text", keep: list
     keep = [c for c in (df.columns if keep is None else keep) if c not in ("fingerprint", "component_id", "component_key")]
     own = df.select(*[common.col(c).alias(f"k{i}") for i, c in enumerate(keep)], common.col(id_col).alias("id"), common.col(text).alias("text"))
     marked = common.stored(fingerprints(own, keep=[f"k{i}" for i in range(len(keep))] + ["id"]))
-    reps = common.stored(marked.groupBy("fingerprint").agg(F.min("id").alias("least")))
+    reps = common.stored(marked.groupBy("fingerprint").agg(F.min("id").alias("least"), F.count("*").alias("n")))
+    sizes = reps.agg(F.count("*").alias("fingerprints"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows")).first()
     of = components(links(reps.select("fingerprint"), blocks, distance))
-    rooted = reps.join(of.withColumnRenamed("node", "fingerprint"), "fingerprint", "left").withColumn("root", F.coalesce("root", "fingerprint"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    found = common.stored(rooted.join(least, "root").select("fingerprint", "component_id", F.col("root").alias("component_key")))
-    return marked.join(found, "fingerprint").select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id", "component_key")
+    rooted = common.stored(reps.join(of.withColumnRenamed("node", "fingerprint"), "fingerprint", "left").withColumn("root", F.coalesce("root", "fingerprint")))
+    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
+    found = common.with_facts(rooted.select("root", "fingerprint", F.col("n").alias("rows")), least, "root", sizes["fingerprints"])
+    found = common.stored(found.select("fingerprint", "component_id", F.col("root").alias("component_key"), F.col("rows").alias("n")))
+    for table in (reps, of, rooted):
+        common.forget(table)
+    out = common.with_facts(marked, found, "fingerprint", sizes["rows"])
+    return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id", "component_key")
 
 
 def one_of_each(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of each group of near-duplicates: that with the smallest id.
+    """One row of each group of near-duplicates: that with the smallest id; of several with that id one, by a hash of the text and
+    then by place.
 
-    Of rows that repeat an id one stays. Of a group in which no row has an id, one row stays; a row without an id in any other
-    group goes.
+    A row's own text decides on its group, so that rows which repeat an id with another text are in another group. A row without an
+    id stays only in a group in which no row has one. All columns stay as they are.
     """
-    whole = F.when(common.col(id_col).isNull(), F.struct(*[common.col(c).alias(f"c{i}") for i, c in enumerate(df.columns)]))
-    found = groups(df.select(common.col(id_col).alias("id"), common.col(text).alias("text"), whole.alias("whole")), "id", "text", ["id", "whole"])
-    gone = found.filter("component_id <> id").select(F.col("id").alias(id_col)).distinct()
-    named = df.filter(common.col(id_col).isNotNull()).join(gone, id_col, "left_anti").dropDuplicates([id_col]).select(*[common.col(c) for c in df.columns])
-    bare = found.filter("component_id is null").dropDuplicates(["component_key"]).select(*[F.col(f"whole.c{i}").alias(c) for i, c in enumerate(df.columns)])
-    return named.unionByName(bare)
+    rows = common.stored(df.select(*[common.col(c).alias(f"c{i}") for i, c in enumerate(df.columns)], F.monotonically_increasing_id().alias("row")))
+    place = {c: f"c{i}" for i, c in enumerate(df.columns)}
+    found = groups(rows.select("row", F.col(place[id_col]).alias("id"), F.col(place[text]).alias("text"), F.xxhash64(place[text]).alias("hash")), "id", "text", ["row", "id", "hash"])
+    best = found.groupBy("component_key").agg(F.min(F.struct(F.col("id").isNull().alias("bare"), "id", "hash", "row")).alias("best"))
+    return rows.join(best.select("best.row"), "row").select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(df.columns)])
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

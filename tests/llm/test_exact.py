@@ -18,7 +18,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from sentencepiece import sentencepiece_model_pb2 as proto
 
-from strandlake.llm import components, decontamination, html, pieces, sharding, simhash, telephony, token_counts
+from strandlake.llm import common, components, decontamination, html, pieces, sharding, simhash, telephony, token_counts
 
 EDGE = [(1, ""), (2, None), (3, "a"), (4, "same text here now ok"), (5, "same text here now ok"), (5, "same text here now ok"), (None, "no id"), (6, "long " * 40000)]
 SCHEMA = "doc_id long, text string"
@@ -114,11 +114,27 @@ def test_group_edges(spark, edge):
     assert simhash.groups(edge.filter("false")).count() == 0 and simhash.one_of_each(edge.filter("false")).count() == 0
 
 
-def test_components(spark):
+@pytest.mark.parametrize("few", [0, components.FEW])
+def test_components(spark, few):
     chain = [(i, i + 1) for i in range(40)] + [(100, 101), (102, 101), (7, 7), (200, 201), (201, 200)]
-    got = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(chain, "a long, b long")).collect()}
+    got = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(chain, "a long, b long"), few=few).collect()}
     assert all(got[i] == 0 for i in range(1, 41)) and got[102] == got[101] == 100 and got[201] == 200 and len(got) == 43
-    assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+    assert components.components(spark.createDataFrame([], "a long, b long"), few=few).count() == 0
+
+
+@pytest.mark.parametrize("few", [0, components.FEW])
+def test_a_star_and_a_long_path_are_one_component_each(spark, few):
+    star = [(10_000 + i, 5) for i in range(3000)] + [(20_000 + i, 20_001 + i) for i in range(300)]
+    got = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(star, "a long, b long"), few=few).collect()}
+    assert len(got) == 3300 and all(v == (5 if k < 20_000 else 20_000) for k, v in got.items())
+
+
+def test_keys_of_many_rows_meet_their_facts(spark):
+    rows = spark.createDataFrame([(i % 7 if i % 3 else 0, i) for i in range(9000)], "key long, i long")
+    facts = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("i").alias("least"))
+    got = common.with_facts(rows, facts, "key", 9000)
+    want = {k: min(i for i in range(9000) if (i % 7 if i % 3 else 0) == k) for k in range(7)}
+    assert got.columns == ["key", "i", "least"] and sorted((r["i"], r["least"]) for r in got.collect()) == [(i, want[i % 7 if i % 3 else 0]) for i in range(9000)]
 
 
 # --- HTML
@@ -199,6 +215,15 @@ def test_hits_by_brute_force(spark, most):
     assert [(r["n_words"], r["n"], list(r["hit_items"])) for r in rows] == slow_hits(docs, items)
 
 
+@pytest.mark.parametrize("most", [10**6, 5])
+def test_hits_of_items_named_by_strings(spark, most):
+    items = spark.createDataFrame([("q1", "a b c"), ("q1", "a b c"), (None, "x y"), ("q0", "a b c"), ("q2", "l " * 40)], "item_id string, text string")
+    docs = spark.createDataFrame([(1, "z a b c x y"), (2, "l " * 20), (3, None)], SCHEMA).withColumns({"n_words": F.lit(7), "row": F.lit(8), "k0": F.lit(9)})
+    got = {r["doc_id"]: r for r in decontamination.hits(docs, items, most=most).collect()}
+    assert [(got[i]["n_words"], list(map(list, got[i]["hit_words"])), list(got[i]["hit_items"])) for i in (1, 2, 3)] == [(6, [[1, 6]], ["", "q0", "q1"]), (20, [[0, 20]], ["q2"]), (0, [], [])]
+    assert all((r["row"], r["k0"]) == (8, 9) for r in got.values())
+
+
 def test_cutting(spark, edge):
     bench = spark.createDataFrame([(1, "same text here"), (2, "a")], "item_id long, text string")
     cut = decontamination.without_spans(edge, bench)

@@ -39,18 +39,36 @@ def test_stages(spark, sf):
     assert out.columns[: len(docs.columns)] == docs.columns
 
 
+CLASH = ["toxicity", "quality", "n_words", "hit_words", "hit_items", "n_words_0", "ids", "begins", "ends", "decoded", "round_trip", "component_id", "component_key", "score", "fingerprint", "id", "row", "c0", "k0", "c1"]
+
+
 @pytest.mark.parametrize("stage", range(5))
 def test_stage_edges(spark, sf, stage):
     base = common.table(spark, sf, "documents")
-    odd = spark.createDataFrame([(None, None, None, None, None), (1, None, "en", "s", 0), (2, "", None, "s", 0), (3, "a clean short text", "en", "s", 18), (3, "a clean short text", "en", "s", 18)], base.schema)
-    odd = odd.withColumns({"score": F.lit("x"), "fingerprint": F.lit(1), "id": F.lit(2)})
-    out = corpus_pipeline.STAGES[stage][1](spark, odd, sf)
-    assert out.columns[: len(odd.columns)] == odd.columns
-    n = out.count()
-    assert n == (4 if stage == 2 else 5) or stage in (0, 1, 2)
+    text = base.filter("length(text) > 300 and lang = 'en'").join(common.table(spark, sf, "labels").filter("quality = 1 and toxic = 0"), "doc_id").orderBy("doc_id").first()["text"]
+    rows = [(None, None, None, None, None), (1, None, "en", "s", 0), (2, "", None, "s", 0), (3, text, "en", "s", 18), (3, text, "en", "s", 18)]
+    odd = spark.createDataFrame(rows, base.schema).withColumns({c: F.concat(F.lit(f"my {c} "), F.coalesce("source", F.lit("-"))) for c in CLASH})
+    learned = base.select("*", *[F.lit(None).cast("string").alias(c) for c in CLASH])  # what the stages learn from
+    out = corpus_pipeline.STAGES[stage][1](spark, odd.unionByName(learned) if stage < 2 else odd, sf)
+    assert out.columns[: len(odd.columns)] == odd.columns and (stage == 4 or out.columns == odd.columns)
+    mine = out.filter("score is not null").collect()
+    assert all(r[c] == f"my {c} {r['source'] or '-'}" for r in mine for c in CLASH)
+    if stage == 4:
+        assert out.columns[len(odd.columns) :] == ["ids_", "begins_", "ends_", "round_trip_"] and all(r["round_trip_"] for r in mine)
+    count = {i: sum(r["doc_id"] == i for r in mine) for i in (None, 1, 2, 3)}
+    assert count[3] == (1 if stage == 2 else 2)
+    # null and empty texts: all score like the empty text and so go or stay together; all are near-duplicates of each other
+    assert [count[i] for i in (None, 1, 2)] in {0: ([1, 1, 1], [0, 0, 0]), 1: ([1, 1, 1], [0, 0, 0]), 2: ([0, 1, 0],), 3: ([1, 1, 1],), 4: ([1, 1, 1],)}[stage]
     assert corpus_pipeline.STAGES[stage][1](spark, odd.filter("false"), sf).count() == 0
 
 
+def test_repeated_ids_with_other_texts(spark):
+    a, b = "one text with so many words of its own", "quite another one that shares nothing at all with it"
+    rows = spark.createDataFrame([(5, a, 1), (7, a, 2), (5, b, 3), (3, b, 4), (5, a, 5), (None, b, 6), (None, "third, without any id, alone", 7)], "doc_id long, text string, row int")
+    got = sorted((r["doc_id"] or 0, r["text"]) for r in simhash.one_of_each(rows).collect())
+    assert got == [(0, "third, without any id, alone"), (3, b), (5, a)]
+
+
 @pytest.mark.parametrize("name", sorted(queries()))
 def test_whole_tables(spark, sf, name):
     out = queries()[name](spark, sf)
