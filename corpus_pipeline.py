@@ -19,7 +19,7 @@ def poor_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def copies_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest doc_id stays."""
+    """Of each group of near-duplicates the document with the smallest doc_id stays, wherever else that id stands."""
     return simhash.one_of_each(docs)
 
 
@@ -29,9 +29,15 @@ def contaminated_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' columns, the ids, the bytes of the text behind each id, and whether decoding gives the text again."""
-    out = pieces.encoded(docs, keep=docs.columns)
-    return out.withColumn("round_trip", F.col("decoded") == F.coalesce("text", F.lit(""))).drop("decoded")
+    """The documents' columns as they are, the ids, the bytes of the text behind each id, and whether decoding gives the text again.
+
+    A new column whose name the documents have already gets underscores behind it.
+    """
+    own = docs.select(*[common.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)])
+    text = f"c{docs.columns.index('text')}"
+    out = pieces.encoded(own, text=text).withColumn("round_trip", F.col("decoded") == F.coalesce(text, F.lit("")))
+    new = [F.col(c).alias(common.unused(c, docs.columns)) for c in ("ids", "begins", "ends", "round_trip")]
+    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)], *new)
 
 
 STAGES = [("toxicity", toxic_out), ("quality", poor_out), ("near_duplicates", copies_out), ("decontamination", contaminated_out), ("encoding", encoded)]
