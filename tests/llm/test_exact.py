@@ -300,10 +300,69 @@ def test_encoded_rows(spark, edge):
 # --- token counts
 
 
+COUNTED = ["", " ", "a  b's ", "x<|endoftext|>y <|ENDOFTEXT|>", "\n'll", "日本 語\t\x00é🙂　x", "İSTANBUL ΣΑΣ ﬁ", "é ́x", "e\u0301" * 12, "a'reb'r", "<|startoftext|><|endoftext|>z", "'s\u0327", "\u1112\u1161\u11ab\u1100", "नमस्ते दुनिया", "!!<|endoftext|>!!", "''s'start", "'ſx 12a3'd9", "ÀÉÎ's ŒUVRE’s ×÷ÿß", "x\u3000z\x0bq\x0c\x1c", "\u0085", "word" * 40]
+
+
 def test_counts_are_the_library_s(texts):
     c = token_counts.counter()
-    rows = ["", " ", "a  b's ", "x<|endoftext|>y <|ENDOFTEXT|>", "\n'll", "日本 語\t\x00é🙂　x", "İSTANBUL ΣΑΣ ﬁ", "é ́x", *texts.text.head(200)]
+    rows = [*COUNTED, *texts.text.head(400), *COUNTED]
     assert c.by_lump and c.totals(rows) == c.whole(rows)
+    c.forget()
+    assert c.totals(COUNTED[::-1]) == c.whole(COUNTED[::-1]) and c.totals([]) == []
+
+
+def every_prefix(c, text):
+    p, want = token_counts.Prefixes.of(text, c), c.whole([text[:i] for i in range(len(text) + 1)])
+    return [p.count(i) for i in range(len(text) + 1)] == want and p.all().tolist() == want
+
+
+def test_every_prefix_is_the_library_s(texts):
+    c = token_counts.counter()
+    assert all(every_prefix(c, t) for t in COUNTED)
+    assert all(every_prefix(c, t[:1200]) for t in texts.text.head(200))
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.text("abAB'’é\u0301ñß<|>endoftext st!?.12\u0327한\u1161\u11ab各ـ\u0651🙂", max_size=40))
+def test_any_prefix(text):
+    c = token_counts.counter()
+    assert every_prefix(c, text) and c.totals([text]) == c.whole([text])
+
+
+def test_tables_of_many_lumps_are_those_of_each(texts):
+    c = token_counts.counter()
+    c.forget()
+    rows = [*COUNTED, *texts.text.head(300)]
+    c.totals(rows)
+    from strandlake.llm.words import Words
+
+    buf, at = common.buffers(pa.array(rows))
+    words = Words(buf, at, token_counts._lump_bytes())
+    begin, cells = np.concatenate(c.begin), np.concatenate(c.cells)
+    for i, k in enumerate(words.hashes().tolist()):
+        lump = words.word(i).decode()
+        assert cells[begin[c.at[k]] :][: len(lump)].tolist() == c.table(lump).tolist()
+
+
+def test_a_long_lump_in_little_memory():
+    import tracemalloc
+
+    c, lump = token_counts.counter(), "".join(random.Random(2).choices("etaoinshrdlu", k=200_000))
+    want = c.whole([lump, lump[:99_999]])
+    tracemalloc.start()
+    p = token_counts.Prefixes.of(lump, c)
+    assert [p.count(len(lump)), p.count(99_999)] == want and tracemalloc.get_traced_memory()[1] < 200 * len(lump)
+    tracemalloc.stop()
+
+
+def test_other_tokenizers_are_counted_whole():
+    import public_tokenizers
+
+    c = token_counts.Counter(public_tokenizers.path("byte_bpe_50k.json"))
+    rows = ["a b", "", "x  y é"]
+    assert not c.by_lump and c.totals(rows) == c.whole(rows)
+    with pytest.raises(ValueError):
+        token_counts.Prefixes.of("a", c)
 
 
 @settings(max_examples=25, deadline=None)
@@ -318,10 +377,18 @@ def test_prefixes(text, budget):
 def test_counted_rows(spark, edge):
     got = {r["doc_id"]: r["n_tokens"] for r in token_counts.counted(edge).collect()}
     assert got[1] == got[2] == 0 and got[6] == 40000
-    cut = {r["doc_id"]: r["text"] for r in token_counts.within(edge, 2).collect()}
+    cut = {r["doc_id"]: r["text"] for r in token_counts.within(edge.withColumn("cut", F.lit("mine")), 2).collect()}
     assert cut[2] is None and cut[4] == "same text " and token_counts.counted(edge.filter("false")).count() == 0
     stored = {r["doc_id"]: r for r in token_counts.with_prefixes(edge).collect()}
     assert list(stored[4]["lump_tokens"]) == [1, 2, 3, 4, 5] and list(stored[4]["lump_ends"]) == [4, 9, 14, 18, 21]
+    assert list(stored[4]["prefix_tokens"])[:8] == token_counts.counter().whole([EDGE[3][1][:i] for i in range(8)]) and list(stored[1]["prefix_tokens"]) == [0]
+
+
+def test_op6_columns(spark, sf):
+    got = {r["doc_id"]: r for r in token_counts.op6_token_counts(spark, sf).collect()}
+    docs = common.table(spark, sf, "documents").collect()
+    n = token_counts.counter().whole([d["text"] or "" for d in docs])
+    assert [(got[d["doc_id"]]["n_bytes"], got[d["doc_id"]]["n_tokens"], got[d["doc_id"]]["over_limit"]) for d in docs] == [(len((d["text"] or "").encode()), k, k > 2048) for d, k in zip(docs, n)]
 
 
 # --- sharding
