@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 from html import unescape
+from itertools import accumulate
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,8 +42,12 @@ GOOD = set("article articlebody body content contents entry main maincontent hen
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"tbody", "thead", "tfoot", "tr", "td", "th"}}
 SCOPE = {"li": {"ul", "ol", "menu", "dir"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "option": {"select"}, "tbody": {"table"}}
 LEVELS = 4
-_TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)|</[^>]*(?:>|\Z)", re.S)
-_ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
+#: Tags by the states of the HTML standard: a quote means something only right behind an equals sign; > ends a tag anywhere else.
+_ATTRIBUTES = r"""(?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:"[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z)|[^\s>"'][^\s>]*+)?+)?+)*+"""
+_TOKEN = re.compile(rf"<!--.*?(?:--!?>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)({_ATTRIBUTES})(?:>|\Z)|</[^>]*(?:>|\Z)", re.S)
+_ATTRIBUTE = re.compile(r"""([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:"([^"]*+)"?|'([^']*+)'?|([^\s>"'][^\s>]*+))?+)?+""")
+#: Words before and behind a name of boilerplate that say how a page is laid out, not what an element holds.
+LAYOUT_BEFORE, LAYOUT_BEHIND = set("has no not with without hide show is".split()), set("open closed free enabled disabled on off".split())
 _PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 
 
@@ -65,8 +70,11 @@ def judged(tag: str, attributes: str) -> tuple[int, bool, int]:
     """Points of an element's own marks, whether they leave it out, and whether its name is one of boilerplate (1) or comments (2)."""
     if not attributes.strip():
         return 0, False, 0
-    got = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes)}
-    words = {w.lower() for w in _PARTS.findall(unescape(f"{got.get('class', '')} {got.get('id', '')}"))}
+    got: dict[str, str] = {}
+    for m in _ATTRIBUTE.finditer(attributes):
+        got.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")  # the first of several counts
+    names = [[w.lower() for w in _PARTS.findall(x)] for x in unescape(f"{got.get('class', '')} {got.get('id', '')}").split()]
+    words = {w for ws in names for w in ws if not (len(ws) > 1 and (ws[0] in LAYOUT_BEFORE or ws[-1] in LAYOUT_BEHIND))}
     hidden = "hidden" in got or got.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", got.get("style", ""), re.I)
     bad = (bool(words & BAD) or any(BAD_PARTS.search(w) for w in words)) and tag not in ("html", "body", "article", "main") and not (words & {"article", "articlebody", "maincontent", "hentry"} and not words & {"comment", "comments", "ad", "ads", "sidebar", "nav", "footer", "related"})
     if hidden or got.get("role", "").lower() in DROPPED_ROLES:
@@ -77,6 +85,7 @@ def judged(tag: str, attributes: str) -> tuple[int, bool, int]:
 
 def parse(page: str) -> Tree:
     t, stack, line, at, n = Tree(), [], 0, 0, len(page)
+    opened: dict[str, list[int]] = {}  # places in the stack of the open elements of each tag
 
     def push(tag: str, attributes: str) -> None:
         nonlocal line
@@ -86,23 +95,25 @@ def parse(page: str) -> Tree:
         t.dropped.append(tag in DROPPED or out)
         t.named.append(named)
         t.link.append(tag == "a" or (up >= 0 and t.link[up]))
+        opened.setdefault(tag, []).append(len(stack))
         stack.append(len(t.tag) - 1)
         line += tag in BLOCKS
 
     def pop() -> None:
         nonlocal line
         i = stack.pop()
+        opened[t.tag[i]].pop()
         t.end[i] = len(t.tag)
         line += t.tag[i] in BLOCKS
 
+    def nearest(tags: set[str]) -> int:
+        return max((opened[x][-1] for x in tags if opened.get(x)), default=-1)
+
     def close(tags: set[str], scope: set[str]) -> None:
-        for k in range(len(stack) - 1, 0, -1):
-            if t.tag[stack[k]] in tags:
-                while len(stack) > k:
-                    pop()
-                return
-            if t.tag[stack[k]] in scope:
-                return
+        k = nearest(tags)
+        if k > 0 and k >= nearest(scope):
+            while len(stack) > k:
+                pop()
 
     push("html", "")
     while at < n:
@@ -119,7 +130,7 @@ def parse(page: str) -> Tree:
         if m[1]:
             if tag == "html":
                 continue
-            if tag == "br" or tag == "p" and not any(t.tag[i] == "p" for i in stack):
+            if tag == "br" or tag == "p" and not opened.get("p"):
                 t.pieces.append((stack[-1], line, " "))
                 line += tag == "p"
                 continue
@@ -210,12 +221,22 @@ def by_name(t: Tree) -> list[bool]:
         while i >= 0:
             out[i], i = False, t.parent[i]
     most = max((points[i] for i in kept), default=points[0]) / 2
+    within = covered(n, [(a, t.end[a]) for a in kept])
     for i in range(n):
-        if out[i] and t.named[i] == 1 and points[i] > most and (not kept or any(a <= i < t.end[a] for a in kept)):
+        if out[i] and t.named[i] == 1 and points[i] > most and (not kept or within[i]):
             out[i] = False
     return out
 
 
+def covered(n: int, ranges: list[tuple[int, int]]) -> list[bool]:
+    """Which of n elements lie in some of the ranges."""
+    change = [0] * (n + 1)
+    for a, b in ranges:
+        change[a] += 1
+        change[b] -= 1
+    return [x > 0 for x in accumulate(change[:n])]
+
+
 def main_text(t: Tree) -> str:
     n = len(t.tag)
     size, linked, commas, links = [0] * n, [0] * n, [0] * n, [0] * n
@@ -268,9 +289,9 @@ def main_text(t: Tree) -> str:
         ranges = siblings(t, best, total, said, size, linked, links)
     out: list[str] = []
     last, parts = -1, []
-    skip = menus(t, size, linked, links, own)
+    skip, inside = menus(t, size, linked, links, own), covered(n, ranges)
     for i, line, text in t.pieces:
-        if t.dropped[i] or skip[i] or not any(a <= i < b for a, b in ranges):
+        if t.dropped[i] or skip[i] or not inside[i]:
             continue
         if line != last:
             out.append("".join(parts))

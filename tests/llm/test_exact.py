@@ -163,6 +163,52 @@ def test_extract(page, text):
     assert html.extract(page) == text
 
 
+STORY = "<h1>T</h1><p>" + "One sentence, and another one, of the story. " * 6 + "</p><p>" + "More of it, with commas, and so on. " * 6 + "</p>"
+STORY_TEXT = "T\n" + " ".join(["One sentence, and another one, of the story."] * 6) + "\n" + " ".join(["More of it, with commas, and so on."] * 6)
+
+
+@pytest.mark.parametrize("name", ["content has-sidebar", "no-sidebar", "alert-free", "comments-open", "site-content with-sidebar", "hasSidebar", "noAds page", "newsletter-closed"])
+@pytest.mark.parametrize("inner", ["article", "div"])
+def test_names_of_layout(name, inner):
+    page = f"<body><nav><a href=a>x</a></nav><div class='{name}'><{inner}>{STORY}</{inner}><div class='sidebar'><p>side, text, that, is, none, of, it.</p></div></div><div class=alert-box><p>no, no</p></div></body>"
+    assert html.extract(page) == STORY_TEXT
+
+
+@pytest.mark.parametrize("tag", ["title=Bob's", 'class="x""', "class='a'' id=b", 'a"b', "data-x='it\"s' y", "alt=\"it's\"", 'q="a > b"', "=odd", "a = 'b' / c"])
+def test_quotes_in_tags(tag):
+    assert html.extract(f"<body><div {tag}>{STORY}</div><div class=footer>end 'of \" page</div></body>") == STORY_TEXT
+
+
+def test_first_of_two_attributes_counts():
+    assert html.extract(f"<body><div class=story class=sidebar>{STORY}</div></body>") == STORY_TEXT
+    assert html.judged("div", " hidden class=x")[1] and html.judged("div", " style='display: none'")[1] and not html.judged("div", " data-hidden=1")[1]
+
+
+@pytest.mark.parametrize("shape", ["<div>" * 20_000 + "</b>" * 20_000, "<p><button>" + "<span>" * 20_000 + "<div>" * 20_000, "<main>" * 20_000 + "x", "<p>a, b</p>" * 20_000, "<div class='x" * 20_000, "<li>" * 20_000, "<a =" * 20_000, "<!--" * 20_000, "<title>" * 20_000, "<div " + "a=' " * 20_000])
+def test_crafted_pages_take_little_time(shape):
+    import time
+
+    began = time.process_time()
+    html.extract(shape + "the end")
+    assert time.process_time() - began < 4
+
+
+def test_all_pages_are_exact(spark, sf):
+    import html as std
+
+    for page in [r["html"] for d in (sf, sf.replace("0.001", "0.01")) for r in common.table(spark, d, "pages").select("html").collect()]:
+        found = re.search(r"<article>(.*?)(</article>|\Z)", page or "", re.S)
+        blocks = re.split(r"</?(?:p|h1)\b[^>]*>", found[1]) if found else []
+        want = [" ".join(std.unescape(re.sub(r"</?b>", "", b).replace("<br>", " ")).split()) for b in blocks]
+        assert html.extract(page) == "\n".join(w for w in want if w)
+
+
+def test_op3_columns(spark, sf):
+    pages = {r["page_id"]: r for r in common.table(spark, sf, "pages").collect()}
+    out = html.op3_html(spark, sf).collect()
+    assert len(out) == len(pages) and all((r["url"], r["text"], r["n_chars"]) == (pages[r["page_id"]]["url"], html.extract(pages[r["page_id"]]["html"]), len(r["text"])) for r in out)
+
+
 def test_extracted_rows(spark):
     pages = spark.createDataFrame([(1, "u", "<p>a</p>", "old"), (2, None, None, "old"), (2, None, None, "old")], "page_id long, url string, html string, text string")
     out = html.extracted(pages)
