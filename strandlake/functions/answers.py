@@ -18,8 +18,9 @@ BOXED = "\\boxed{"
 #: Markers that announce an answer, special tokens, and wrappers.
 _MARKER = re.compile(r"(?i)(?:final answer|answer)\s*(?:is|:)\s*")
 _SPECIAL = re.compile(r"<\|[^|>]*\|>")
+_BRACE = re.compile(r"\\boxed\{|[{}]")
 _INTEGER = re.compile(r"-?\d+")
-_WRAPPED = re.compile(r"\\(?:boxed|text|mathrm|operatorname)\{(.+)\}", re.S)
+_WRAPPED = re.compile(r"\\(?:boxed|text|mathrm|operatorname)\{(.+)\}")
 _CONTROL = re.compile(r"</?(?:think|steer|exec)>")
 #: Control tags and their beginnings that are stripped from the edges of a block.
 EDGES = [t[:n] for t in ("</steer>", "</exec>", "</think>", "<steer>", "<exec>", "<think>") for n in range(len(t), 1, -1)]
@@ -41,38 +42,29 @@ def arrow(kind: T.DataType) -> Callable:
     return wrap
 
 
+def boxes(text: str) -> list[tuple[int, int]]:
+    """Where balanced boxed expressions begin and end, in the order in which they end."""
+    out, open_ = [], []
+    for m in _BRACE.finditer(text):  # an opening is a box or a bare brace
+        if m[0] != "}":
+            open_.append(m.start() if m[0] == BOXED else None)
+        elif open_ and (begin := open_.pop()) is not None:
+            out.append((begin, m.end()))
+    return out
+
+
 def boxed_answers(text: str) -> list[str]:
     """Every balanced boxed expression, nested ones too, by where they begin."""
-    out, stack = [], []
-    i = 0
-    while i < len(text):  # one pass: an opening is a box or a bare brace
-        if text.startswith(BOXED, i):
-            stack.append(i)
-            i += len(BOXED)
-            continue
-        if text[i] == "{":
-            stack.append(None)
-        elif text[i] == "}" and stack:
-            begin = stack.pop()
-            if begin is not None:
-                out.append((begin, text[begin : i + 1]))
-        i += 1
-    return [x for _, x in sorted(out)]
+    return [text[a:b] for a, b in sorted(boxes(text))]
 
 
 def last_box(text: str) -> str | None:
-    """What the last box holds; '\\boxed x$' holds x; an unbalanced one nothing."""
-    if "\\boxed " in text:
-        return text.rsplit("\\boxed ", 1)[1].split("$", 1)[0]
-    at = text.rfind("\\boxed")
-    if at < 0:
-        return None
-    depth = 0
-    for i in range(at, len(text)):
-        depth += {"{": 1, "}": -1}.get(text[i], 0)
-        if text[i] == "}" and depth == 0:
-            return text[at + len(BOXED) : i] if text.startswith(BOXED, at) else None
-    return None
+    """What the last box holds; one of the form '\\boxed x$' comes before all others, and an unbalanced last one holds nothing."""
+    _, spaced, rest = text.rpartition("\\boxed ")
+    if spaced:
+        return rest.partition("$")[0]
+    begun = text.rfind("\\boxed")
+    return next((text[a + len(BOXED) : b - 1] for a, b in boxes(text) if a == begun), None) if begun >= 0 else None
 
 
 def candidate_answer(text: str) -> str:
@@ -161,11 +153,20 @@ def repeat_runs(blocks: list[str], threshold: float = 0.9, window: int = 3) -> l
     return out
 
 
-def peeled(text: str) -> list[str]:
+def peelings(text: str) -> list[str]:
+    """The stripped text, and what each peeling of a wrapper leaves."""
     out = [text.strip()]
-    while (m := _WRAPPED.fullmatch(out[-1])) and m[1].strip() not in out:
+    while m := _WRAPPED.fullmatch(out[-1]):
         out.append(m[1].strip())
-    return [x for x in out if x]
+    return out
+
+
+def peeled(text: str) -> list[str]:
+    return list(dict.fromkeys(x for x in peelings(text) if x))
+
+
+def peeled_to_the_end(text: str) -> str:
+    return peelings(text)[-1]
 
 
 def as_number(text: str) -> Fraction | None:

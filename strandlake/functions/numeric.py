@@ -88,29 +88,6 @@ def step_of_path(path: Column) -> Column:
     return F.nullif(F.regexp_extract(path, r"(?:step_|checkpoint-)(\d+)", 1), F.lit("")).cast("long")
 
 
-def coalesced_spans(spans: Column) -> Column:
-    """Sorted half-open spans, those that touch or overlap as one."""
-    empty = F.slice(F.array(F.struct(F.lit(0).alias("start"), F.lit(0).alias("end"))), 1, 0)
-
-    def fold(acc: Column, s: Column) -> Column:
-        last = F.try_element_at(acc, F.lit(-1))
-        grown = F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"))))
-        return F.when((F.size(acc) > 0) & (s["start"] <= last["end"]), grown).otherwise(F.concat(acc, F.array(F.struct(s["start"].alias("start"), s["end"].alias("end")))))
-
-    return F.aggregate(F.array_sort(spans), empty, fold)
-
-
-def overlapping(tokens: Column, spans: Column) -> Column:
-    """For each token span, 1 if it overlaps any of the spans."""
-    return F.transform(tokens, lambda t: F.when(F.exists(spans, lambda s: (t["start"] < s["end"]) & (s["start"] < t["end"])), 1).otherwise(0))
-
-
-def masked(mask: Column, spans: Column, keep: bool) -> Column:
-    """The mask inside (keep) or outside the spans; spans beyond it are cut."""
-    inside = lambda i: F.exists(spans, lambda s: (s["start"] <= i) & (i < s["end"]))
-    return F.transform(mask, lambda m, i: F.when(inside(i) if keep else ~inside(i), m).otherwise(0))
-
-
 def supervision(assistant: Column, overlapped: Column) -> Column:
     """Assistant tokens that are not overlapped; the last position is always on."""
     both = F.zip_with(assistant, overlapped, lambda a, o: F.when((a == 1) & (o == 0), 1).otherwise(0))

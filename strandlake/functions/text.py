@@ -1,4 +1,4 @@
-"""Text, tag and answer functions as Column builders: built-in expressions only, each takes and returns Columns."""
+"""Text, tag and answer functions as Column builders: built-in expressions (and running sums in Arrow), each takes and returns Columns."""
 
 from __future__ import annotations
 
@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from strandlake.functions.arrays import running
+
 #: The tag vocabularies differ by operator and are never shared between them.
 STEER_TAGS, EXEC_TAGS = "steer|steering", "exec|execute|execution"
 TAG_FRAGMENTS = "t|th|thi|thin|s|st|ste|stee|e|ex|exe"
@@ -71,8 +73,9 @@ _ADJACENT = r"(?is)<steer\b[^>]*>(.*?)</steer>\s*<exec\b[^>]*>(.*?)</exec>"
 
 def adjacent_pairs(x: Column) -> Column:
     """Steer blocks followed by an exec block at once; pairs with a blank side are dropped."""
-    a, b = (F.regexp_extract_all(x, F.lit(_ADJACENT), F.lit(i)) for i in (1, 2))
-    both = F.zip_with(a, b, lambda s, e: F.struct(squeeze(s).alias("steer"), squeeze(e).alias("exec")))
+    found = F.regexp_extract_all(x, F.lit(_ADJACENT), F.lit(0))  # one scan of the trace; each pair is cut again by itself
+    side = lambda p, i: squeeze(F.regexp_extract(p, _ADJACENT, i))
+    both = F.transform(found, lambda p: F.struct(side(p, 1).alias("steer"), side(p, 2).alias("exec")))
     return F.filter(both, lambda p: (p["steer"] != "") & (p["exec"] != ""))
 
 
@@ -181,11 +184,16 @@ def structure_issues(x: Column, require_blocks: bool = True) -> Column:
 
 
 def has_boxed(x: Column) -> Column:
-    r"""Whether some \boxed{ is closed again: braces nested up to five deep, as Java's expressions count no further."""
-    body = r"[^{}]*"
-    for _ in range(5):
-        body = rf"[^{{}}]*(?:\{{{body}\}}[^{{}}]*)*"
-    return x.rlike(rf"\\boxed\{{{body}\}}")
+    r"""Whether some \boxed{ is closed again, at any depth: a fold over the braces that knows how many are open, and at what depth the
+    innermost open box began (the first one that closes is always that one)."""
+    start = F.struct(F.lit(0).alias("depth"), F.lit(-1).alias("box"), F.lit(False).alias("found"))
+
+    def fold(s: Column, t: Column) -> Column:
+        opened = F.struct((s["depth"] + 1).alias("depth"), F.when(t == "{", s["box"]).otherwise(s["depth"] + 1).alias("box"), s["found"].alias("found"))
+        closed = F.struct(F.greatest(s["depth"] - 1, F.lit(0)).alias("depth"), s["box"].alias("box"), (s["found"] | ((s["depth"] > 0) & (s["depth"] == s["box"]))).alias("found"))
+        return F.when(t == "}", closed).otherwise(opened)
+
+    return F.aggregate(F.regexp_extract_all(x, F.lit(r"\\boxed\{|[{}]"), F.lit(0)), start, fold, lambda s: s["found"])
 
 
 def block_stats(x: Column) -> Column:
@@ -204,12 +212,28 @@ def eval_answer(x: Column) -> Column:
     return F.when(y.rlike(r"^-?\d+$"), F.regexp_replace(y, r"^(-?)0+(?=\d)", "$1")).otherwise(y)
 
 
-def unwrapped(x: Column, times: int = 4) -> Column:
-    """Whole-answer wrappers such as \\text{...} peeled off, up to a fixed number of times."""
-    y = strip(x)
-    for _ in range(times):
-        y = strip(F.regexp_replace(y, rf"^\\(?:{WRAPPERS})\{{(.+)\}}$", "$1"))
-    return y
+def peelings(x: Column) -> Column:
+    """The stripped answer, and what each peeling of a whole-answer wrapper such as \\text{...} leaves, until none is left.
+
+    Wrappers are counted at the beginning and closing braces at the end, so that any depth takes one pass each. A wrapper of
+    nothing stays, and so do all where the answer holds a line feed.
+    """
+
+    def cuts(y: Column) -> Column:
+        opened = F.regexp_extract_all(F.regexp_extract(y, rf"(?U)^(?:\\(?:{WRAPPERS})\{{\s*+)++", 0), F.lit(rf"(?U)\\(?:{WRAPPERS})\{{\s*"), F.lit(0))
+        closed = F.regexp_extract_all(F.regexp_extract(F.reverse(y), r"(?U)^(?:\}\s*+)++", 0), F.lit(r"(?U)\}\s*"), F.lit(0))
+        size = lambda parts, n: F.aggregate(F.slice(parts, F.lit(1), n), F.lit(0), lambda a, p: a + F.length(p))
+        n = F.when(y.contains("\n"), 0).otherwise(F.least(F.size(opened), F.size(closed)))
+        inner = lambda i: F.substr(y, size(opened, i) + 1, F.greatest(F.length(y) - size(opened, i) - size(closed, i), F.lit(0)))
+        bare = (n > 0) & (inner(n) == "") & F.get(opened, n - 1).endswith("{")
+        return F.transform(F.sequence(F.lit(0), n - bare.cast("int")), lambda i: strip(inner(i)))
+
+    return let(strip(x), cuts)
+
+
+def unwrapped(x: Column) -> Column:
+    """Whole-answer wrappers peeled off until none is left."""
+    return F.element_at(peelings(x), -1)
 
 
 def answer_class(x: Column) -> Column:
@@ -218,6 +242,7 @@ def answer_class(x: Column) -> Column:
     y = F.regexp_replace(strip(y), r"(?s)^\$(.*)\$$", "$1")
     y = F.regexp_replace(F.replace(unwrapped(y), F.lit(","), F.lit("")), r"(?U)\s+", "")
     number = r"[+-]?(?:\d+(?:\.\d*)?|\.\d+)"
+    unit = r"(?:\\%|%|\^\\circ|\\text\{[^}]+\})"  # fixed value: units behind a number
 
     def cls(v: Column) -> Column:
         symbolic = F.lit(False)
@@ -226,7 +251,7 @@ def answer_class(x: Column) -> Column:
         return (
             F.when(v.rlike(rf"^{number}(?:[eE][+-]?\d+)?$"), "plain_scalar_or_simple_fraction")
             .when(v.rlike(r"^[+-]?\d+/[+-]?0*[1-9]\d*$"), "plain_scalar_or_simple_fraction")
-            .when(v.rlike(rf"^{number}(?:\\%|%|\^\\circ|\\text\{{[^}}]+\}})$"), "other")
+            .when(v.rlike(rf"^{number}{unit}$"), "other")
             .when(symbolic, "exact_symbolic_numeric_expression")
             .otherwise("other")
         )
@@ -265,8 +290,8 @@ def replaced_blocks(x: Column, outputs: Column) -> Column:
     bodies = F.regexp_extract_all(x, F.lit(r"(?is)<think>(.*?)</think>"), F.lit(1))
     gaps = F.split(x, r"(?is)<think>.*?</think>", -1)
     used = F.size(F.filter(bodies, lambda b: ~blank(b)))
-    before = lambda i: F.size(F.filter(F.slice(bodies, F.lit(1), i), lambda b: ~blank(b)))
-    filled = F.transform(bodies, lambda b, i: F.concat(F.get(gaps, i), F.when(blank(b), F.lit("<think></think>")).otherwise(F.concat(F.lit("<think>\n"), unfenced(F.get(outputs, before(i))), F.lit("\n</think>")))))
+    number = running(F.transform(bodies, lambda b: F.when(blank(b), 0).otherwise(1)))  # of the output that a block uses, from 1
+    filled = F.transform(F.arrays_zip(F.slice(gaps, F.lit(1), F.size(bodies)).alias("gap"), bodies.alias("body"), number.alias("number")), lambda z: F.concat(z["gap"], F.when(blank(z["body"]), F.lit("<think></think>")).otherwise(F.concat(F.lit("<think>\n"), unfenced(F.get(outputs, z["number"] - 1)), F.lit("\n</think>")))))
     return F.when(F.size(outputs) != used, F.raise_error(F.lit("as many outputs as think blocks are needed"))).otherwise(F.concat(F.array_join(filled, ""), F.element_at(gaps, -1)))
 
 
@@ -350,15 +375,9 @@ def rendered(pairs: Column) -> Column:
 
 def steer_ranges(pairs: Column) -> Column:
     """Where the steer texts stand in the rendered text, as half-open ranges of characters."""
-    size = lambda p: F.length(p["steer"]) + F.length(p["exec"]) + len("<steer></steer>\n<exec></exec>\n")
-    none = F.slice(F.array(F.struct(F.lit(0).alias("start"), F.lit(0).alias("end"))), 1, 0)
-
-    def fold(acc: Column, p: Column) -> Column:
-        start = acc["at"] + len("<steer>")
-        own = F.struct(start.alias("start"), (start + F.length(p["steer"])).alias("end"))
-        return F.struct((acc["at"] + size(p)).alias("at"), F.concat(acc["out"], F.array(own)).alias("out"))
-
-    return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("out")), fold, lambda acc: acc["out"])
+    size = F.transform(pairs, lambda p: F.length(p["steer"]) + F.length(p["exec"]) + len("<steer></steer>\n<exec></exec>\n"))
+    places = F.zip_with(running(size), size, lambda upto, n: upto - n + len("<steer>"))
+    return F.zip_with(places, pairs, lambda at, p: F.struct(at.alias("start"), (at + F.length(p["steer"])).alias("end")))
 
 
 def word_count(x: Column, word: str) -> Column:
@@ -468,13 +487,9 @@ def sections(blocks: Column) -> Column:
     return F.transform(F.aggregate(blocks, empty, fold), lambda s: F.struct(s["title"].alias("title"), F.array_join(s["texts"], "\n\n").alias("text")))
 
 
-def wrapper_variants(x: Column, times: int = 4) -> Column:
+def wrapper_variants(x: Column) -> Column:
     """The answer and what each peeling of a wrapper leaves."""
-    out, y = [strip(x)], strip(x)
-    for _ in range(times):
-        y = strip(F.regexp_replace(y, rf"^\\(?:{WRAPPERS})\{{(.+)\}}$", "$1"))
-        out.append(y)
-    return F.array_distinct(F.filter(F.array(*out), lambda v: v != ""))
+    return F.array_distinct(F.filter(peelings(x), lambda v: v != ""))
 
 
 def stats_line(x: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandlake.functions import text as X
+from strandlake.functions.arrays import word_ends
 
 
 def is_math_row(label: Column, prompt: Column, truths: Column, wanted: str) -> Column:
@@ -215,7 +216,4 @@ def counts_by(df: DataFrame, *columns: str) -> DataFrame:
 
 def windows_of_text(df: DataFrame, text: str, word: str, low: int, high: int) -> DataFrame:
     """places of a word whose text before it has from low to high characters."""
-    pieces = F.split(F.col(text), word, -1)
-    at = F.transform(F.sequence(F.lit(1), F.size(pieces) - 1), lambda i: F.length(F.array_join(F.slice(pieces, F.lit(1), i), word)))
-    places = F.when(F.size(pieces) > 1, at).otherwise(F.array().cast("array<int>"))
-    return df.select("*", F.explode(F.filter(places, lambda p: p.between(low, high))).alias("place"))
+    return df.select("*", F.explode(F.filter(word_ends(F.col(text), word), lambda p: p.between(low, high))).alias("place"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from strandlake.functions import arrays as A
 from strandlake.functions import numeric as N
 from strandlake.functions import text as X
 from strandlake.operators import embed as V
@@ -103,39 +104,39 @@ def _(t):
 
 #: Places of a word in a text as spans, widened so that some touch and overlap.
 def word_spans(t):
-    pieces = F.split("text", " the ", -1)
-    ends = F.transform(F.sequence(F.lit(1), F.size(pieces) - 1), lambda i: F.length(F.array_join(F.slice(pieces, F.lit(1), i), " the ")))
-    docs = t("documents").filter("n_chars < 3000").withColumn("ends", F.when(F.size(pieces) > 1, ends).otherwise(F.array().cast("array<int>")))
-    return docs.withColumn("spans", F.transform("ends", lambda e: F.struct(e.alias("start"), (e + 30).alias("end"))))
+    return t("documents").withColumn("spans", F.transform(A.word_ends(C("text"), " the "), lambda e: F.struct(e.alias("start"), (e + 30).alias("end"))))
 
 
-SPANS = """with s as (select doc_id, length(array_to_string(string_split(text, ' the ')[1:i], ' the '))::int as a, length(array_to_string(string_split(text, ' the ')[1:i], ' the '))::int + 30 as b from (select *, unnest(range(1, len(string_split(text, ' the ')))) as i from {documents} where n_chars < 3000)),
+SPANS = """with s as (select doc_id, length(array_to_string(string_split(text, ' the ')[1:i], ' the '))::int as a, length(array_to_string(string_split(text, ' the ')[1:i], ' the '))::int + 30 as b from (select *, unnest(range(1, len(string_split(text, ' the ')))) as i from {documents})),
   f as (select *, case when a > max(b) over (partition by doc_id order by a rows between unbounded preceding and 1 preceding) or row_number() over (partition by doc_id order by a) = 1 then 1 else 0 end as new from s),
   g as (select doc_id, a, b, sum(new) over (partition by doc_id order by a) as k from f), m as (select doc_id, k, min(a) as a, max(b) as b from g group by 1, 2)"""
 
 
-@P.query("i17_coalesced_spans", SPANS + " select d.doc_id, coalesce(string_agg(concat(a, '-', b), '|' order by a) filter (a is not null), '') as spans from (select doc_id from {documents} where n_chars < 3000) d left join m using (doc_id) group by 1")
+@P.query("i17_coalesced_spans", SPANS + " select d.doc_id, coalesce(string_agg(concat(a, '-', b), '|' order by a) filter (a is not null), '') as spans from (select doc_id from {documents}) d left join m using (doc_id) group by 1")
 def _(t):
-    return word_spans(t).select("doc_id", F.array_join(F.transform(N.coalesced_spans(C("spans")), lambda s: F.concat(s["start"].cast("string"), F.lit("-"), s["end"].cast("string"))), "|").alias("spans"))
+    return word_spans(t).select("doc_id", F.array_join(F.transform(A.coalesced_spans(C("spans")), lambda s: F.concat(s["start"].cast("string"), F.lit("-"), s["end"].cast("string"))), "|").alias("spans"))
 
 
-_TOK = "(select doc_id, unnest(range(0, 40)) * 25 as p from {documents} where n_chars < 3000)"
+_TOK = "(select doc_id, unnest(range(0, length(text) // 25 + 1)) * 25 as p from {documents})"
 
 
-@P.query("c18_overlap_masks", SPANS + f" select doc_id, sum(case when exists (select 1 from m where m.doc_id = k.doc_id and k.p < m.b and m.a < k.p + 25) then 1 else 0 end)::bigint as masked from {_TOK} k group by 1")
+#: Spans of a text don't touch, so those that begin before a place and those that end there decide.
+@P.query("c18_overlap_masks", SPANS + f""", k as (select doc_id, p, p + 25 as q from {_TOK})
+  select k.doc_id, sum(case when m.a is not null and m.b > k.p then 1 else 0 end)::bigint as masked from k asof left join m on k.doc_id = m.doc_id and k.q > m.a group by 1""")
 def _(t):
-    tokens = F.transform(F.sequence(F.lit(0), F.lit(39)), lambda i: F.struct((i * 25).alias("start"), (i * 25 + 25).alias("end")))
-    mask = N.overlapping(tokens, N.coalesced_spans(C("spans")))
+    tokens = F.transform(F.sequence(F.lit(0), F.floor(F.length("text") / 25)), lambda i: F.struct((i * 25).alias("start"), (i * 25 + 25).alias("end")))
+    mask = A.overlapping(tokens, A.coalesced_spans(C("spans")))
     return word_spans(t).select("doc_id", F.aggregate(mask, F.lit(0).cast("long"), lambda a, x: a + x).alias("masked"))
 
 
-@P.query("i18_span_masks", SPANS + """ select doc_id, count(*) filter (p % 3 <> 0 and i) as kept, count(*) filter (p % 3 <> 0 and not i) as excluded from (select doc_id, p, exists (select 1 from m where m.doc_id = k.doc_id and m.a <= p and p < m.b) as i
-  from (select doc_id, unnest(range(0, 200)) as p from {documents} where n_chars < 3000) k) group by 1""")
+@P.query("i18_span_masks", SPANS + """, k as (select doc_id, length(text) as n, ceil(length(text) / 3) as thirds from {documents}),
+  c as (select doc_id, least(a, n) as a, least(b, n) as b from m join k using (doc_id)), i as (select doc_id, sum((b - a) - (floor((b + 2) / 3) - floor((a + 2) / 3))) as kept from c group by 1)
+  select doc_id, coalesce(kept, 0)::bigint as kept, (n - thirds - coalesce(kept, 0))::bigint as excluded from k left join i using (doc_id)""")
 def _(t):
-    mask = F.transform(F.sequence(F.lit(0), F.lit(199)), lambda i: F.when(i % 3 == 0, 0).otherwise(1))
+    mask = F.transform(F.slice(F.sequence(F.lit(0), F.length("text")), F.lit(1), F.length("text")), lambda i: F.when(i % 3 == 0, 0).otherwise(1))
     total = lambda m: F.aggregate(m, F.lit(0).cast("long"), lambda a, x: a + x)
-    rows = word_spans(t).withColumn("merged", N.coalesced_spans(C("spans")))
-    return rows.select("doc_id", total(N.masked(mask, C("merged"), True)).alias("kept"), total(N.masked(mask, C("merged"), False)).alias("excluded"))
+    rows = word_spans(t).withColumn("merged", A.coalesced_spans(C("spans"))).withColumn("mask", mask)
+    return rows.select("doc_id", total(A.masked(C("mask"), C("merged"), True)).alias("kept"), total(A.masked(C("mask"), C("merged"), False)).alias("excluded"))
 
 
 @P.query("i19_steer_mask", r"select doc_id, len(regexp_extract_all(trace, '(?is)<steer>(.*?)</steer>', 1)[1])::bigint as masked from {traces} where len(regexp_extract_all(trace, '(?is)<steer>(.*?)</steer>')) > 0")
@@ -143,7 +144,7 @@ def _(t):
     first = F.regexp_extract(C("trace"), r"(?is)<steer>(.*?)</steer>", 1)
     at = F.locate("<steer>", C("trace")) + 6
     tokens = F.transform(F.sequence(F.lit(0), at + F.length(first)), lambda i: F.struct(i.alias("start"), (i + 1).alias("end")))
-    mask = N.overlapping(tokens, F.array(F.struct(at.alias("start"), (at + F.length(first)).alias("end"))))
+    mask = A.overlapping(tokens, F.array(F.struct(at.alias("start"), (at + F.length(first)).alias("end"))))
     return t("traces").filter(F.size(X.tag_bodies(C("trace"), "steer")) > 0).select("doc_id", F.aggregate(mask, F.lit(0).cast("long"), lambda a, x: a + x).alias("masked"))
 
 

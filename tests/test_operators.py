@@ -6,6 +6,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from strandlake.functions import answers as A
+from strandlake.functions import arrays
 from strandlake.functions import numeric as N
 from strandlake.functions import text as X
 from strandlake.operators import dataset as D
@@ -176,7 +177,7 @@ def test_null_ids_are_never_skipped(spark):
 
 def test_spans_and_vectors(spark):
     df = spark.createDataFrame([([(5, 8), (0, 2), (2, 4)],)], "s array<struct<start:int,end:int>>")
-    assert [tuple(x) for x in df.select(N.coalesced_spans(F.col("s")).alias("v")).first()["v"]] == [(0, 4), (5, 8)]
+    assert [tuple(x) for x in df.select(arrays.coalesced_spans(F.col("s")).alias("v")).first()["v"]] == [(0, 4), (5, 8)]
     v = spark.createDataFrame([([3.0, 4.0], [4.0, 3.0])], "a array<double>, b array<double>")
     assert v.select(N.cosine(F.col("a"), F.col("b")).alias("c")).first()["c"] == pytest.approx(0.96)
     with pytest.raises(Exception, match="zero"):

@@ -3,8 +3,11 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from strandlake.functions import answers as A
+from strandlake.functions import arrays
+from strandlake.functions import text as X
 from strandlake.plans import ordered
 from strandlake.sources import derived
 
@@ -27,3 +30,63 @@ def test_resembles_is_similarity(least):
         a = "".join(rng.choice("abc") for _ in range(rng.randrange(12)))
         b = "".join(x for x in a if rng.random() < 0.9) + rng.choice(["", "a", "bc"])
         assert A.resembles(a, b, least) == (A.similarity(a, b) >= least)
+
+
+def test_arrays_by_brute_force(spark):
+    rng = random.Random(4)
+    span = lambda n: sorted(rng.randrange(n) for _ in range(2))
+    rows = [(i, [rng.randrange(9) for _ in range(rng.randrange(6))], [span(40) for _ in range(rng.randrange(7))], [(j, j + rng.randrange(1, 4)) for j in range(rng.randrange(30))], rng.randrange(45)) for i in range(60)]
+    rows += [(60, None, [], [], 0), (61, [], None, None, 3), (62, [1], [[5, 400], [0, 2], [2, 3]], [(1, 2)], 9)]
+    df = spark.createDataFrame(rows, "id int, x array<int>, s array<struct<start:int,end:int>>, t array<struct<start:int,end:int>>, n int").repartition(3)
+    mask = F.transform(F.slice(F.sequence(F.lit(1), F.col("n") + 1), F.lit(1), F.col("n")), lambda i: i)
+    out = df.select("*", arrays.running(F.col("x")).alias("r"), arrays.coalesced_spans(F.col("s")).alias("c"), arrays.overlapping(F.col("t"), F.col("s")).alias("o"), mask.alias("m"), arrays.masked(mask, F.col("s"), True).alias("k"), arrays.masked(mask, F.col("s"), False).alias("e"))
+    for r in out.collect():
+        assert r["r"] == (None if r["x"] is None else [sum(r["x"][: i + 1]) for i in range(len(r["x"]))])
+        s = [tuple(x) for x in r["s"] or []]
+        some = [x for x in s if x[0] < x[1]]
+        if r["s"] is not None:
+            inside = lambda p: any(a <= p < b for a, b in s)
+            merged = []
+            for a, b in sorted(s):
+                if merged and a <= merged[-1][1]:
+                    merged[-1] = (merged[-1][0], max(b, merged[-1][1]))
+                else:
+                    merged.append((a, b))
+            assert [tuple(x) for x in r["c"]] == merged
+            assert r["k"] == [v if inside(i) else 0 for i, v in enumerate(r["m"])] and r["e"] == [0 if inside(i) else v for i, v in enumerate(r["m"])]
+            assert r["o"] == [int(any(a < e and b < f for b, e in some)) for a, f in ((x[0], x[1]) for x in r["t"])]
+
+
+def test_many_spans_take_little_time(spark):
+    import time
+
+    began = time.time()
+    seq = F.sequence(F.lit(0), F.lit(200_000))
+    spans = F.transform(seq, lambda i: F.struct((i * 3).alias("start"), (i * 3 + 2).alias("end")))
+    row = spark.range(1).select(F.size(arrays.coalesced_spans(spans)).alias("a"), F.array_max(arrays.running(seq.cast("array<int>"))).isNotNull().alias("b"), F.size(F.filter(arrays.overlapping(spans, spans), lambda x: x == 1)).alias("c")).first()
+    assert (row["a"], row["c"]) == (200_001, 200_001) and time.time() - began < 30
+
+
+def test_boxes_of_any_depth_and_number(spark):
+    deep = "\\boxed{" + "{" * 50 + "x" + "}" * 50 + "}"
+    many = "{a}" * 100_000
+    rows = [("a" + deep, True), (many + "\\boxed{1}", True), (many, False), ("\\boxed{" + many, False), ("\\boxed{a{b}", False), ("}}{\\boxed{a}", True), ("\\boxed{\\boxed{x}", True), (None, None), ("", False), ("\\boxed {x}", False)]
+    got = spark.createDataFrame(rows, "x string, want boolean").select("want", X.has_boxed(F.col("x")).alias("got"), F.size(X.structure_issues(F.col("x"))).alias("n")).collect()
+    assert [r["got"] for r in got] == [r["want"] for r in got]
+    assert all(bool(A.boxed_answers(x)) == w for x, w in rows if x is not None)
+
+
+@pytest.mark.parametrize("depth", [0, 1, 4, 6, 40])
+def test_wrappers_are_peeled_until_none_is_left(spark, depth):
+    kinds = ["\\text{", "\\boxed{ ", "\\mathrm{"]
+    wrapped = " " + "".join(kinds[i % 3] for i in range(depth)) + "12" + "".join("}" if i % 2 else " }" for i in range(depth))
+    odd = ["\\text{}", "\\text{\\text{}}", "\\text{ }", "\\text{a}b}", "\\text{a", "a}", "\\text{a\nb}", "\\text{\\frac{1}{2}}", "}", "\\text{\\boxed{a} }}"]
+    rows = spark.createDataFrame([(x,) for x in [wrapped, *odd]], "x string").select("x", X.unwrapped(F.col("x")).alias("u"), X.wrapper_variants(F.col("x")).alias("v"), X.answer_class(F.col("x")).alias("c")).collect()
+    for r in rows:
+        assert r["u"] == A.peeled_to_the_end(r["x"]) and r["v"] == A.peeled(r["x"]), r
+    assert rows[0]["u"] == "12" and rows[0]["c"] == "plain_scalar_or_simple_fraction"
+
+
+def test_last_box():
+    cases = {"a": None, "\\boxed{1} \\boxed{2}": "2", "\\boxed{\\boxed{3}}": "3", "x \\boxed 7$ y": "7", "\\boxed{1} \\boxed{2": None, "\\boxed{a{b}c}": "a{b}c", "\\boxed2": None, "\\boxed{1} \\boxed": None}
+    assert {k: A.last_box(k) for k in cases} == cases
