@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from strandlake.functions import algebra
+
 BOXED = "\\boxed{"
 #: Markers that announce an answer, special tokens, and wrappers.
 _MARKER = re.compile(r"(?i)(?:final answer|answer)\s*(?:is|:)\s*")
@@ -182,12 +184,18 @@ def as_number(text: str) -> Fraction | None:
         return None
 
 
+def variants(text: str) -> list[str]:
+    """An answer and what is left of it under its wrappers, in lower case and with single spaces."""
+    return list(dict.fromkeys(" ".join(x.lower().replace("\\dfrac", "\\frac").replace("\\tfrac", "\\frac").split()) for x in peeled(text)))
+
+
 def same_answer(prediction: str, gold: str) -> bool:
-    """Equal as exact numbers, or as texts after wrappers, case and spaces; no symbolic algebra."""
+    """Equal as texts (G08), as exact numbers, or as formulas, tuples, sets and intervals of them."""
+    if set(variants(prediction)) & set(variants(gold)):
+        return True
     a, b = peeled(prediction), peeled(gold)
     numbers = {n for x in a if (n := as_number(x)) is not None}, {n for x in b if (n := as_number(x)) is not None}
-    plain = lambda x: " ".join(x.lower().replace("\\dfrac", "\\frac").replace("\\tfrac", "\\frac").split())
-    return bool(numbers[0] & numbers[1]) or bool({plain(x) for x in a} & {plain(x) for x in b})
+    return bool(numbers[0] & numbers[1]) or any(algebra.same(x, y) for x in a for y in b)
 
 
 def reward(text: str, gold: str, valid: bool) -> float:
@@ -196,8 +204,44 @@ def reward(text: str, gold: str, valid: bool) -> float:
     return 0.1 * valid + 1.0 * bool(boxes and same_answer(boxes[-1], gold))
 
 
+class Tokens:
+    """H36, H37 with a tokenizer: a file of the tokenizers library that all executors have. Each worker loads it once."""
+
+    known: dict[str, object] = {}
+
+    def __init__(self, path: str):
+        self.path = path
+
+    def encode(self, texts: list[str]) -> list:
+        if self.path not in self.known:
+            from tokenizers import Tokenizer
+
+            t = Tokenizer.from_file(self.path)
+            t.no_truncation()
+            t.no_padding()
+            t.encode_special_tokens = True
+            self.known[self.path] = t
+        return self.known[self.path].encode_batch(texts, add_special_tokens=False)
+
+    def count(self):
+        """An Arrow UDF that counts the tokens of a text."""
+        return F.pandas_udf(lambda texts: pd.Series([None if t is None else len(x) for t, x in zip(texts, self.encode([t or "" for t in texts]))], dtype="Int32"), T.IntegerType())
+
+    def first(self, n: int):
+        """An Arrow UDF that cuts a text behind its n-th token."""
+        return F.pandas_udf(lambda texts: pd.Series([None if t is None else t[: x.offsets[n - 1][1] if len(x) > n else len(t)].rstrip() for t, x in zip(texts, self.encode([t or "" for t in texts]))], dtype=object), T.StringType())
+
+
+def register(spark) -> list[str]:
+    """The functions of this module under names for SQL."""
+    named = {"boxed_answers": udf_boxed_answers, "last_box": udf_last_box, "candidate_answer": udf_candidate_answer, "same_answer": udf_same_answer, "completion_check": udf_completion_check, "answer_variants": udf_variants}
+    for name, f in named.items():
+        spark.udf.register(f"strandlake_{name}", f)
+    return [f"strandlake_{n}" for n in named]
+
+
 def regex_tokens(text: str) -> list[str]:
-    """A documented stand-in for a subword tokenizer that has no offline vocabulary: runs of up to four letters or digits, single other signs."""
+    """H36 without a tokenizer: runs of up to four letters or digits, single other signs."""
     return re.findall(r"[^\W\d_]{1,4}|\d{1,3}|[^\w\s]|_", text)
 
 
@@ -214,7 +258,10 @@ def first_tokens(text: str, n: int) -> str:
 udf_boxed_answers = arrow(T.ArrayType(T.StringType()))(boxed_answers)
 udf_candidate_answer = arrow(T.StringType())(candidate_answer)
 udf_similarity = arrow(T.DoubleType())(similarity)
+udf_neighbour_similarity = arrow(T.DoubleType())(lambda blocks: max((similarity(a, b) for a, b in zip(blocks, blocks[1:])), default=0.0))
 udf_bare_edges = arrow(T.StringType())(bare_edges)
+udf_variants = arrow(T.ArrayType(T.StringType()))(variants)
+udf_last_box = arrow(T.StringType())(last_box)
 udf_same_answer = arrow(T.BooleanType())(same_answer)
 udf_token_count = arrow(T.IntegerType())(lambda text: len(regex_tokens(text)))
 udf_first_tokens = arrow(T.StringType())(first_tokens)

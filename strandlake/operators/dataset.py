@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strandlake.functions import text as X
 from strandlake.functions.arrays import word_ends
+from strandlake.sources.files import stored
 
 
 def is_math_row(label: Column, prompt: Column, truths: Column, wanted: str) -> Column:
@@ -40,6 +41,34 @@ def numbered(df: DataFrame, position: str, into: str = "index", ranges: int = 64
     return spread.withColumn("__own", own).join(F.broadcast(before), "__part").withColumn(into, F.col("__before") + F.col("__own") - 1).drop("__part", "__own", "__before")
 
 
+def ranked(df: DataFrame, order: list[Column], into: str, per: list[str] | None = None) -> DataFrame:
+    """Numbers rows from 1 in an order that tells all rows apart, over all of them or inside each group, without one task for a group.
+
+    Rows are cut into ranges of (group, order) and stored, so that ranges stay; rows are numbered inside them, after those of the
+    same group in earlier ranges. What is counted over ranges has a row for each range and group in it.
+    """
+    per = per or []
+    tasks = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    ranges = stored(df.repartitionByRange(tasks, *per, *order).withColumn("__range", F.spark_partition_id()))
+    sizes = ranges.groupBy(*per, "__range").agg(F.count("*").alias("__n"))
+    earlier = Window.partitionBy(*per).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select(*per, "__range", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
+    own = ranges.withColumn("__own", F.row_number().over(Window.partitionBy("__range", *per).orderBy(*order)))
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in [*per, "__range"]]
+    test = same[0]
+    for x in same[1:]:
+        test = test & x
+    return own.alias("a").join(before.alias("b"), test).select(*[F.col(f"a.{c}") for c in df.columns], (F.col("__before") + F.col("__own")).alias(into))
+
+
+def buffer_shuffled(df: DataFrame, order: str, buffer: int, seed: int, into: str = "place") -> DataFrame:
+    """Rows in an order in which each moves by less than `buffer` places, repeatable by the seed: what a shuffle buffer over a
+    stream gives, but without a stream that one task reads."""
+    numbered_ = ranked(df, [F.col(order)], "__at")
+    moved = F.col("__at") + F.pmod(F.conv(F.substr(hash_order(seed, F.col(order)), F.lit(1), F.lit(8)), 16, 10).cast("long"), F.lit(buffer))
+    return ranked(numbered_.withColumn("__to", moved), [F.col("__to"), F.col("__at")], into).drop("__to", "__at")
+
+
 def skip_reason(*rules: tuple[Column, str]) -> Column:
     """The name of the first rule that fails a row; null for a good row."""
     out = None
@@ -80,6 +109,11 @@ def exported(df: DataFrame) -> DataFrame:
     )
 
 
+def supervised(df: DataFrame, mask: str) -> DataFrame:
+    """Rows in whose mask some position behind the first is on."""
+    return df.filter(F.array_position(F.slice(mask, F.lit(2), F.greatest(F.size(mask) - 1, F.lit(0))), 1) > 0)
+
+
 def hash_order(seed: int, *keys: Column) -> Column:
     """A repeatable random order: SHA-256 of the seed and the keys."""
     return F.sha2(F.concat_ws("|", F.lit(str(seed)), *[k.cast("string") for k in keys]).cast("binary"), 256)
@@ -123,18 +157,17 @@ def balanced(df: DataFrame, source: str, key: str, target: int, seed: int) -> Da
 
 def fraction_per_bucket(df: DataFrame, bucket: str, key: str, fraction: float, seed: int) -> DataFrame:
     """round-half-even(n * fraction) rows of each bucket."""
-    w = Window.partitionBy(bucket)
-    rank = F.row_number().over(w.orderBy(hash_order(seed, F.col(key)), key))
-    return df.withColumn("__rank", rank).withColumn("__n", F.count("*").over(w)).filter(F.col("__rank") <= F.bround(F.col("__n") * fraction)).drop("__rank", "__n")
+    own = ranked(df.withColumn("__hash", hash_order(seed, F.col(key))), [F.col("__hash"), F.col(key)], "__rank", [bucket])
+    sizes = df.groupBy(F.col(bucket).alias("__bucket")).agg(F.count("*").alias("__n"))
+    return own.join(sizes, F.col(bucket).eqNullSafe(F.col("__bucket"))).filter(F.col("__rank") <= F.bround(F.col("__n") * fraction)).select(*df.columns)
 
 
 def evenly_spaced(df: DataFrame, group: str, order: list[str], k: int) -> DataFrame:
     """k rows of each group at even distances, first and last included; one pick is the first row."""
-    w = Window.partitionBy(group)
-    at = F.row_number().over(w.orderBy(*order)) - 1
-    n = F.count("*").over(w)
     picks = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.bround(i * (F.col("__n") - 1) / max(1, k - 1)).cast("int"))
-    return df.withColumn("__at", at).withColumn("__n", n).filter((F.col("__n") <= k) | F.array_contains(picks, F.col("__at"))).drop("__at", "__n")
+    own = ranked(df, [F.col(c) for c in order], "__rank", [group]).withColumn("__at", (F.col("__rank") - 1).cast("int"))
+    sizes = df.groupBy(F.col(group).alias("__group")).agg(F.count("*").alias("__n"))
+    return own.join(sizes, F.col(group).eqNullSafe(F.col("__group"))).filter((F.col("__n") <= k) | F.array_contains(picks, F.col("__at"))).select(*df.columns)
 
 
 def sample_per_group(df: DataFrame, group: str, key: str, size: int, seed: int) -> DataFrame:
@@ -189,9 +222,8 @@ def first_of_each(df: DataFrame, key: str, order: list[str]) -> DataFrame:
 
 
 def text_counts(df: DataFrame, text: str) -> DataFrame:
-    """Distinct texts with their counts, numbered from 1 by count, then text; the texts of one clustering call, a bounded set."""
-    counted = df.groupBy(text).agg(F.count("*").alias("n"))
-    return counted.withColumn("item_id", F.row_number().over(Window.orderBy(F.desc("n"), text)))
+    """Distinct texts with their counts, numbered from 1 by count, then text."""
+    return ranked(df.groupBy(text).agg(F.count("*").alias("n")), [F.desc("n"), F.col(text)], "item_id")
 
 
 def equal_texts(df: DataFrame, group: str, key: str, text: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandlake.functions import text as X
+from strandlake.operators.dataset import ranked
 
 
 def or_zero(x: Column) -> Column:
@@ -63,9 +64,12 @@ def moving_average(df: DataFrame, per: list[str], order: str, x: str, window: in
 
 
 def ecdf(df: DataFrame, per: list[str], x: str, key: str) -> DataFrame:
-    """I / n for the i-th smallest value; ties keep their rows."""
-    w = Window.partitionBy(*per)
-    return df.withColumn("ecdf", F.row_number().over(w.orderBy(x, key)) / F.count("*").over(w))
+    """I / n for the i-th smallest value; ties keep their rows. No task holds a group."""
+    sizes = df.groupBy(*[F.col(c).alias(f"__{c}") for c in per]).agg(F.count("*").alias("__n"))
+    same = F.lit(True)
+    for c in per:
+        same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    return ranked(df, [F.col(x), F.col(key)], "__rank", per).join(sizes, same).select(*df.columns, (F.col("__rank") / F.col("__n")).alias("ecdf"))
 
 
 def histogram(df: DataFrame, per: str, x: str, bins: int) -> DataFrame:
@@ -79,8 +83,7 @@ def histogram(df: DataFrame, per: str, x: str, bins: int) -> DataFrame:
 def checkpoint_ranking(df: DataFrame) -> DataFrame:
     """By mean of the AIME scores, MATH-500 and step, all falling; a missing step ranks as 10 ** 18, an incomplete row not at all."""
     whole = df.filter("aime24 is not null and aime25 is not null and math500 is not null").withColumn("aime_mean", (F.col("aime24") + F.col("aime25")) / 2)
-    w = Window.orderBy(F.desc("aime_mean"), F.desc("math500"), F.desc(F.coalesce("checkpoint_step", F.lit(10**18))), "checkpoint_id")
-    return whole.withColumn("rank", F.row_number().over(w))
+    return ranked(whole, [F.desc("aime_mean"), F.desc("math500"), F.desc(F.coalesce("checkpoint_step", F.lit(10**18))), F.col("checkpoint_id")], "rank")
 
 
 def completeness(df: DataFrame, tasks: list[str]) -> DataFrame:
@@ -128,10 +131,12 @@ def rollout_summary(df: DataFrame, prompt: str, cluster: str, depth: str, select
 
 
 def group_sizes(df: DataFrame, order: str, uid: str, size: int) -> DataFrame:
-    """Runs of consecutive equal uids that have another size than expected; df is one training batch, a bounded set."""
-    w = Window.orderBy(order)
-    run = F.sum(F.when(F.lag(uid).over(w) == F.col(uid), 0).otherwise(1)).over(w)
-    return df.withColumn("run", run).groupBy("run", uid).agg(F.count("*").alias("n")).filter(F.col("n") != size)
+    """Runs of consecutive equal uids that have another size than expected, by where they begin.
+
+    A row's place among all less its place among those of its uid is one number in a run, and differs between a uid's runs.
+    """
+    both = ranked(ranked(df.select(order, uid), [F.col(order)], "__all"), [F.col(order)], "__own", [uid])
+    return both.groupBy(uid, F.col("__all") - F.col("__own")).agg(F.min(order).alias("begin"), F.count("*").alias("n")).filter(F.col("n") != size).select("begin", uid, "n")
 
 
 def avg_at_k(df: DataFrame, per: list[str], right: str) -> DataFrame:
@@ -180,4 +185,46 @@ def partial_run(df: DataFrame, score: str, expected: int) -> DataFrame:
 def null_aware_order(df: DataFrame, ratio: str, instances: str, key: str) -> DataFrame:
     """places in three orders: lowest ratio and highest ratio (null last), most instances; ties by key."""
     c = F.col
-    return df.withColumns({"lowest": F.row_number().over(Window.orderBy(c(ratio).asc_nulls_last(), key)), "highest": F.row_number().over(Window.orderBy(c(ratio).desc_nulls_last(), key)), "most": F.row_number().over(Window.orderBy(c(instances).desc(), key))})
+    orders = {"lowest": [c(ratio).asc_nulls_last(), c(key)], "highest": [c(ratio).desc_nulls_last(), c(key)], "most": [c(instances).desc(), c(key)]}
+    for name, order in orders.items():
+        df = ranked(df, order, name)
+    return df
+
+
+def least_squares(df: DataFrame, per: list[str], x: str, y: str) -> DataFrame:
+    """The line through (x, y) by least squares; null where x does not vary."""
+    return correlation(df, per, x, y).select(*per, "slope", "intercept")
+
+
+def series_summary(df: DataFrame, per: list[str], x: str) -> DataFrame:
+    """Of what can be read as numbers; the rest counts as null."""
+    n = F.col(x).cast("string").try_cast("double")
+    n = F.when(~F.isnan(n), n)
+    p = F.percentile(n, F.array(*[F.lit(q) for q in (0.25, 0.5, 0.75)]))
+    out = df.groupBy(*per).agg(F.count(n).alias("count"), F.avg(n).alias("mean"), F.stddev_pop(n).alias("std"), F.min(n).alias("min"), p.alias("p"), F.max(n).alias("max"))
+    return out.select(*per, "count", "mean", "std", "min", *[F.col("p")[i].alias(c) for i, c in enumerate(("p25", "p50", "p75"))], "max")
+
+
+def leaf_variance(df: DataFrame, per: list[str], *columns: str) -> DataFrame:
+    """Population variances; 0 for one value or none."""
+    return df.groupBy(*per).agg(*[or_zero(F.var_pop(c)).alias(f"{c}_variance") for c in columns])
+
+
+def union_means(df: DataFrame, metrics: str, order: str) -> DataFrame:
+    """Over the keys that any row's map has: the mean of numbers, and for a key without any the first text that is given."""
+    each = df.select(order, F.explode(metrics).alias("key", "value"))
+    n = F.col("value").try_cast("double")
+    out = each.groupBy("key").agg(F.avg(n).alias("mean"), F.count("value").alias("n"), F.min_by("value", F.when(F.col("value").isNotNull(), F.col(order))).alias("first"))
+    return out.select("key", "mean", F.when(F.col("mean").isNull(), F.col("first")).alias("text"), "n")
+
+
+def run_outputs(log: DataFrame, per: str, value: str) -> DataFrame:
+    """Of each document the last finish, by attempt and index; then count, mean and median by group."""
+    last = log.filter("event_type = 'doc_finished'").groupBy("doc_id").agg(F.max_by(F.struct(per, value), F.struct("doc_attempt", "event_index")).alias("v")).select("v.*")
+    return last.groupBy(per).agg(F.count("*").alias("docs"), F.avg(value).alias("mean"), F.median(value).alias("median"))
+
+
+def curation_summary(df: DataFrame, n: str, limit: int) -> DataFrame:
+    """Rows, rows changed by a limit, rows far over it, and the largest before and after."""
+    c = F.col(n)
+    return df.agg(F.count("*").alias("n"), F.count_if(c > limit).alias("changed"), F.max(c).alias("before_max"), F.max(F.least(c, F.lit(limit))).alias("after_max"), F.count_if(c > 2 * limit).alias("far_over"))

@@ -51,12 +51,20 @@ def aligned(steps: DataFrame, pairs: DataFrame, key: str) -> DataFrame:
     return steps.groupBy(key).cogroup(pairs.groupBy(key)).applyInPandas(walk, f"{key} {kind}, step int, place int")
 
 
-def rebuilt_stream(df: DataFrame, key: str, order: str, delta: str, used: str) -> DataFrame:
-    """Inputs from deltas: the first is its delta, each other one the previous input, the output consumed since, and its delta."""
-    w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    before = F.lag(used).over(Window.partitionBy(key).orderBy(order))
-    part = F.concat(F.coalesce(before, F.array().cast(dict(df.dtypes)[used])), F.col(delta))
-    return df.withColumn("__part", part).withColumn("input", F.flatten(F.collect_list("__part").over(w))).drop("__part")
+def stream_parts(df: DataFrame, key: str, order: str, delta: str, used: str) -> DataFrame:
+    """What each row adds to its stream: the output consumed since the row before, and its delta; and where that begins in the
+    stream. A row's whole input is all up to the end of its part, so that the stream is told once, not once for each row."""
+    w = Window.partitionBy(key).orderBy(order)
+    part = F.concat(F.coalesce(F.lag(used).over(w), F.array().cast(dict(df.dtypes)[used])), F.col(delta))
+    parts = df.withColumn("part", part)
+    return parts.withColumn("begin", F.sum(F.size("part")).over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.size("part"))
+
+
+def rebuilt_stream(parts: DataFrame, key: str, order: str, wanted: DataFrame) -> DataFrame:
+    """The whole inputs of the rows that are asked for. wanted: (key, order)."""
+    rows = parts.join(wanted.select(key, F.col(order).alias("__upto")), key).filter(F.col(order) <= F.col("__upto"))
+    own = rows.groupBy(key, F.col("__upto").alias(order)).agg(F.sort_array(F.collect_list(F.struct("begin", "part"))).alias("p"))
+    return own.select(key, order, F.flatten(F.transform("p", lambda x: x["part"])).alias("input"))
 
 
 def paired(before: DataFrame, after: DataFrame, key: str, order: str) -> DataFrame:

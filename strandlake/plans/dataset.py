@@ -56,9 +56,9 @@ def _(t):
     return t("documents").groupBy(F.coalesce(reason, F.lit("kept")).alias("reason")).agg(F.count("*").alias("n"))
 
 
-@P.query("b08_unprocessed", "select doc_id from {documents} where doc_id not in (select doc_id from {labels}) order by doc_id limit 200")
+@P.query("b08_unprocessed", "select doc_id from {documents} where doc_id not in (select doc_id from {labels})")
 def _(t):
-    return D.unprocessed(t("documents").select("doc_id"), t("labels"), "doc_id").orderBy("doc_id").limit(200)
+    return D.unprocessed(t("documents").select("doc_id"), t("labels"), "doc_id")
 
 
 @P.query("b09_without_system", "select conv_id, count(*) as n, string_agg(role, ',' order by turn) as roles from {conversations} where role <> 'system' group by 1")
@@ -89,10 +89,11 @@ def _(t):
     return m.select("conv_id", F.nullif(prompt, F.lit("")).alias("prompt"), F.get("m", C("last"))["text"].alias("completion"))
 
 
-@P.query("b18_supervised_rows", "select doc_id from {documents} where n_chars % 4 <> 0 and n_chars > 1")
+@P.query("b18_supervised_rows", "select doc_id from {documents} where contains(substr(text, 2), 'x')")
 def _(t):
-    masks = t("documents").select("doc_id", F.transform(F.sequence(F.lit(1), F.least("n_chars", F.lit(9))), lambda i: F.when((C("n_chars") % 4 != 0) & (i > 1), 1).otherwise(0)).alias("m"))
-    return masks.filter(F.aggregate(F.slice("m", 2, 9), F.lit(0), lambda a, x: a + x) > 0).select("doc_id")
+    # the mask of a text's letters "x" from the second character on
+    masks = t("documents").select("doc_id", F.transform(F.split("text", ""), lambda c: F.when(c == "x", 1).otherwise(0)).alias("m"))
+    return D.supervised(masks, "m").select("doc_id")
 
 
 _BAL = """with cap as (select source, count(*) as cap from {documents} group by 1), lv as (select max(l) as level from (select unnest(range(0, (select max(cap) from cap) + 1)) as l) where (select sum(least(cap, l)) from cap) <= 150),

@@ -138,9 +138,9 @@ def _(t):
     return E.selector_pools(t("selectors"), t("pools"))
 
 
-@P.query("c08_optional_context", "select event_index, prompt_text, golden_answer from (select event_index, doc_id from {pools}) left join (select doc_id, substr(text, 1, 20) as prompt_text, cast(null as varchar) as golden_answer from {documents}) using (doc_id)")
+@P.query("c08_optional_context", "select event_index, prompt_text, golden_answer from (select event_index, doc_id from {pools}) left join (select doc_id, text as prompt_text, cast(null as varchar) as golden_answer from {documents}) using (doc_id)")
 def _(t):
-    context = t("documents").select("doc_id", F.substring("text", 1, 20).alias("prompt_text"))
+    context = t("documents").select("doc_id", F.col("text").alias("prompt_text"))
     return E.with_optional(t("pools").select("event_index", "doc_id"), context, ["doc_id"], {"prompt_text": "string", "golden_answer": "string"}).drop("doc_id")
 
 

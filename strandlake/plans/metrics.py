@@ -122,10 +122,10 @@ def _(t):
     return M.repetition(rows, "kind", "f", "x")
 
 
-@P.query("d32_group_sizes", """with r as (select *, sum(case when p = user_id then 0 else 1 end) over (order by event_id) as run from (select event_id, user_id, lag(user_id) over (order by event_id) as p from {events}))
-  select run::bigint as run, user_id, count(*) as n from r group by all having count(*) <> 1""")
+@P.query("d32_group_sizes", """with r as (select *, sum(case when p = kind then 0 else 1 end) over (order by event_id) as run from (select event_id, event_type as kind, lag(event_type) over (order by event_id) as p from {events}))
+  select min(event_id) as begin, kind, count(*) as n from r group by run, kind having count(*) <> 1""")
 def _(t):
-    return M.group_sizes(t("events").select("event_id", "user_id"), "event_id", "user_id", 1)
+    return M.group_sizes(t("events").select("event_id", C("event_type").alias("kind")), "event_id", "kind", 1)
 
 
 @P.query("d33_avg_at_k", "select doc_id, avg(verification) as avg_at_k, count(*) as k from {leaf_score} where verification is not null group by 1")

@@ -12,18 +12,13 @@ from strandlake.functions import text as X
 from strandlake.operators import replay as R
 from strandlake.plans.base import Plans
 from strandlake.sources import derived, files
+from strandlake.sources.files import scratch
 from strandlake.streaming import events as S
 
 P = Plans()
 C = F.col
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder that all executors share."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/checkpoints/strandlake"
-    return f"{root.rstrip('/')}/scratch-{uuid.uuid4().hex}"
-
-
 @P.query("h07_completion_check")
 def _(t):
     return t("traces").select("doc_id", A.udf_completion_check("trace").alias("r")).select("doc_id", "r.reason", "r.steer_count", "r.exec_count", "r.answer")
@@ -57,7 +52,8 @@ def _(t):
 
 @P.query("h26_similarity")
 def _(t):
-    return t("candidates").select("doc_id", F.round(A.udf_similarity(C("text"), F.reverse("text")), 9).alias("value"))
+    blocks = F.transform(X.segments(C("trace")), lambda b: X.normal_block(b["text"]))
+    return t("traces").select("doc_id", F.round(A.udf_neighbour_similarity(blocks), 9).alias("value"))
 
 
 @P.query("h36_token_count", r"select doc_id, len(regexp_extract_all(text, '\p{{L}}{{1,4}}|[0-9]{{1,3}}|[^\p{{L}}0-9\s]'))::int as n from {documents}")
@@ -129,11 +125,16 @@ def _(t):
     return R.variants(both, "point", "variant", "x", ("baseline", "intervention"))
 
 
-@P.query("i24_delta_streams", """with p as (select event_id, user_id, lag(event_id % 10) over (partition by user_id order by event_id) as before from {events})
-  select event_id, string_agg(case when before is null then cast(event_id_ as varchar) else concat(before, ',', event_id_) end, ',' order by event_id_) as input from (select e.event_id, p.event_id as event_id_, p.before from {events} e join p on p.user_id = e.user_id and p.event_id <= e.event_id) group by 1""")
+@P.query("i24_delta_streams", """with p as (select event_id, user_id, lag(event_id % 10) over w as before, row_number() over w as i, count(*) over (partition by user_id) as n from {events} window w as (partition by user_id order by event_id)),
+  o as (select user_id, string_agg(case when before is null then cast(event_id as varchar) else concat(before, ',', event_id) end, ',' order by event_id) as input from p group by 1)
+  select event_id, case when before is null then cast(event_id as varchar) else concat(before, ',', event_id) end as part, (2 * i - 1 - case when before is null then 1 else 2 end)::bigint as begin, case when i = n then input end as input from p join o using (user_id)""")
 def _(t):
     rows = t("events").select("event_id", "user_id", F.array("event_id").alias("delta"), F.array(C("event_id") % 10).alias("used"))
-    return R.rebuilt_stream(rows, "user_id", "event_id", "delta", "used").select("event_id", F.array_join(F.transform("input", lambda x: x.cast("string")), ",").alias("input"))
+    parts = R.stream_parts(rows, "user_id", "event_id", "delta", "used")
+    last = rows.groupBy("user_id").agg(F.max("event_id").alias("event_id"))
+    text = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
+    inputs = R.rebuilt_stream(parts, "user_id", "event_id", last).select("event_id", text("input").alias("input"))
+    return parts.select("event_id", text("part").alias("part"), "begin").join(inputs, "event_id", "left")
 
 
 @P.query("k05_cluster_names")
@@ -273,11 +274,18 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.table(name)
 
 
-@on_path("j07_repeat_detector", "select user_id % 20 as stream_id, (count(*) - 1)::int as blocks, (count(*) - 1)::int as run from {events} group by 1")
+#: Equal blocks only, which SQL can say: a run goes on with a block that one of the three before it equals.
+@on_path("j07_repeat_detector", r"""with raw as (select doc_id, unnest(regexp_extract_all(trace, '(?s)<exec>(.*?)</exec>', 1)) as s, generate_subscripts(regexp_extract_all(trace, '(?s)<exec>(.*?)</exec>', 1), 1) as i from {traces}),
+  b as (select doc_id, i, trim(regexp_replace(lower(s), '\s+', ' ', 'g')) as s from raw), f as (select doc_id, i, coalesce(s <> '' and (s = lag(s) over w or s = lag(s, 2) over w or s = lag(s, 3) over w), false) as again from b window w as (partition by doc_id order by i))
+  select doc_id as stream_id, coalesce(max(i), 0)::int as blocks, coalesce(max(i) - max(i) filter (not again) + 1, 0)::int as run from (select doc_id from {traces}) left join f using (doc_id) group by 1""")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = event_stream(spark, sf_dir).select((C("doc_id") % 20).alias("stream_id"), "event_index")
-    # every chunk ends the block that the one before it began, and tags are cut between chunks
-    return finished(S.repeat_detector(rows.withColumn("chunk", F.lit("ec>one block</exec><ex"))), "update", spark)
+    # each trace comes in pieces of 97 characters, which cut tags and blocks anywhere
+    traces = derived.table(spark, sf_dir, "traces").select(C("doc_id").alias("stream_id"), "trace")
+    pieces = F.transform(F.sequence(F.lit(0), F.floor(F.length("trace") / 97)), lambda i: F.struct(i.alias("event_index"), F.substr("trace", i.cast("int") * 97 + 1, F.lit(97)).alias("chunk")))
+    path = scratch(spark)
+    traces.select("stream_id", F.explode(pieces).alias("p")).select("stream_id", "p.*").write.parquet(path)
+    rows = S.read_events(spark, path, spark.read.parquet(path).schema, 1000)
+    return finished(S.repeat_detector(rows, 1.0), "update", spark)
 
 
 @on_path("a08_sampled_shards", None)

@@ -52,8 +52,8 @@ by_row("h15_ground_truths", lambda: F.size(X.non_blank(F.array("answer", F.col("
 by_row("h16_labels", lambda: F.array_join(X.labels(F.array("label_a", "label_b")), ","), "array_to_string(list_sort([lower(trim(label_a)), lower(trim(label_b))]), ',')", "rl_rows")
 by_row("h17_source_family", lambda: X.source_family(F.col("original_dataset"), F.col("dataset_source")), "regexp_replace(list_extract(string_split(coalesce(nullif(original_dataset, ''), nullif(dataset_source, ''), 'unknown'), '/'), -1), '(?i)_(filtered|cleaned)$', '')", "rl_rows")
 by_row("h18_without_role", lambda: X.without_role(F.concat(F.col("role"), F.lit(" : "), F.col("text"))), "case when role in ('user', 'assistant') then ltrim(text) else concat(role, ' : ', text) end", "conversations", "conv_id")
-by_row("h19_unfenced", lambda: X.unfenced(F.concat(F.lit("\ufeff```text\n"), F.substring("text", 1, 40), F.lit("\n``` done"))), rf"{STRIP.format('substr(text, 1, 40)')}", "documents")
-by_row("h20_replaced_blocks", lambda: X.replaced_blocks(F.concat(F.lit("a<think> </think>b<think>x"), F.col("lang"), F.lit("</think>c")), F.array(F.col("source"))), "concat('a<think></think>b<think>\n', source, '\n</think>c')", "documents")
+by_row("h19_unfenced", lambda: X.unfenced(F.concat(F.lit("\ufeff```text\n"), F.col("text"), F.lit("\n``` done"))), STRIP.format("text"), "documents")
+by_row("h20_replaced_blocks", lambda: X.replaced_blocks(F.concat(F.lit("a<think> </think>b"), F.col("trace")), F.array_repeat(F.col("lang"), F.size(X.think_blocks(F.col("trace"))))), "concat('a<think></think>b', regexp_replace(trace, '(?is)<think>.*?</think>', concat('<think>', chr(10), lang, chr(10), '</think>')))")
 _TAGS = f"{X.STEER_TAGS}|{X.EXEC_TAGS}"
 by_row("h21_residual", lambda: X.residual(F.col("trace")), rf"substr({STRIP.format(f'regexp_replace(regexp_replace(trace, {chr(39)}(?is)<(?:{_TAGS})>.*?</(?:{_TAGS})>{chr(39)}, {chr(39)}{chr(39)}, {chr(39)}g{chr(39)}), {chr(39)}(?i)</?(?:{_TAGS})>{chr(39)}, {chr(39)}{chr(39)}, {chr(39)}g{chr(39)})')}, 1, 220)")
 by_row("h22_without_tags", lambda: X.without_tags(F.col("trace")), SQUEEZE.format(r"regexp_replace(trace, '(?i)</?(?:think|steer|exec)\b[^>]*>', ' ', 'g')"))
@@ -63,8 +63,12 @@ by_row("h25_normal_block", lambda: X.normal_block(F.col("trace")), f"lower({SQUE
 by_row("h28_first_stop", lambda: X.first_stop(F.col("trace")), r"regexp_extract(trace, '(?s)^(.*?)(?:</steer>|</think>|$)', 1)")
 by_row("h29_before_think_end", lambda: X.around_think_end(F.col("trace"))["before"], "string_split(trace, '</think>')[1]")
 by_row("h29_after_think_end", lambda: X.around_think_end(F.col("trace"))["after"], "case when contains(trace, '</think>') then substr(trace, strpos(trace, '</think>') + 8) else '' end")
-by_row("h30_numbered_options", lambda: listed(F.transform(X.numbered_options(F.concat(F.lit("1. a  b\n 12. "), F.col("lang"), F.lit("\nmore"))), lambda o: F.concat(o["number"].cast("string"), F.lit("="), o["text"]))), "concat('1=a b|12=', lang, ' more')")
-by_row("h31_capitalized", lambda: X.capitalized(F.concat(F.lit("  "), F.col("lang"))), "concat('  ', upper(lang[1]), lang[2:])")
+#: The lines of a text that are not blank and not numbered themselves, each numbered, with a line that goes on.
+P.query("h30_numbered_options", r"""with l as (select doc_id, unnest(string_split(text, chr(10))) as s, generate_subscripts(string_split(text, chr(10)), 1) as i from {documents}), k as (select doc_id, s, row_number() over (partition by doc_id order by i) as n from l where trim(regexp_replace(s, '\s+', ' ', 'g')) <> '' and not regexp_matches(s, '^\s*\d+\.\s'))
+  select doc_id, coalesce(string_agg(concat(n, '=', trim(regexp_replace(s, '\s+', ' ', 'g')), ' more'), '|' order by n) filter (n is not null), '') as value from (select doc_id from {documents}) left join k using (doc_id) group by 1""")(
+    lambda t: t("documents").select("doc_id", listed(F.transform(X.numbered_options(F.array_join(F.transform(F.filter(F.split("text", "\n"), lambda s: ~X.blank(s) & ~s.rlike(r"^\s*\d+\.\s")), lambda s, i: F.concat((i + 1).cast("string"), F.lit(".  "), s, F.lit("\nmore"))), "\n")), lambda o: F.concat(o["number"].cast("string"), F.lit("="), o["text"]))).alias("value"))
+)
+by_row("h31_capitalized", lambda: X.capitalized(F.concat(F.lit("\n "), F.lower("text"))), r"concat(chr(10), ' ', regexp_extract(lower(text), '^\s*'), upper(substr(regexp_replace(lower(text), '^\s*', ''), 1, 1)), substr(regexp_replace(lower(text), '^\s*', ''), 2))", "documents")
 by_row("h32_rendered", lambda: X.rendered(X.index_pairs(F.col("trace"))), f"coalesce(array_to_string(list_transform(range(1, {_N} + 1), lambda i: concat('<steer>', a[i], '</steer>\n<exec>', b[i], '</exec>')), '\n'), '')", pre=_PAIRS)
 P.query("h33_steer_ranges", f"""with p as (select *, unnest(range(1, {_N} + 1)) as i from (select doc_id, {_PAIRS} from {{traces}})),
   r as (select doc_id, i, length(a[i]) as la, 7 + coalesce(sum(length(a[i]) + length(b[i]) + 30) over (partition by doc_id order by i rows between unbounded preceding and 1 preceding), 0) as s from p)
@@ -123,7 +127,10 @@ P.query("h47_sections", _BLOCKS + r""", s as (select *, count(*) filter (kind =
   select doc_id, coalesce(string_agg(concat(title, '=>', body), '|' order by sec) filter (title is not null), '') as value from (select doc_id from {traces}) left join o using (doc_id) group by 1""")(
     lambda t: t("traces").select("doc_id", listed(F.transform(X.sections(X.segments(F.col("trace"))), lambda s: F.concat(s["title"], F.lit("=>"), s["text"]))).alias("value"))
 )
-by_row("h48_wrapper_variants", lambda: listed(X.wrapper_variants(F.concat(F.lit("\\boxed{\\text{"), F.col("lang"), F.lit("}}")))), r"concat('\boxed{{\text{{', lang, '}}}}|\text{{', lang, '}}|', lang)")
+#: As many wrappers as the remainder of the id by 7 says.
+P.query("h48_wrapper_variants", r"""with v as (select doc_id, i, concat(repeat('\text{{', (doc_id % 7 - i)::int), source, '-', n_chars, repeat('}}', (doc_id % 7 - i)::int)) as s from (select *, unnest(range(0, doc_id % 7 + 1)) as i from {documents})) select doc_id, string_agg(s, '|' order by i) as value from v group by 1""")(
+    lambda t: t("documents").select("doc_id", listed(X.wrapper_variants(F.concat(F.repeat(F.lit("\\text{"), (F.col("doc_id") % 7).cast("int")), F.col("source"), F.lit("-"), F.col("n_chars").cast("string"), F.repeat(F.lit("}"), (F.col("doc_id") % 7).cast("int"))))).alias("value"))
+)
 by_row("h50_stats_line", lambda: X.stats_line(F.concat(F.when(F.col("doc_id") % 3 > 0, "Avg prompt throughput: ").otherwise(""), F.col("n_chars").cast("string"), F.lit(".5 tokens/s, Running: 3 reqs")))["prompt_tps"], "case when doc_id % 3 > 0 then n_chars + 0.5 end::double")
 
 QUERIES, ORACLES = P.queries, P.oracles

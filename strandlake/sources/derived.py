@@ -65,7 +65,7 @@ from {documents}""",
 select doc_id, lang, concat('<think>', body, case when doc_id % 7 = 0 then '' else '</think>' end, ' \\boxed{{', cast(n_chars as string), '}}') as trace, n_chars
 from (select doc_id, lang, n_chars, regexp_replace(concat('<steer>', replace(text, '\n', '</exec>\n<steer>'), '</exec>'), '([.])( [A-Z])', '\\1</steer><exec>\\2', 'g') as body from {documents})""",
     "candidates": """
-select doc_id % 1000 as candidate_id, cast(floor(doc_id / 20) as bigint) as pool_id, doc_id, substr(text, 1, 12) as text, label from {documents} join {embeddings} on vec_id = doc_id""",
+select doc_id % 1000 as candidate_id, cast(floor(doc_id / 20) as bigint) as pool_id, doc_id, text, label from {documents} join {embeddings} on vec_id = doc_id""",
     "steps": """
 select concat('run_', cast(doc_id % 3 as string)) as run_name, doc_id % 12 as step, doc_id, text, n_chars from {documents}""",
     "checkpoints": """

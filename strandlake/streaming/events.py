@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from strandlake.functions.answers import similarity
+from strandlake.functions.answers import resembles
 
 #: Which table an event type goes to.
 TABLES = {"doc_started": "lifecycle", "doc_finished": "lifecycle", "node_created": "node_created", "leaf_scored": "leaf_score", "vllm_request": "vllm_request"}
@@ -67,7 +67,7 @@ def repeat_detector(chunks: DataFrame, threshold: float = 0.9, window: int = 3)
                     break
                 block = " ".join(pending[begin + len("<exec>") : end].lower().split())
                 pending = pending[end + len("</exec>") :]
-                run = run + 1 if recent and max(similarity(r, block) for r in recent) >= threshold else 1
+                run = run + 1 if any(resembles(r, block, threshold) for r in recent) else 1
                 recent, blocks = [*recent, block][-window:], blocks + 1
             begin = pending.find("<exec>")
             pending = pending[begin:] if begin >= 0 else pending[-len("<exec>") :]  # a tag may have begun
