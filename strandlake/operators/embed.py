@@ -9,6 +9,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandlake.operators import density
+from strandlake.sources.files import stored
+
 
 def diverse(df: DataFrame, pool: str, key: str, vector: str, k: int) -> DataFrame:
     """from each pool k rows, the first by key, then ever the one whose largest similarity to the chosen is smallest
@@ -40,17 +43,21 @@ def centroids(df: DataFrame, label: str, vector: str) -> DataFrame:
 def assign_noise(df: DataFrame, label: str, vector: str, noise: int = -1, most: int = 4096) -> DataFrame:
     """Noise rows take the label of the nearest centroid (Euclidean; ties: the smaller label), with a flag.
 
-    Up to `most` centroids are collected and broadcast as one row; more are an error, as every noise row is compared with all.
+    Centroids are broadcast in blocks of about `most`, by a hash of their label; a row keeps the nearest of all blocks, so that any
+    number of clusters works.
     """
     spark = df.sparkSession
-    cs = [(r[label], r["centroid"]) for r in centroids(df.filter(F.col(label) != noise), label, vector).orderBy(label).limit(most + 1).collect()]
-    if len(cs) > most:
-        raise ValueError(f"more than {most} clusters")
+    all_ = stored(centroids(df.filter(F.col(label) != noise), label, vector))
+    blocks = max(1, -(-all_.count() // most))
     kind = dict(df.dtypes)[label]
-    one = spark.createDataFrame([(cs,)], f"cs array<struct<label:{kind},c:array<double>>>")
     distance = lambda v, c: F.aggregate(F.zip_with(v, c, lambda x, y: (x.cast("double") - y) * (x.cast("double") - y)), F.lit(0.0), lambda a, x: a + x)
-    nearest = F.array_min(F.transform("cs", lambda s: F.struct(F.round(distance(F.col(vector), s["c"]), 9).alias("d"), s["label"].alias("label"))))["label"]
-    return df.crossJoin(F.broadcast(one)).withColumn("noise_assigned", F.col(label) == noise).withColumn("assigned", F.when(F.col("noise_assigned"), nearest).otherwise(F.col(label))).drop("cs")
+    out = df.withColumn("__best", F.lit(None).cast(f"struct<d:double,label:{kind}>"))
+    for k in range(blocks):
+        cs = [(r[label], r["centroid"]) for r in all_.filter(F.pmod(F.xxhash64(label), F.lit(blocks)) == k).orderBy(label).collect()]
+        one = spark.createDataFrame([(cs,)], f"__cs array<struct<label:{kind},c:array<double>>>")
+        nearest = F.array_min(F.transform("__cs", lambda s: F.struct(F.round(distance(F.col(vector), s["c"]), 9).alias("d"), s["label"].alias("label"))))
+        out = out.crossJoin(F.broadcast(one)).withColumn("__best", F.when(F.col(label) == noise, F.least("__best", nearest))).drop("__cs")
+    return out.withColumn("noise_assigned", F.col(label) == noise).withColumn("assigned", F.when(F.col("noise_assigned"), F.col("__best.label")).otherwise(F.col(label))).drop("__best")
 
 
 def near_centroid(df: DataFrame, label: str, key: str, vector: str, near: int) -> DataFrame:
@@ -92,36 +99,27 @@ def selectors(df: DataFrame, pool: str, key: str, cluster: str, fan_out: int, se
     return ranked.select(pool, key, *[(F.col(m) <= fan_out).alias(m) for m in ("random", "across", "within")])
 
 
-def density_clusters(df: DataFrame, key: str, vector: str, radius: float, least: int) -> DataFrame:
-    """Density clustering (core points within a radius of `least` others; noise is -1), over one bounded set of unique vectors.
-
-    A substitute for hierarchical density clustering, which no library here offers.
-    """
+def density_clusters(df: DataFrame, key: str, vector: str, least: int, most: int | None = None) -> DataFrame:
+    """Hierarchical density clustering (noise is -1) of one set of unique vectors, which one task holds; its time is quadratic
+    in their number, its memory linear."""
     kind = dict(df.dtypes)[key]
 
     def cluster(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(key)
-        v = np.stack(pdf[vector].to_numpy()).astype(np.float64)
-        near = [np.flatnonzero(((v - x) ** 2).sum(1) <= radius**2) for x in v]
-        label = np.full(len(v), -1)
-        n = 0
-        for i in range(len(v)):
-            if label[i] >= 0 or len(near[i]) < least:
-                continue
-            queue, label[i] = [i], n
-            while queue:
-                j = queue.pop()
-                if len(near[j]) >= least:
-                    for m in near[j]:
-                        if label[m] < 0:
-                            label[m] = n
-                            queue.append(int(m))
-            n += 1
-        return pd.DataFrame({key: pdf[key], "cluster": label})
+        return pd.DataFrame({key: pdf[key], "cluster": density.labels(np.stack(pdf[vector].to_numpy()), least, most)})
 
     return df.select(key, vector, F.lit(0).alias("__all")).groupBy("__all").applyInPandas(cluster, f"{key} {kind}, cluster int")
 
 
+def clustered_texts(df: DataFrame, texts: list[str], vectors: Callable[[DataFrame], DataFrame], least: int, most: int | None = None) -> DataFrame:
+    """Clusters of 'title :: text' (or of texts alone), each distinct one once, mapped back to all rows.
+
+    vectors: adds a column `vector` to a table of distinct `__text`.
+    """
+    joined = df.withColumn("__text", F.concat_ws(" :: ", *texts))
+    return unique_then(joined, "__text", lambda u: density_clusters(vectors(u), "__text", "vector", least, most)).drop("__text")
+
+
 def unique_then(df: DataFrame, text: str, compute: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Computes a column for the distinct texts only and joins it to all rows."""
     return df.join(compute(df.select(text).distinct()), text, "left")

@@ -237,3 +237,46 @@ def upserted(base: DataFrame, new: DataFrame, keys: list[str], order: str) -> Da
     tagged = base.withColumn("__new", F.lit(0)).unionByName(new.withColumn("__new", F.lit(1)), allowMissingColumns=True)
     w = Window.partitionBy(*keys).orderBy(F.col(order).desc(), F.col("__new").desc())
     return tagged.withColumn("__rank", F.row_number().over(w)).filter("__rank = 1").drop("__rank", "__new")
+
+
+def joined_progress(log: DataFrame, leaves: DataFrame, responses: DataFrame) -> DataFrame:
+    """The spine of attempts with their leaf counts and their finishes, by two joins that keep attempts without either."""
+    leaf = leaves.groupBy(*ATTEMPT).agg(F.count("*").alias("leaf_count"))
+    finish = log.filter("event_type = 'doc_finished'").groupBy(*ATTEMPT).agg(F.max("event_index").alias("finish_index"))
+    return attempt_spine(log, leaves, responses).join(leaf, ATTEMPT, "left").join(finish, ATTEMPT, "left")
+
+
+def local_steps(rows: DataFrame, node: str, *order: str) -> DataFrame:
+    """Places from 1 inside each node of an attempt, by the first of the order's columns that is not null, then the others."""
+    return rows.withColumn("local_step", F.row_number().over(Window.partitionBy(*ATTEMPT, node).orderBy(F.coalesce(*order), *order)))
+
+
+def elapsed(log: DataFrame) -> DataFrame:
+    """Seconds since an attempt's first event, at least 0."""
+    began = F.min("timestamp_utc").over(Window.partitionBy(*ATTEMPT))
+    return log.withColumn("elapsed_seconds", F.greatest(F.lit(0.0), (F.unix_micros(F.col("timestamp_utc").cast("timestamp")) - F.unix_micros(began.cast("timestamp"))) / 1e6))
+
+
+def next_states(nodes: DataFrame, tree: str, closed: Column, slots: int) -> DataFrame:
+    """What a scheduler of `slots` workers a tree takes up next: open nodes, the oldest first. The calls themselves are not data."""
+    w = Window.partitionBy(tree).orderBy("event_index")
+    return nodes.filter(~closed).withColumn("slot", F.row_number().over(w)).filter(F.col("slot") <= slots)
+
+
+def cache_states(entries: DataFrame, per: str, capacity: int, fresh: int, now: Column) -> DataFrame:
+    """Of cache entries (stored_at, used_at in seconds): evicted beyond the `capacity` last used ones of their cache, else fresh
+    up to an age, else stale, which is served while it is computed again."""
+    place = F.row_number().over(Window.partitionBy(per).orderBy(F.desc("used_at"), "entry"))
+    age = now - F.col("stored_at")
+    return entries.withColumn("state", F.when(place > capacity, "evicted").when(age <= fresh, "fresh").otherwise("stale"))
+
+
+def rate_limited(calls: DataFrame, per: str, at: str, limit: int, seconds: int) -> DataFrame:
+    """How many calls of a key fall into the window that ends with each call, and whether that is over the limit."""
+    w = Window.partitionBy(per).orderBy(F.col(at)).rangeBetween(-(seconds - 1), 0)
+    return calls.withColumn("in_window", F.count("*").over(w)).withColumn("over_limit", F.col("in_window") > limit)
+
+
+def retry_delays(attempts: Column, base: float, most: float) -> Column:
+    """Seconds before the next try after so many failures: doubling, up to a limit."""
+    return F.least(F.lit(most), F.lit(base) * F.pow(F.lit(2.0), F.greatest(attempts - 1, F.lit(0))))

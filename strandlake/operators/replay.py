@@ -82,6 +82,11 @@ def with_anomalies(new: DataFrame, old: DataFrame, key: str, valid: Column) -> t
     return both.filter("anomaly is null").drop("anomaly"), both.filter("anomaly is not null").select(key, "anomaly")
 
 
+def with_think(sections: DataFrame, thinks: DataFrame, key: str) -> DataFrame:
+    """C14: sections with the think rows of their key; a section without one stays, with nulls."""
+    return sections.join(thinks, key, "left")
+
+
 def hydrated(responses: DataFrame, choices: DataFrame, tokens: DataFrame) -> DataFrame:
     """Responses with their choices, and those with their tokens, as nested arrays in order."""
     own = tokens.groupBy("response_event_index", "choice_index").agg(F.transform(F.sort_array(F.collect_list(F.struct("token_index", "token_text"))), lambda s: s["token_text"]).alias("tokens"))
@@ -99,8 +104,9 @@ def variants(df: DataFrame, point: str, variant: str, value: str, names: tuple[s
 def splice_points(df: DataFrame, key: str, blocks: str, k: int, seed: int) -> DataFrame:
     """One boundary inside each of k stretches of equal length, by hash; the bucket says whether it lies early, mid or late; with an id of its own."""
     n = F.size(blocks)
+    hash_of = lambda i: F.conv(F.substr(F.sha2(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string"), i.cast("string")).cast("binary"), 256), F.lit(1), F.lit(8)), 16, 10).cast("long")
     place = lambda i: F.floor(n * i / k) + 1
-    pick = lambda i: (place(i) + F.pmod(F.xxhash64(F.lit(seed), F.col(key), i), F.greatest(F.floor(n * (i + 1) / k) - place(i), F.lit(1)))).cast("int")
+    pick = lambda i: (place(i) + F.pmod(hash_of(i), F.greatest(F.floor(n * (i + 1) / k) - place(i), F.lit(1)))).cast("int")
     points = F.filter(F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(k - 1)), pick)), lambda p: (p > 0) & (p < n))
     out = df.select("*", F.explode(points).alias("point"))
     share = F.col("point") / F.size(blocks)

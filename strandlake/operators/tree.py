@@ -178,3 +178,28 @@ def earliest_best(df: DataFrame, keys: list[str], scored: Column, order: str) ->
     """The first scored row, or else the first row."""
     rank = F.struct(F.when(scored, 0).otherwise(1).alias("rank"), F.col(order).alias("at"))
     return df.groupBy(*keys).agg(F.min(rank).alias("best")).select(*keys, F.col("best.rank").alias("rank"), F.col("best.at").alias(order))
+
+
+#: What a branch's index holds.
+INDEX = "prompt_uid string, branch_tree_id string, leaf_id string, leaf_node_id string, path_node_ids array<string>, branch_token_offsets array<int>, parent_branch_id string, branch_depth int"
+
+
+def branch_index(prompt: Column, tree: Column, path: Column, offsets: Column) -> Column:
+    """The index of a leaf's branch: its path from the root, where its stretches begin, and names made up from these where none
+    is given. There must be one offset for each step behind the root."""
+    leaf, depth = F.element_at(path, -1), F.size(path) - 1
+    checked = F.when(F.size(offsets) == depth, depth).otherwise(F.raise_error(F.lit("as many offsets as steps are needed")).cast("int"))
+    return F.struct(
+        prompt.alias("prompt_uid"), F.coalesce(tree, F.concat(F.lit("tree:"), prompt)).alias("branch_tree_id"), F.concat(F.lit("leaf:"), prompt).alias("leaf_id"), leaf.alias("leaf_node_id"), path.alias("path_node_ids"),
+        offsets.alias("branch_token_offsets"), F.when(depth > 1, F.get(path, depth - 1)).alias("parent_branch_id"), checked.alias("branch_depth"),
+    )
+
+
+def index_json(index: Column) -> Column:
+    """An index as JSON, nulls included."""
+    return F.to_json(index, {"ignoreNullFields": "false"})
+
+
+def index_of_json(text: Column) -> Column:
+    """The index that index_json() wrote; malformed text is an error."""
+    return F.from_json(text, INDEX, {"mode": "FAILFAST"})

@@ -201,4 +201,48 @@ def _(t):
     return E.upserted(base, new, ["doc_id"], "event_index").select("doc_id", "event_index", "event_type")
 
 
+@P.query("c10_joined_progress", f"""select {K}, lc as leaf_count, fi as finish_index {_PROGRESS}""")
+def _(t):
+    return E.joined_progress(t("event_log"), t("leaf_score"), t("responses"))
+
+
+@P.query("c11_last_event", f"select {K}, event_index as last_event_index, timestamp_utc as last_timestamp from {{event_log}} qualify row_number() over (partition by {K} order by event_index desc) = 1")
+def _(t):
+    return E.attempt_lifecycle(t("event_log")).select(*E.ATTEMPT, "last_event_index", "last_timestamp")
+
+
+@P.query("e01_local_steps", f"select event_index, row_number() over (partition by {K}, node_id order by coalesce(answered, event_index), answered nulls first, event_index) as local_step from (select *, case when event_index % 3 = 0 then event_index - 50 end as answered from {{requests}})")
+def _(t):
+    rows = t("requests").withColumn("answered", F.when(F.col("event_index") % 3 == 0, F.col("event_index") - 50))
+    return E.local_steps(rows, "node_id", "answered", "event_index").select("event_index", "local_step")
+
+
+@P.query("e10_elapsed", f"select event_index, greatest(0.0, (epoch_us(timestamp_utc) - epoch_us(min(timestamp_utc) over (partition by {K}))) / 1000000) as elapsed_seconds from {{event_log}}")
+def _(t):
+    return E.elapsed(t("event_log")).select("event_index", "elapsed_seconds")
+
+
+@P.query("g02_union_all", "select event_index, event_type from {event_log} union all select event_index, 'leaf' from {leaf_score} union all select event_index, event_type from {event_log} where event_index % 10 = 0")
+def _(t):
+    log = t("event_log").select("event_index", "event_type")
+    return log.unionAll(t("leaf_score").select("event_index", F.lit("leaf").alias("event_type"))).unionAll(log.filter("event_index % 10 = 0"))
+
+
+@P.query("j06_next_states", "select doc_id, node_id, row_number() over (partition by doc_id order by event_index) as slot from {nodes} where event_type <> 'purchase' qualify slot <= 3")
+def _(t):
+    return E.next_states(t("nodes"), "doc_id", F.col("event_type") == "purchase", 3).select("doc_id", F.col("node_id").cast("long").alias("node_id"), "slot")
+
+
+@P.query("j09_cache_states", "select entry, case when row_number() over (partition by cache order by used_at desc, entry) > 20 then 'evicted' when 1000 - stored_at <= 600 then 'fresh' else 'stale' end as state from (select event_id as entry, user_id % 10 as cache, event_id % 997 as used_at, event_id % 1000 as stored_at from {events})")
+def _(t):
+    e = t("events").select(F.col("event_id").alias("entry"), (F.col("user_id") % 10).alias("cache"), (F.col("event_id") % 997).alias("used_at"), (F.col("event_id") % 1000).alias("stored_at"))
+    return E.cache_states(e, "cache", 20, 600, F.lit(1000)).select("entry", "state")
+
+
+@P.query("j13_rate_limit", "select event_id, count(*) over w as in_window, count(*) over w > 2 as over_limit, least(60.0, 0.5 * pow(2.0, greatest(event_id % 9 - 1, 0)))::double as delay from {events} window w as (partition by user_id % 10 order by event_id range between 59 preceding and current row)")
+def _(t):
+    calls = t("events").select("event_id", (F.col("user_id") % 10).alias("key"))
+    return E.rate_limited(calls, "key", "event_id", 2, 60).select("event_id", "in_window", "over_limit", E.retry_delays(F.col("event_id") % 9, 0.5, 60.0).alias("delay"))
+
+
 QUERIES, ORACLES = P.queries, P.oracles

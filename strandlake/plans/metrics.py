@@ -171,4 +171,33 @@ def _(t):
     return M.null_aware_order(t("checkpoints"), "aime24", "math500", "checkpoint_id").select("checkpoint_id", "lowest", "highest", "most")
 
 
+@P.query("d13_least_squares", "select l_linestatus, round(regr_slope(l_extendedprice, l_quantity), 6) as slope, round(regr_intercept(l_extendedprice, l_quantity), 4) as intercept from {lineitem} group by 1")
+def _(t):
+    out = M.least_squares(t("lineitem"), ["l_linestatus"], "l_quantity", "l_extendedprice")
+    return out.select("l_linestatus", F.round("slope", 6).alias("slope"), F.round("intercept", 4).alias("intercept"))
+
+
+@P.query("d15_leaf_variance", "select doc_id, doc_attempt, round(coalesce(var_pop(verification), 0), 9) as verification_variance, round(coalesce(var_pop(length_tokens_total), 0), 3) as length_tokens_total_variance from {leaf_score} group by 1, 2")
+def _(t):
+    out = M.leaf_variance(t("leaf_score"), ["doc_id", "doc_attempt"], "verification", "length_tokens_total")
+    return out.select("doc_id", "doc_attempt", F.round("verification_variance", 9).alias("verification_variance"), F.round("length_tokens_total_variance", 3).alias("length_tokens_total_variance"))
+
+
+_SERIES = "try_cast(case when doc_id % 5 = 0 then 'n/a' when doc_id % 7 = 0 then null else concat(' ', cast(n_chars as varchar), '.5') end as double)"
+
+
+@P.query("d20_series_summary", f"select source, count(x) as count, round(avg(x), 6) as mean, round(stddev_pop(x), 6) as std, min(x) as min, quantile_cont(x, 0.25) as p25, quantile_cont(x, 0.5) as p50, quantile_cont(x, 0.75) as p75, max(x) as max from (select source, {_SERIES} as x from {{documents}}) group by 1")
+def _(t):
+    x = F.when(C("doc_id") % 5 == 0, "n/a").when(C("doc_id") % 7 == 0, F.lit(None)).otherwise(F.concat(F.lit(" "), C("n_chars").cast("string"), F.lit(".5")))
+    return M.series_summary(t("documents").withColumn("x", x), ["source"], "x").withColumns({"mean": F.round("mean", 6), "std": F.round("std", 6)})
+
+
+@P.query("d41_union_means", """with e as (select doc_id, 'chars' as key, cast(n_chars as varchar) as value from {documents} union all select doc_id, 'lang', lang from {documents} where doc_id % 2 = 1 union all select doc_id, source, case when doc_id % 3 = 0 then 'none' else cast(doc_id as varchar) end from {documents})
+  select key, round(avg(try_cast(value as double)), 6) as mean, case when avg(try_cast(value as double)) is null then arg_min(value, doc_id) end as text, count(value) as n from e group by 1""")
+def _(t):
+    d = t("documents")
+    m = F.map_concat(F.create_map(F.lit("chars"), C("n_chars").cast("string")), F.when(C("doc_id") % 2 == 1, F.create_map(F.lit("lang"), C("lang"))).otherwise(F.create_map().cast("map<string,string>")), F.create_map(C("source"), F.when(C("doc_id") % 3 == 0, "none").otherwise(C("doc_id").cast("string"))))
+    return M.union_means(d.select("doc_id", m.alias("m")), "m", "doc_id").withColumn("mean", F.round("mean", 6))
+
+
 QUERIES, ORACLES = P.queries, P.oracles

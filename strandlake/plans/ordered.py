@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 
 from strandlake.functions import answers as A
 from strandlake.functions import text as X
+from strandlake.operators import dataset as D
+from strandlake.operators import metrics as M
 from strandlake.operators import replay as R
+from strandlake.operators import tree as TR
 from strandlake.plans.base import Plans
 from strandlake.sources import derived, files
 from strandlake.sources.files import scratch
@@ -111,10 +114,17 @@ def _(t):
     return out.select("event_index", F.coalesce(flat, F.lit("")).alias("choices"))
 
 
-@P.query("c19_alignment", "select conv_id, turn::int as step, turn::int as place from {conversations} where turn % 2 = 0")
+#: Steps are looked for by the first letter of their text, which repeats and is often missing behind the last one found.
+@P.query("c19_alignment", r"""with recursive s as (select conv_id, turn::int as step, lower(substr(text, 1, 1)) as k, row_number() over (partition by conv_id order by turn) as i from {conversations} where turn % 2 = 0),
+  p as (select conv_id, turn::int * 2 as place, lower(substr(text, 1, 1)) as k from {conversations} union all select conv_id, turn::int * 2 + 1, lower(substr(role, 1, 1)) from {conversations}),
+  w as (select conv_id, 0::bigint as i, null::int as step, null::int as place, -1 as cursor from (select distinct conv_id from s)
+    union all select w.conv_id, s.i, s.step, n.place, coalesce(n.place, w.cursor) from w join s on s.conv_id = w.conv_id and s.i = w.i + 1 left join lateral (select min(p.place) as place from p where p.conv_id = s.conv_id and p.k = s.k and p.place > w.cursor) n on true)
+  select conv_id, step, place from w where i > 0""")
 def _(t):
-    steps = t("conversations").filter("turn % 2 = 0").select("conv_id", C("turn").cast("int").alias("step"), F.concat(C("turn").cast("string"), "text").alias("text"))
-    pairs = t("conversations").select("conv_id", C("turn").cast("int").alias("place"), F.concat(C("turn").cast("string"), "text").alias("text"))
+    key = lambda c: F.lower(F.substr(c, F.lit(1), F.lit(1))).alias("text")
+    steps = t("conversations").filter("turn % 2 = 0").select("conv_id", C("turn").cast("int").alias("step"), key("text"))
+    turn = C("turn").cast("int") * 2
+    pairs = t("conversations").select("conv_id", turn.alias("place"), key("text")).unionAll(t("conversations").select("conv_id", (turn + 1).alias("place"), key("role")))
     return R.aligned(steps, pairs, "conv_id")
 
 
@@ -137,7 +147,9 @@ def _(t):
     return parts.select("event_id", text("part").alias("part"), "begin").join(inputs, "event_id", "left")
 
 
-@P.query("k05_cluster_names")
+@P.query("k05_cluster_names", r"""with w as (select label, unnest(regexp_split_to_array(lower(text), '[^\p{{L}}\p{{N}}]+')) as w from {candidates}), tf as (select label, w, count(*) as tf from w where w <> '' group by all),
+  idf as (select w, ln(1.0 + (select count(distinct label) from {candidates})) - ln(1.0 + count(*)) as idf from tf group by 1), r as (select label, w, row_number() over (partition by label order by round(tf * idf, 9) desc, w) as r from tf join idf using (w))
+  select label, string_agg(w, ' ' order by r) as name from r where r <= 3 group by 1""")
 def _(t):
     return R.named_clusters(t("candidates"), "label", "text")
 
@@ -153,7 +165,10 @@ def _(t):
     return R.transformed(rows, "x", call, "value").select("doc_id", F.regexp_replace("value", "!$", "").alias("value"), "value_error")
 
 
-@P.query("k10_splice_points")
+@P.query("k10_splice_points", r"""with b as (select doc_id, regexp_extract_all(trace, '(?is)<steer>.*?</steer>|<exec>.*?</exec>') as raw from {traces}), n as (select doc_id, len(list_filter(raw, lambda x: trim(regexp_replace(regexp_replace(x, '^<[a-zA-Z]+>|</[a-zA-Z]+>$', '', 'g'), '\s+', ' ', 'g')) <> '')) as n from b),
+  c as (select doc_id, n, i, floor(n * i / 3)::bigint + 1 as place, floor(n * (i + 1) / 3)::bigint as upto, ('0x' || sha256(concat('11|', doc_id, '|', i))[1:8])::bigint as h from n, (select unnest(range(0, 3)) as i)),
+  p as (select distinct doc_id, n, place + h % greatest(upto - place, 1) as point from c)
+  select doc_id, point::int as point, case when point / n <= 0.25 then 'early' when point / n >= 0.75 then 'late' else 'mid' end as bucket, concat(doc_id, '-', sha1(concat(doc_id, '|', point))[1:12]) as splice_id from p where point > 0 and point < n""")
 def _(t):
     rows = t("traces").select("doc_id", X.segments(C("trace")).alias("blocks"))
     return R.splice_points(rows, "doc_id", "blocks", 3, 11).select("doc_id", "point", "bucket", "splice_id")
@@ -176,11 +191,6 @@ def _(t):
     return files.decode_lines(t("documents").select("doc_id", line.alias("line")), "line").select("doc_id", "position", "object", "error")
 
 
-@P.query("a05_pruned_scan", "select passrate, dataset_source from {rl_rows} where passrate is not null")
-def _(t):
-    return t("rl_rows").select("passrate", "dataset_source").filter("passrate is not null")
-
-
 def on_path(name: str, sql: str | None = None):
     """A query that needs the session and the folder itself."""
 
@@ -193,6 +203,11 @@ def on_path(name: str, sql: str | None = None):
     return add
 
 
+@on_path("a05_pruned_scan", "select doc_id, n_chars from {documents} where n_chars is not null")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files.read_columns(spark, f"{sf_dir}/documents.parquet", ["doc_id", "n_chars"], "n_chars")
+
+
 @on_path("a01_jsonl_round_trip", "select conv_id, turn, role, text, cast(turn as varchar) as extra_turn from {conversations}")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark)
@@ -288,24 +303,161 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return finished(S.repeat_detector(rows, 1.0), "update", spark)
 
 
-@on_path("a08_sampled_shards", None)
+@on_path("a08_sampled_shards", "select doc_id, source, shard::int as shard from (select *, doc_id % 8 as shard from {documents}) where shard in (select s from (select unnest(range(0, 8)) as s) order by sha256(concat('5|shard=', s)) limit 3)")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark)
-    derived.table(spark, sf_dir, "documents").select("doc_id", "source").repartition(8).write.parquet(path)
-    return files.sampled_shards(spark, path, 3, 5)
+    derived.table(spark, sf_dir, "documents").select("doc_id", "source", (C("doc_id") % 8).alias("shard")).write.partitionBy("shard").parquet(path)
+    return files.sampled_shards(spark, path, 3, 5).select("doc_id", "source", C("shard").cast("int").alias("shard"))
+
+
+@P.query("a07_shuffle_buffer", "with n as (select doc_id, row_number() over (order by doc_id) as i from {documents}), m as (select doc_id, i, i + ('0x' || sha256(concat('3|', doc_id))[1:8])::bigint % 100 as j from n) select doc_id, row_number() over (order by j, i) as place from m")
+def _(t):
+    return D.buffer_shuffled(t("documents").select("doc_id"), "doc_id", 100, 3)
+
+
+@on_path("a03_jsonl_append", "select conv_id, turn, role, cast(null as varchar) as note from {conversations} union all select conv_id, turn, role, 'again' from {conversations} where turn = 0")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, rows = scratch(spark), derived.table(spark, sf_dir, "conversations").select("conv_id", "turn", "role")
+    files.write_jsonl(rows.withColumn("note", F.lit(None).cast("string")), path)
+    files.write_jsonl(rows.filter("turn = 0").withColumn("note", F.lit("again")), path)
+    return files.read_jsonl(spark, path, "conv_id long, turn long, role string, note string").drop("_extra")
+
+
+@on_path("a09_event_store", "select event_index, doc_id, event_type, value from {event_log}")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = derived.table(spark, sf_dir, "event_log").select("run_id", "event_index", "doc_id", "event_type", "value").withColumn("store", C("doc_id") % 4)
+    rows = files.event_rows(files.event_store(log, "store"))
+    return rows.select("event_index", F.from_json("row_json", "doc_id long, event_type string, value double").alias("r")).select("event_index", "r.*")
+
+
+@P.query("a13_dotenv", "select concat('N_', upper(replace(n_name, ' ', '_'))) as key, concat(n_name, ' = ', n_regionkey) as value from {nation}")
+def _(t):
+    key = F.concat(F.lit("N_"), F.upper(F.replace("n_name", F.lit(" "), F.lit("_"))))
+    value = F.concat("n_name", F.lit(" = "), C("n_regionkey").cast("string"))
+    lines = F.array(F.lit("# settings"), F.concat(key, F.lit("=old")), F.lit(""), F.lit("no setting"), F.concat(F.lit("  "), key, F.lit(' = "'), value, F.lit('" ')))
+    return files.dotenv(t("nation").select(F.posexplode(lines).alias("position", "line")), "line", "position")
+
+
+@on_path("a14_manifest", "select count(*) as rows, max(n_chars) as longest, cast(null as varchar) as note, list_sort(list(distinct lang)) as langs from {documents}")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, docs = scratch(spark), derived.table(spark, sf_dir, "documents")
+    files.write_manifest(spark, path, docs.agg(F.count("*").alias("rows"), F.max("n_chars").alias("longest"), F.lit(None).cast("string").alias("note"), F.sort_array(F.collect_set("lang")).alias("langs")))
+    return spark.read.schema("rows long, longest long, note string, langs array<string>").json(path)
+
+
+@on_path("j10_stage_resume", "select * from (values ('one', true, true, true), ('two', false, true, false)) as t(stage, after_run, same_settings, after_change)")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, out = scratch(spark), scratch(spark)
+    derived.table(spark, sf_dir, "nation").write.parquet(f"{out}/one")
+    first = files.Manifest(spark, path)
+    first.finish("one", [{"limit": 1}])
+    after = [files.Manifest(spark, path).finished(s, [{"limit": 1}, {"k": 2}][:n], f"{out}/{s}") for n, s in ((1, "one"), (2, "two"))]
+    derived.table(spark, sf_dir, "region").write.parquet(f"{out}/two")
+    first.finish("two", [{"limit": 1}, {"k": 2}])
+    same = [files.Manifest(spark, path).finished(s, [{"limit": 1}, {"k": 2}][:n], f"{out}/{s}") for n, s in ((1, "one"), (2, "two"))]
+    changed = [files.Manifest(spark, path).finished(s, [{"limit": 1}, {"k": 3}][:n], f"{out}/{s}") for n, s in ((1, "one"), (2, "two"))]
+    return spark.createDataFrame([(s, a, b, c) for s, a, b, c in zip(("one", "two"), after, same, changed)], "stage string, after_run boolean, same_settings boolean, after_change boolean")
+
+
+def event_files(spark: SparkSession, sf_dir: str, path: str, parts: int, part: int) -> None:
+    """Adds a part of the events to a folder that a stream reads."""
+    rows = derived.table(spark, sf_dir, "event_log").select("event_index", "run_id", "doc_id", "event_type", "value")
+    rows.filter(C("event_index") % parts == part).coalesce(1).write.mode("append").parquet(path)
+
+
+_KINDS = "case when event_type in ('doc_started', 'doc_finished') then 'lifecycle' when event_type = 'leaf_scored' then 'leaf_score' else event_type end"
+
+
+@on_path("j01_event_log", "select event_index, doc_id, event_type, row_number() over (order by event_index) as place from {event_log}")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, out = scratch(spark), scratch(spark)
+    for part in range(2):
+        event_files(spark, sf_dir, path, 2, part)
+        S.append_log(S.read_events(spark, path, spark.read.parquet(path).schema), f"{out}/log", f"{out}/checkpoint").awaitTermination()
+    return D.ranked(spark.read.parquet(f"{out}/log").select("event_index", "doc_id", "event_type"), [C("event_index")], "place")
+
+
+@on_path("j03_incremental", f"select event_index % 3 as part, {_KINDS} as name, count(*) as n from {{event_log}} group by 1, 2")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, out = scratch(spark), scratch(spark)
+    for part in range(3):  # each run sees what is new since the one before
+        event_files(spark, sf_dir, path, 3, part)
+        S.fan_out(S.read_events(spark, path, spark.read.parquet(path).schema), f"{out}/tables", f"{out}/checkpoint").awaitTermination()
+    tables = [spark.read.parquet(f"{out}/tables/{n}").groupBy(C("batch").cast("long").alias("part")).agg(F.count("*").alias("n")).select("part", F.lit(n).alias("name"), "n") for n in sorted(set(S.TABLES.values()))]
+    total = tables[0]
+    for x in tables[1:]:
+        total = total.unionAll(x)
+    return total
+
+
+@on_path("a10_event_append", f"select {_KINDS} as name, count(*) as n, count(distinct event_index) as ids from {{event_log}} group by 1")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, out = scratch(spark), scratch(spark)
+    event_files(spark, sf_dir, path, 1, 0)
+    for attempt in range(2):  # a batch that is run again, as after a failure, replaces what it wrote
+        S.fan_out(S.read_events(spark, path, spark.read.parquet(path).schema), f"{out}/tables", f"{out}/checkpoint{attempt}").awaitTermination()
+    tables = [spark.read.parquet(f"{out}/tables/{n}").agg(F.count("*").alias("n"), F.count_distinct("event_index").alias("ids")).select(F.lit(n).alias("name"), "n", "ids") for n in sorted(set(S.TABLES.values()))]
+    total = tables[0]
+    for x in tables[1:]:
+        total = total.unionAll(x)
+    return total
+
+
+@on_path("a11_background_writer", "select event_index % 4 as batch, count(*) as n from {event_log} group by 1")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, out = scratch(spark), scratch(spark)
+    for part in range(4):
+        event_files(spark, sf_dir, path, 4, part)
+    S.append_log(S.read_events(spark, path, spark.read.parquet(path).schema, 1), f"{out}/log", f"{out}/checkpoint").awaitTermination()
+    written = spark.read.parquet(f"{out}/log")
+    # a micro-batch for each file; which comes first is the source's to say
+    per = written.groupBy("batch", (C("event_index") % 4).alias("part")).agg(F.count("*").alias("n"))
+    return per.groupBy(C("part").alias("batch")).agg(F.sum("n").alias("n"), F.count("*").alias("batches")).filter("batches = 1").drop("batches")
+
+
+@P.query("h11_last_box", r"select doc_id, case doc_id % 4 when 0 then n_chars::varchar when 1 then concat('{{', lang, '}}') when 2 then concat(source, ' ') end as value from {documents}")
+def _(t):
+    k = C("doc_id") % 4
+    box = lambda c: F.concat(F.lit("\\boxed{"), c, F.lit("}"))
+    end = F.when(k == 0, F.concat(box(C("lang")), box(C("n_chars").cast("string")))).when(k == 1, box(F.concat(F.lit("{"), C("lang"), F.lit("}")))).when(k == 2, F.concat(box(C("lang")), F.lit(" $\\boxed "), C("source"), F.lit(" $"))).otherwise(F.concat(box(C("lang")), F.lit("\\boxed{"), C("source")))
+    return t("documents").select("doc_id", A.udf_last_box(F.concat("text", end)).alias("value"))
+
+
+@P.query("g08_answer_sets", "select doc_id, case doc_id % 3 when 0 then true when 1 then lang = 'en' else false end as same from {documents}")
+def _(t):
+    k = C("doc_id") % 3
+    left = F.when(k == 0, F.concat(F.lit("\\text{ "), F.upper("lang"), F.lit("}"))).when(k == 1, F.concat(F.lit("\\boxed{\\mathrm{"), C("lang"), F.lit("}}"))).otherwise(C("source"))
+    right = F.when(k == 0, C("lang")).when(k == 1, F.lit("EN")).otherwise(F.concat("source", F.lit("x")))
+    return t("documents").select("doc_id", F.arrays_overlap(A.udf_variants(left), A.udf_variants(right)).alias("same"))
+
+
+@P.query("i15_run_ids", "select event_id, strftime(ts, 'run_%Y%m%d_%H%M%S') as run_id from {events}")
+def _(t):
+    return t("events").select("event_id", files.run_id("run", C("ts")).alias("run_id"))
+
+
+@on_path("k13_registered", "select doc_id, n_chars::varchar as answer, true as same from {traces} where doc_id % 2 = 0")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    A.register(spark)
+    sql = "select doc_id, strandlake_last_box(trace) as answer, strandlake_same_answer(strandlake_last_box(trace), concat(cast(n_chars as string), '.0')) as same from {rows} where doc_id % 2 = 0"
+    return spark.sql(sql, rows=derived.table(spark, sf_dir, "traces"))
+
+
+@P.query("c14_sections_with_think", "select d.doc_id, d.source, t.n_chars as think_chars from {documents} d left join (select doc_id, n_chars from {documents} where doc_id % 3 > 0) t using (doc_id)")
+def _(t):
+    thinks = t("documents").filter("doc_id % 3 > 0").select("doc_id", C("n_chars").alias("think_chars"))
+    return R.with_think(t("documents").select("doc_id", "source"), thinks, "doc_id")
 
 
 @P.query("d35_run_outputs", """with f as (select * from {event_log} where event_type = 'doc_finished' qualify row_number() over (partition by doc_id order by doc_attempt desc, event_index desc) = 1)
   select selector_mode, count(*) as docs, round(avg(value), 6) as mean, round(median(value), 6) as median from f group by 1""")
 def _(t):
-    last = t("event_log").filter("event_type = 'doc_finished'").groupBy("doc_id").agg(F.max_by(F.struct("selector_mode", "value"), F.struct("doc_attempt", "event_index")).alias("v")).select("v.*")
-    return last.groupBy("selector_mode").agg(F.count("*").alias("docs"), F.round(F.avg("value"), 6).alias("mean"), F.round(F.median("value"), 6).alias("median"))
+    return M.run_outputs(t("event_log"), "selector_mode", "value").withColumns({"mean": F.round("mean", 6), "median": F.round("median", 6)})
 
 
-@P.query("d40_curation_summary", """select count(*) as n, count(*) filter (n_chars > 512) as changed, max(n_chars) as before_max, max(least(n_chars, 512)) as after_max, count(*) filter (n_chars > 1024) as over_1024 from {documents}""")
+@P.query("d40_curation_summary", """select count(*) as n, count(*) filter (n_chars > 512) as changed, max(n_chars) as before_max, max(least(n_chars, 512)) as after_max, count(*) filter (n_chars > 1024) as far_over from {documents}""")
 def _(t):
-    n = C("n_chars")
-    return t("documents").agg(F.count("*").alias("n"), F.count_if(X.token_bucket(n) != "unchanged").alias("changed"), F.max(n).alias("before_max"), F.max(F.least(n, F.lit(512))).alias("after_max"), F.count_if(X.token_bucket(n) == "over_1024").alias("over_1024"))
+    return M.curation_summary(t("documents"), "n_chars", 512)
 
 
 @P.query("f11_sanitized_picks", """with r as (select pool_id, doc_id, text, row_number() over (partition by pool_id, text order by doc_id) as dup from {candidates}), o as (select *, row_number() over (partition by pool_id order by dup, doc_id) as place, count(*) over (partition by pool_id) as n from r)
@@ -347,11 +499,15 @@ def _(t):
     return R.previous_chain(t("conversations"), ["conv_id"], "turn", "role", 2).select("conv_id", "turn", "chain")
 
 
-@P.query("i21_branch_index_json", "select doc_id, n_chars, lang from {documents}")
+@P.query("i21_branch_index_json", """select doc_id, source as data_source, case when doc_id % 3 = 0 then concat('tree:', lang) else concat('t', doc_id) end as branch_tree_id, concat('n', n_chars % 7) as leaf_node_id, (n_chars % 7)::int as branch_depth, case when n_chars % 7 > 1 then concat('n', n_chars % 7 - 1) end as parent_branch_id,
+  list_transform(range(0, n_chars % 7 + 1), lambda i: concat('n', i)) as path_node_ids from {documents}""")
 def _(t):
-    d = t("documents")
-    j = F.to_json(F.struct("n_chars", F.struct("lang").alias("meta")))
-    return d.select("doc_id", F.from_json(j, "n_chars long, meta struct<lang:string>").alias("j")).select("doc_id", "j.n_chars", "j.meta.lang")
+    depth = (C("n_chars") % 7).cast("int")
+    path = F.transform(F.sequence(F.lit(0), depth), lambda i: F.concat(F.lit("n"), i.cast("string")))
+    index = TR.branch_index(C("lang"), F.when(C("doc_id") % 3 > 0, F.concat(F.lit("t"), C("doc_id").cast("string"))), path, F.transform(F.slice(path, F.lit(2), depth), lambda _: F.lit(0)))
+    rows = t("documents").select("doc_id", C("source").alias("data_source"), TR.index_json(index).alias("json"))
+    out = rows.withColumn("i", TR.index_of_json(C("json")))
+    return out.select("doc_id", "data_source", "i.branch_tree_id", "i.leaf_node_id", "i.branch_depth", "i.parent_branch_id", "i.path_node_ids")
 
 
 @P.query("i23_flat_metrics", "select checkpoint_id, aime25 as score from {checkpoints}")

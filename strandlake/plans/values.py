@@ -205,7 +205,22 @@ def _(t):
 
 @P.query("k01_density_clusters")
 def _(t):
-    return V.density_clusters(t("embeddings"), "vec_id", "embedding", 0.9, 5)
+    return V.density_clusters(t("embeddings"), "vec_id", "embedding", 5, 400)
+
+
+@P.query("k02_titled_clusters")
+def _(t):
+    rows = t("candidates").select("doc_id", F.concat(F.lit("cluster "), C("label").cast("string")).alias("title"), F.substring_index("text", " ", 1).alias("text"))
+    first = t("candidates").join(t("embeddings").select(C("vec_id").alias("doc_id"), "embedding"), "doc_id")
+    first = first.groupBy(F.concat_ws(" :: ", F.concat(F.lit("cluster "), C("label").cast("string")), F.substring_index("text", " ", 1)).alias("__text")).agg(F.min_by("embedding", "doc_id").alias("vector"))
+    return V.clustered_texts(rows, ["title", "text"], lambda u: u.join(first, "__text"), 5).select("doc_id", "cluster")
+
+
+@P.query("c16_back_join", "select doc_id, min(doc_id) over (partition by lang, source) as first_id, count(*) over (partition by lang, source) as copies from {documents}")
+def _(t):
+    rows = t("documents").select("doc_id", F.concat_ws("|", "lang", "source").alias("key"))
+    facts = rows.groupBy("key").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"))
+    return V.unique_then(rows, "key", lambda u: u.join(facts, "key")).drop("key")
 
 
 QUERIES, ORACLES = P.queries, P.oracles

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 import json
 import re
+import sqlite3
 import uuid
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -102,10 +105,17 @@ def write_both(df: DataFrame, path: str) -> None:
 
 
 def sampled_shards(spark: SparkSession, path: str, k: int, seed: int) -> DataFrame:
-    """The rows of k of a table's files, chosen by a hash of the file's name and the seed."""
+    """The rows of k of a table's shards, chosen by a hash of the shard's name and the seed. A shard is a folder below the
+    table (shard=3), or a file where there are none."""
     rows = spark.read.parquet(path)
-    files = sorted(rows.inputFiles(), key=lambda f: hashlib.sha256(f"{seed}|{f.rpartition('/')[2]}".encode()).hexdigest())
-    return spark.read.schema(rows.schema).parquet(*sorted(files[:k])) if files else rows
+    shards: dict[str, list[str]] = {}
+    for f in rows.inputFiles():
+        folder, _, name = f.rpartition("/")
+        inner = folder.rpartition("/")[2]
+        shards.setdefault(inner if "=" in inner else name, []).append(f)
+    chosen = sorted(shards, key=lambda s: hashlib.sha256(f"{seed}|{s}".encode()).hexdigest())[:k]
+    files = sorted(f for s in chosen for f in shards[s])
+    return spark.read.option("basePath", path).schema(rows.schema).parquet(*files) if files else rows
 
 
 def steps_of_runs(spark: SparkSession, root: str) -> DataFrame:
@@ -144,3 +154,107 @@ def cached(wanted: DataFrame, cache: DataFrame, key: str) -> tuple[DataFrame, Da
 def kept_tensors(names: DataFrame, name: str, keep: str) -> DataFrame:
     """The keys of a checkpoint that a pattern keeps; the binary file itself is not rewritten."""
     return names.filter(F.col(name).rlike(keep))
+
+
+def event_rows(images: DataFrame, table: str = "event_log", order: str = "event_index") -> DataFrame:
+    """The rows of an event store's table, as JSON, from database files in a column `content` (as the binaryFile source gives
+    them, from any store that Spark reads): (path, event_index, row_json), in order inside each file. One file is one task's."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                with contextlib.closing(sqlite3.connect(":memory:")) as c:
+                    c.deserialize(content)
+                    c.row_factory = sqlite3.Row
+                    found = c.execute(f'select * from "{table}" order by "{order}"')
+                    while rows := found.fetchmany(5000):
+                        at = [r[order] for r in rows]
+                        yield pa.RecordBatch.from_arrays([pa.array([path] * len(rows)), pa.array(at, pa.int64()), pa.array([json.dumps(dict(r), ensure_ascii=False) for r in rows])], ["path", "event_index", "row_json"])
+
+    return images.select(F.col("path").cast("string").alias("path"), "content").mapInArrow(run, "path string, event_index long, row_json string")
+
+
+def read_event_store(spark: SparkSession, path: str, table: str = "event_log") -> DataFrame:
+    """event_rows() of database files."""
+    return event_rows(spark.read.format("binaryFile").load(path), table)
+
+
+def event_store(rows: DataFrame, per: str, table: str = "event_log") -> DataFrame:
+    """One database file (path, content) for each value of `per`, with its rows, keyed by event_index; a producer's bounded set each."""
+    names = [c for c in rows.columns if c != per]
+
+    def build(group: pa.Table) -> pa.Table:
+        with contextlib.closing(sqlite3.connect(":memory:")) as c:
+            c.execute(f'create table "{table}" ({", ".join(chr(34) + n + chr(34) for n in names)}, primary key (event_index))')
+            c.executemany(f'insert into "{table}" values ({", ".join("?" * len(names))})', zip(*(group.column(n).to_pylist() for n in names)))
+            c.commit()
+            return pa.table({"path": pa.array([f"{group.column(per)[0].as_py()}.sqlite"]), "content": pa.array([c.serialize()], pa.binary())})
+
+    return rows.groupBy(per).applyInArrow(build, "path string, content binary")
+
+
+def dotenv(lines: DataFrame, line: str, position: str) -> DataFrame:
+    """(key, value) of lines such as KEY="value"; comments, blank lines and lines without = are passed over, the last of a key counts."""
+    text = F.trim(line)
+    own = lines.filter((text != "") & ~text.startswith("#") & text.contains("="))
+    bare = lambda x: F.regexp_replace(F.regexp_replace(F.trim(x), '^"+|"+$', ""), "^'+|'+$", "")
+    key = F.trim(F.substring_index(text, "=", 1))
+    return own.select(key.alias("key"), bare(F.substr(text, F.instr(text, "=") + 1)).alias("value"), position).groupBy("key").agg(F.max_by("value", position).alias("value"))
+
+
+def settings(text: str) -> dict:
+    """Nested settings of a YAML subset: `key: value` by indentation, lists of scalars by dashes, numbers, booleans, null, quoted text and comments."""
+    root: dict = {}
+    stack: list[tuple[int, dict | list]] = [(-1, root)]
+    waiting: tuple[dict, str, int] | None = None  # a key without a value yet
+    for raw in text.splitlines():
+        line = re.sub(r"(^|\s)#.*$", "", raw).rstrip()
+        if not line.strip():
+            continue
+        indent, body = len(line) - len(line.lstrip()), line.strip()
+        if waiting and (indent > waiting[2] or indent == waiting[2] and body.startswith("-")):
+            child: dict | list = [] if body.startswith("-") else {}
+            waiting[0][waiting[1]] = child
+            stack.append((indent, child))
+        waiting = None
+        while indent < stack[-1][0] or indent == stack[-1][0] and isinstance(stack[-1][1], list) and not body.startswith("-"):
+            stack.pop()
+        top = stack[-1][1]
+        if body.startswith("-"):
+            if not isinstance(top, list):
+                raise ValueError(f"a list entry where none is due: {raw!r}")
+            top.append(scalar(body[1:].strip()))
+            continue
+        key, colon, value = body.partition(":")
+        if not colon or isinstance(top, list):
+            raise ValueError(f"no setting: {raw!r}")
+        top[key.strip()] = scalar(value.strip()) if value.strip() else None
+        if not value.strip():
+            waiting = top, key.strip(), indent
+    return root
+
+
+def scalar(text: str) -> object:
+    if len(text) > 1 and text[0] == text[-1] and text[0] in "\"'":
+        return text[1:-1]
+    if text in ("true", "false"):
+        return text == "true"
+    if text in ("null", "~", ""):
+        return None
+    try:
+        return int(text)
+    except ValueError:
+        try:
+            return float(text)
+        except ValueError:
+            return text
+
+
+def write_manifest(spark: SparkSession, path: str, facts: DataFrame) -> None:
+    """One row of facts about a run, as one JSON file."""
+    facts.limit(1).coalesce(1).write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+
+
+def run_id(prefix: str, at: Column) -> Column:
+    """prefix_YYYYmmdd_HHMMSS of a time in UTC; current_timestamp() for now."""
+    return F.concat(F.lit(f"{prefix}_"), F.date_format(at, "yyyyMMdd_HHmmss"))

@@ -36,6 +36,16 @@ def fan_out(events: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
     return events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def append_log(events: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+    """An append-only log; each micro-batch is a folder of its own, written once however often it is tried, and the
+    producer's index orders it. The stream's thread writes while others go on, and its first error ends it."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    return events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def live_progress(events: DataFrame) -> DataFrame:
     """The latest state of each document, as a running aggregate (update or complete mode)."""
     return events.groupBy("run_id", "doc_id").agg(F.max("event_index").alias("event_index"), F.max_by("event_type", "event_index").alias("event_type"), F.count("*").alias("events"))
