@@ -79,13 +79,19 @@ def adjacent_pairs(x: Column) -> Column:
     return F.filter(both, lambda p: (p["steer"] != "") & (p["exec"] != ""))
 
 
-_SEGMENT = r"(?is)<(steer|exec)>(.*?)</\1>"
+_SEGMENT = r"(?is)<steer>.*?</steer>|<exec>.*?</exec>"
+
+
+def _kind_and_body(block: Column) -> Column:
+    """Of a whole block, whose tags are equally long at both ends but for the slash."""
+    n = F.when(F.lower(F.substr(block, F.lit(2), F.lit(1))) == "s", len("steer")).otherwise(len("exec"))
+    return F.struct(F.when(n == len("steer"), "steer").otherwise("exec").alias("type"), F.substr(block, n + 3, F.length(block) - 2 * n - 5).alias("text"))
 
 
 def segments(x: Column) -> Column:
-    """Steer and exec blocks in their order, by type and stripped text; blank ones are dropped."""
-    kind, body = (F.regexp_extract_all(x, F.lit(_SEGMENT), F.lit(i)) for i in (1, 2))
-    return F.filter(F.zip_with(kind, body, lambda k, b: F.struct(F.lower(k).alias("type"), strip(b).alias("text"))), lambda s: s["text"] != "")
+    """Steer and exec blocks in their order, by type and stripped text; blank ones are dropped. One scan of the text."""
+    blocks = F.transform(F.transform(F.regexp_extract_all(x, F.lit(_SEGMENT), F.lit(0)), _kind_and_body), lambda s: F.struct(s["type"].alias("type"), strip(s["text"]).alias("text")))
+    return F.filter(blocks, lambda s: s["text"] != "")
 
 
 def trace_of(trace: Column, blocks: Column, assistant: Column, messages: Column) -> Column:
@@ -135,9 +141,8 @@ def _label(test: Column, label: str) -> Column:
 def _block_issues(think: Column) -> Column:
     """Of the steer and exec blocks inside a think block, in the order in which they stand."""
     control = lambda c: c.rlike(r"(?i)</?(?:think|steer|exec)") | c.rlike(rf"(?i)</?(?:{TAG_FRAGMENTS})(?=[^A-Za-z0-9_]|$)") | c.rlike(r"</?\s*$")
-    kinds = F.transform(F.regexp_extract_all(think, F.lit(_SEGMENT), F.lit(1)), F.lower)
-    bodies = F.regexp_extract_all(think, F.lit(_SEGMENT), F.lit(2))
-    parts = F.struct(kinds.alias("kinds"), bodies.alias("bodies"), F.split(think, _SEGMENT, -1).alias("gaps"))
+    blocks = F.transform(F.regexp_extract_all(think, F.lit(_SEGMENT), F.lit(0)), _kind_and_body)
+    parts = F.struct(blocks["type"].alias("kinds"), blocks["text"].alias("bodies"), F.split(think, _SEGMENT, -1).alias("gaps"))
 
     def issues(p: Column) -> Column:
         each = F.transform(

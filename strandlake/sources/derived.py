@@ -10,6 +10,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from strandlake.sources.files import scratch
+
 ATTEMPT = ["doc_id", "doc_attempt", "task_name", "model_id", "selector_mode"]
 
 RECIPES = {
@@ -75,12 +77,26 @@ select p_partkey as checkpoint_id, concat('checkpoint-', cast(p_partkey * 10 as
 TABLES = set("region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split())
 
 
+#: Where derived tables are that were computed once for many queries.
+STORED: dict[tuple[str, str], str] = {}
+
+
+def store(spark: SparkSession, sf_dir: str, *names: str) -> None:
+    """Writes derived tables, so that queries of this session read them instead of deriving them again."""
+    for name in names:
+        path = scratch(spark)
+        table(spark, sf_dir, name).write.parquet(path)
+        STORED[sf_dir, name] = path
+
+
 def needs(name: str) -> list[str]:
     return sorted(set(re.findall(r"(?<!\{)\{(\w+)\}(?!\})", RECIPES[name])))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table or a derived one."""
+    """A given table or a derived one, which is read where store() has put it."""
+    if (sf_dir, name) in STORED:
+        return spark.read.parquet(STORED[sf_dir, name])
     if name in TABLES:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
     text = RECIPES[name]
