@@ -87,6 +87,21 @@ class Model:
         z = np.add.reduceat(a[:, None] * e, begin[:-1])
         return {"e": e, "v": v, "u": u, "a": a, "z": z, "p": 1 / (1 + np.exp(-np.clip(z @ w["c"] + w["b"], -30, 30)))}
 
+    def gradients(self, x: np.ndarray, begin: np.ndarray, y: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
+        """Of the mean weighted logistic loss of texts, by each of the weights."""
+        w, f, n = self.weights, self.forward(x, begin), np.diff(begin)
+        g = weight * (f["p"] - y) / len(y)
+        grad = {"c": f["z"].T @ g, "b": g.sum(keepdims=True)}
+        gz = np.repeat(g[:, None] * w["c"], n, 0)
+        ga = (gz * f["e"]).sum(1)
+        gs = f["a"] * (ga - np.repeat(np.add.reduceat(f["a"] * ga, begin[:-1]), n))
+        grad["a"] = (f["v"] * f["u"]).T @ gs
+        gv, gu = gs[:, None] * w["a"] * f["u"] * (1 - f["v"] ** 2), gs[:, None] * w["a"] * f["v"] * f["u"] * (1 - f["u"])
+        grad["V"], grad["U"] = f["e"].T @ gv, f["e"].T @ gu
+        ge = (f["a"][:, None] * gz + gv @ w["V"].T + gu @ w["U"].T) * (1 - f["e"] ** 2)
+        grad["E"], grad["e"] = x.T @ ge, ge.sum(0)
+        return grad
+
     def normal(self, x: np.ndarray) -> np.ndarray:
         return np.clip((x - self.mean) / self.scale, -8, 8)
 
@@ -121,17 +136,7 @@ def train(texts: pa.Array, y: np.ndarray, weight: np.ndarray, width: int = 16, g
             n = np.diff(begin)[docs]
             rows = np.repeat(begin[docs] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
             xb, bb = x[rows], np.concatenate([[0], np.cumsum(n)])
-            f = model.forward(xb, bb)
-            g = weight[docs] * (f["p"] - y[docs]) / len(docs)
-            grad = {"c": f["z"].T @ g, "b": g.sum(keepdims=True)}
-            gz = np.repeat(g[:, None] * w["c"], n, 0)
-            ga = (gz * f["e"]).sum(1)
-            gs = f["a"] * (ga - np.repeat(np.add.reduceat(f["a"] * ga, bb[:-1]), n))
-            grad["a"] = (f["v"] * f["u"]).T @ gs
-            gv, gu = gs[:, None] * w["a"] * f["u"] * (1 - f["v"] ** 2), gs[:, None] * w["a"] * f["v"] * f["u"] * (1 - f["u"])
-            grad["V"], grad["U"] = f["e"].T @ gv, f["e"].T @ gu
-            ge = (f["a"][:, None] * gz + gv @ w["V"].T + gu @ w["U"].T) * (1 - f["e"] ** 2)
-            grad["E"], grad["e"] = xb.T @ ge, ge.sum(0)
+            grad = model.gradients(xb, bb, y[docs], weight[docs])
             step += 1
             for k, v in grad.items():
                 v = v + decay * w[k]

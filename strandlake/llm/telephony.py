@@ -21,6 +21,8 @@ from strandlake.llm import common
 
 RATE = 8000
 BLOCK = 64
+#: Bytes of a payload that are decoded at once, a multiple of BLOCK.
+PIECE = 1 << 20
 CODECS = ("mulaw", "alaw", "adpcm")
 FORMAT_TAG = {"pcm": 1, "alaw": 6, "mulaw": 7, "adpcm": 17}
 #: Changes of the step index by code, of IMA ADPCM.
@@ -146,6 +148,24 @@ def features(payloads: list[bytes]) -> list[str]:
     return [";".join(x) for x in out]
 
 
+def long_features(payload: bytes, piece: int = PIECE) -> str:
+    """features() of one payload in pieces, with nothing kept of a piece but its last sample and the sums."""
+    out = []
+    for codec in CODECS:
+        n, peak, energy, changes, crc, below, held = 0, 0, 0, 0, 0, False, np.zeros(0, np.int16)
+        for at in range(0, len(payload), piece):
+            now = np.concatenate([held, decode(np.frombuffer(payload[at : at + piece], np.uint8), codec)])
+            part = resample(now)
+            if at + piece < len(payload):  # the last sample waits for its neighbour
+                part = part[:-2]
+            wide, signs = part.astype(np.int64), part < 0
+            changes += int((signs[1:] != signs[:-1]).sum()) + bool(n and signs[0] != below)
+            n, peak, energy, crc = n + len(part), max(peak, int(np.abs(wide).max())), energy + int((wide * wide).sum()), zlib.crc32(part.tobytes(), crc)
+            below, held = signs[-1], now[-1:]
+        out.append(f"{codec}:n={n},peak={peak},power={energy // n},changes={changes},crc={crc:08x}")
+    return ";".join(out)
+
+
 def decoded(df: DataFrame, audio: str = "audio", codec: str = "mulaw", keep: list[str] | None = None) -> DataFrame:
     """Adds pcm_wav: the payloads of a binary column, decoded, resampled to 16 kHz and stored as a WAV file of 16-bit PCM.
 
@@ -172,14 +192,15 @@ def decoded(df: DataFrame, audio: str = "audio", codec: str = "mulaw", keep: lis
 
 
 def stored_payloads(df: DataFrame, text: str = "text", keep: list[str] | None = None, with_media: bool = False) -> DataFrame:
-    """Stores each text's payload as a mu-law WAV file, reads it back and describes what was read.
+    """Stores each text's payload as a mu-law WAV file, reads it back and describes what was read; and stores its samples, resampled
+    to 16 kHz, as a WAV file of 16-bit PCM.
 
-    Adds n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256 and feature, and with_media the file as
-    media. A null text counts as empty; equal texts give equal values.
+    Adds n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256 and feature, pcm_bytes and pcm_sha256 of the
+    second file, and with_media both files as media and pcm_wav. A null text counts as empty; equal texts give equal values.
     """
-    kinds = {"n_bytes": T.LongType(), "payload_bytes": T.LongType(), "payload_sha256": T.StringType(), "tail_crc32": T.LongType(), "media_bytes": T.LongType(), "media_sha256": T.StringType(), "feature": T.StringType()}
+    kinds = {"n_bytes": T.LongType(), "payload_bytes": T.LongType(), "payload_sha256": T.StringType(), "tail_crc32": T.LongType(), "media_bytes": T.LongType(), "media_sha256": T.StringType(), "feature": T.StringType(), "pcm_bytes": T.LongType(), "pcm_sha256": T.StringType()}
     if with_media:
-        kinds["media"] = T.BinaryType()
+        kinds |= {"media": T.BinaryType(), "pcm_wav": T.BinaryType()}
 
     def make():
         def fn(texts: pa.Array) -> list:
@@ -187,8 +208,10 @@ def stored_payloads(df: DataFrame, text: str = "text", keep: list[str] | None =
             files = [wav(padded(x)) for x in data]
             back = [read_wav(f)[2] for f in files]
             sha = lambda x: hashlib.sha256(x).hexdigest()
-            out = [[len(x) for x in data], [len(x) for x in back], [sha(x) for x in back], [zlib.crc32(x[-BLOCK:]) for x in back], [len(f) for f in files], [sha(f) for f in files], features(back)]
-            return out + [files] * with_media
+            pcm = [wav(resample(decode(np.frombuffer(x, np.uint8), "mulaw")).astype("<i2").tobytes(), "pcm", 2 * RATE) for x in back]
+            found = features(back) if sum(map(len, back)) <= 2 * PIECE else [long_features(x) for x in back]
+            out = [[len(x) for x in data], [len(x) for x in back], [sha(x) for x in back], [zlib.crc32(x[-BLOCK:]) for x in back], [len(f) for f in files], [sha(f) for f in files], found, [len(f) for f in pcm], [sha(f) for f in pcm]]
+            return out + [files, pcm] * with_media
 
         return fn
 

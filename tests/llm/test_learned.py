@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.dataset as ds
 import pytest
+from pyspark.sql import functions as F
 
 from strandlake.llm import boosting, common, fitting, lm_scoring, quality, toxicity
 
@@ -70,15 +71,95 @@ def test_boosting_and_isotonic():
 
 def test_attention_gradients():
     rng = np.random.default_rng(1)
-    texts = pa.array([" ".join(rng.choice(["a", "BB!!", "ccc", "dd|"], 60)) for _ in range(30)])
-    y = np.array([float("BB!!" in t.as_py()[:20]) for t in texts])
-    if y.min() == y.max():
-        y[0] = 1 - y[0]
-    model = quality.train(texts, y, np.ones(30), epochs=3)
+    texts = pa.array([" ".join(rng.choice(["a", "BB!!", "ccc", "dd|"], rng.integers(0, 90))) for _ in range(30)])
+    y = rng.integers(0, 2, 30).astype(float)
+    weight = rng.uniform(0.5, 2, 30)
+    model = quality.train(texts, y, weight, epochs=2)
     x, begin = quality.passages(texts)
-    f = model.forward(model.normal(x), begin)
+    x = model.normal(x)
+    f = model.forward(x, begin)
     assert np.allclose(np.add.reduceat(f["a"], begin[:-1]), 1) and len(f["p"]) == 30
 
+    def loss():
+        p = model.forward(x, begin)["p"]
+        return -np.mean(weight * (y * np.log(p) + (1 - y) * np.log(1 - p)))
+
+    grad = model.gradients(x, begin, y, weight)
+    assert grad.keys() == model.weights.keys()
+    for name, w in model.weights.items():
+        for i in rng.choice(w.size, min(w.size, 6), replace=False):
+            at = np.unravel_index(i, w.shape)
+            kept = w[at]
+            w[at] = kept + 1e-5
+            more = loss()
+            w[at] = kept - 1e-5
+            less = loss()
+            w[at] = kept
+            assert grad[name][at] == pytest.approx((more - less) / 2e-5, abs=1e-6), name
+
+
+def slow_boost(x, y, weight, trees, depth, rate, bins, ridge):
+    """The same trees by trying every cut of every feature in every node."""
+    edges = [sorted(set(np.quantile(x[:, j], np.linspace(0, 1, bins + 1)[1:-1]))) for j in range(x.shape[1])]
+    p = np.average(y, weights=weight)
+    out = np.full(len(y), np.log(p / (1 - p)))
+    for _ in range(trees):
+        q = 1 / (1 + np.exp(-out))
+        g, h = weight * (y - q), weight * q * (1 - q)
+        nodes = [np.arange(len(y))]
+        for _ in range(depth):
+            new = []
+            for rows in nodes:
+                value = lambda r: g[r].sum() ** 2 / (h[r].sum() + ridge)
+                best = (1e-6, None)
+                for j, cuts in enumerate(edges):
+                    for t in cuts:
+                        left, right = rows[x[rows, j] <= t], rows[x[rows, j] > t]
+                        gain = value(left) + value(right) - value(rows)
+                        if gain > best[0] + 1e-12:
+                            best = (gain, (left, right))
+                new += best[1] if best[1] is not None else (rows, rows[:0])
+            nodes = new
+        for rows in nodes:
+            out[rows] += rate * g[rows].sum() / (h[rows].sum() + ridge)
+    return out
+
+
+def test_boosting_by_brute_force():
+    rng = np.random.default_rng(3)
+    x, weight = rng.normal(size=(120, 3)).round(1), rng.uniform(0.5, 2, 120)
+    y = (x[:, 0] + x[:, 1] ** 2 + rng.normal(size=120) > 1).astype(float)
+    got = boosting.boost(x, y, weight, trees=5, depth=2, rate=0.3, bins=8, ridge=1.0).raw(x)
+    assert np.allclose(got, slow_boost(x, y, weight, 5, 2, 0.3, 8, 1.0))
+
+
+def test_queries_learn_from_what_they_may(spark, tmp_path):
+    """Labels of held-out rows change no score."""
+    rows = [(i, f"you idiot number {i} shut up moron" if i % 3 == 0 else f"a calm text about the number {i} and the garden", "en", "s", 1) for i in range(240)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/a/documents.parquet")
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/b/documents.parquet")
+    held = lambda i, mod, rest: zlib.crc32(str(i).encode()) % mod == rest
+    for module, op, mod, rest in ((toxicity, toxicity.op1_toxicity, 4, 2), (quality, quality.op7_quality, 5, 0)):
+        for d in "ab":
+            flip = lambda i, d=d, mod=mod, rest=rest: d == "b" and held(i, mod, rest)
+            marks = [(i, int((i % 3 != 0) != flip(i)), int((i % 3 == 0) != flip(i))) for i in range(240)]
+            spark.createDataFrame(marks, "doc_id long, quality int, toxic int").write.mode("overwrite").parquet(f"{tmp_path}/{d}/labels.parquet")
+        a, b = ({r["doc_id"]: r for r in op(spark, f"{tmp_path}/{d}").collect()} for d in "ab")
+        assert {i: r["score"] for i, r in a.items()} == {i: r["score"] for i, r in b.items()} and len(a) == 240
+        assert all(r["held_out"] == held(i, mod, rest) and r["predicted"] == int(r["score"] >= 0.3) and 0 <= r["score"] <= 1 for i, r in a.items())
+        right = np.mean([r["predicted"] == (int(i % 3 == 0) if module is toxicity else int(i % 3 != 0)) for i, r in a.items() if r["held_out"]])
+        assert right > 0.95 if module is toxicity else right >= 0
+
+
+def test_samples_are_bounded_in_bytes(spark):
+    docs = spark.createDataFrame([(i, "x" * (10 + i)) for i in range(100)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(100)], "doc_id long, toxic int")
+    rows = fitting.labelled(docs, labels, "toxic", "false", 100, 500).collect()
+    assert 0 < sum(len(r["text"]) for r in rows if r["y"] == 1) <= 500 and {r["size"] for r in rows} == {50}
+    assert len(fitting.labelled(docs, labels, "toxic", "false", 100, 1).collect()) == 2  # one text of each class at least
+    named = docs.select(docs.doc_id.cast("string").alias("doc_id"), "text")
+    assert len(fitting.labelled(named.withColumn("doc_id", F.concat(F.lit("d"), "doc_id")), labels.select(F.concat(F.lit("d"), "doc_id").alias("doc_id"), "toxic"), "toxic", "false", 100).collect()) == 100
+
 
 def test_language_models_by_brute_force(spark):
     rows = [(1, "a b a b", True), (2, "a c, B", False), (3, "", True), (4, None, False), (5, "zz", False), (5, "zz", False)]
