@@ -170,7 +170,8 @@ class Codec:
 
     def all_spans(self, texts: list[str], ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """spans() of many texts, one after another: begins and ends."""
-        if not self.normalizer.plain():
+        unknown = any((x == self.library.unk_id()).any() for x in ids)  # whose pieces have any length
+        if unknown or not self.normalizer.plain():
             got = [self.spans(t, x) for t, x in zip(texts, ids, strict=True)] or [np.zeros((0, 2), np.int64)]
             return np.concatenate([x[:, 0] for x in got]), np.concatenate([x[:, 1] for x in got])
         data = [t.encode() for t in texts]
@@ -184,7 +185,7 @@ class Codec:
         ends = np.cumsum(width)
         spaces = np.concatenate([[0], np.cumsum(raw == 32)])
         normal = size + 2 * (spaces[at[1:]] - spaces[at[:-1]]) + lead * (size > 0)
-        if (flat == self.library.unk_id()).any() or (np.bincount(of, width, len(ids)) != normal).any():
+        if (np.bincount(of, width, len(ids)) != normal).any():
             raise ValueError("the ids don't spell the texts")
         before = lead * np.cumsum(size > 0)[of]  # marks put before this text and all earlier ones
         begins = come[np.maximum(ends - width - before, at[of] + 2 * spaces[at[of]])]

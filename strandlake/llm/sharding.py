@@ -4,7 +4,8 @@ Rows are written once with a place (partition and number in it), which makes eve
 from each partition to each shard is drawn exactly: row after row of the matrix, from the multivariate hypergeometric law of
 what the shards still lack. Rows are permuted inside their partition and cut by that row of the matrix, exchanged, and
 permuted again inside their shard, whose slots are numbered through ranges of the random key, so that no task holds a shard.
-Only the matrix is drawn on the driver: one row for each partition of the input.
+Only the matrix is drawn on the driver: one row for each partition of the input, eight draws each; a hundred thousand partitions take
+it some tens of seconds and a few MB.
 """
 
 from __future__ import annotations

@@ -320,6 +320,26 @@ def test_all_spans_agree(codec, texts):
         codec.spans("abc", [5, 6])
 
 
+def test_unknown_pieces_have_spans(tmp_path):
+    model = proto.ModelProto()
+    with open(pieces.model_path(), "rb") as f:
+        model.ParseFromString(f.read())
+    model.trainer_spec.byte_fallback = False
+    for p in model.pieces:
+        if p.type == proto.ModelProto.SentencePiece.BYTE:
+            p.type = proto.ModelProto.SentencePiece.UNUSED
+    (tmp_path / "m.model").write_bytes(model.SerializeToString())
+    c = pieces.Codec(str(tmp_path / "m.model"))
+    rows = ["plain words", "", "a \U0001f9ff\U0001f9ff b", "\u4e2d\u4e2d\u9fa5\ue000 x"]
+    ids = c.arrays(rows)
+    assert not c.by_word and [x.tolist() for x in ids] == c.library.encode(rows) and any((x == c.library.unk_id()).any() for x in ids)
+    begins, ends = c.all_spans(rows, ids)
+    at = np.cumsum([0, *map(len, ids)])
+    for k, t in enumerate(rows):
+        a, b = begins[at[k] : at[k + 1]], ends[at[k] : at[k + 1]]
+        assert len(a) == len(ids[k]) and (not len(a) or (a[0] == 0 and b[-1] == len(t.encode()) and (a[1:] == b[:-1]).all()))
+
+
 @pytest.mark.parametrize("rule", ["nmt_nfkc", "nfkc_cf", "identity"])
 @pytest.mark.parametrize("flags", [(True, True, True), (False, False, True), (True, True, False)])
 def test_character_maps(rule, flags):
