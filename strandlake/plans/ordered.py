@@ -14,6 +14,7 @@ from strandlake.operators import metrics as M
 from strandlake.operators import replay as R
 from strandlake.operators import tree as TR
 from strandlake.plans.base import Plans
+from strandlake.plans.text import BLOCKS
 from strandlake.sources import derived, files
 from strandlake.sources.files import scratch
 from strandlake.streaming import events as S
@@ -64,10 +65,14 @@ def _(t):
     return t("documents").select("doc_id", A.udf_token_count("text").alias("n"))
 
 
-@P.query("h49_answer_equivalence", "select doc_id, n_chars % 6 in (0, 1, 2) as same from {rl_rows}")
+#: Numbers, polynomials, sets and roots that are equal in other words, and numbers that are not.
+@P.query("h49_answer_equivalence", "select doc_id, doc_id % 5 <> 4 as same from {documents}")
 def _(t):
-    gold = F.when(C("n_chars") % 6 == 0, "012.0").when(C("n_chars") % 6 == 1, "\\boxed{0.5}").when(C("n_chars") % 6 == 2, "\\dfrac{75}{100}").otherwise("other")
-    return t("rl_rows").select("doc_id", A.udf_same_answer(C("answer"), gold).alias("same"))
+    k, n, m = C("doc_id") % 5, C("n_chars"), C("n_chars") % 1000
+    of = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+    given = F.when(k == 0, of(n)).when(k == 1, of("\\boxed{(x+", n, ")^2}")).when(k == 2, of("\\{", n, ", ", n + 1, "\\}")).when(k == 3, of("\\sqrt{", m * m * 2, "}")).otherwise(of(m))
+    gold = F.when(k == 0, of("\\dfrac{", n * 2, "}{2}")).when(k == 1, of("x^2 + ", n * 2, "x + ", n * n)).when(k == 2, of("\\{", n + 1, ",", n, ".0\\}")).when(k == 3, of(m, "\\sqrt2")).otherwise(of(m + 1))
+    return t("documents").select("doc_id", A.udf_same_answer(given, gold).alias("same"))
 
 
 @P.query("e21_repeat_runs")
@@ -472,21 +477,25 @@ def _(t):
     return R.top_and_bottom(t("candidates"), "label", "doc_id", 3, 3)
 
 
-@P.query("h05_trace_shapes", "select doc_id, case doc_id % 4 when 0 then 'trace' when 1 then '<steer>a</steer>' when 2 then 'assistant' else 'last' end as value from {documents}")
+@P.query("h05_trace_shapes", BLOCKS + """, j as (select doc_id, string_agg(concat('<', kind, '>', text, '</', kind, '>'), chr(10) order by k) as joined from b group by 1)
+  select d.doc_id, case d.doc_id % 4 when 0 then trace when 1 then coalesce(joined, concat('a ', d.text)) when 2 then concat('a ', d.text) else d.text end as value from {documents} d join {traces} t using (doc_id) left join j using (doc_id)""")
 def _(t):
     k = C("doc_id") % 4
-    block = F.struct(F.lit("steer").alias("type"), F.lit("a").alias("text"))
-    message = lambda r, c: F.struct(F.lit(r).alias("role"), F.lit(c).alias("content"))
-    messages = F.array(message("assistant", "first"), message("assistant", "last"), message("user", "x"))
-    value = X.trace_of(F.when(k == 0, "trace"), F.when(k == 1, F.array(block)).otherwise(F.slice(F.array(block), 1, 0)), F.when(k == 2, "assistant"), messages)
-    return t("documents").select("doc_id", value.alias("value"))
+    message = lambda r, c: F.struct(F.lit(r).alias("role"), c.alias("content"))
+    messages = F.array(message("assistant", F.lit("first")), message("assistant", C("text")), message("user", F.lit("x")))
+    blocks = F.when(k == 1, X.segments(C("trace"))).otherwise(F.slice(X.segments(F.lit("")), 1, 0))
+    value = X.trace_of(F.when(k == 0, C("trace")), blocks, F.when((k == 1) | (k == 2), F.concat(F.lit("a "), "text")), messages)
+    return t("documents").select("doc_id", "text").join(t("traces").select("doc_id", "trace"), "doc_id").select("doc_id", value.alias("value"))
 
 
-@P.query("h27_boundaries", "select doc_id, case doc_id % 4 when 0 then '<exec>a</exec>\n' when 1 then '<exec>a</exec>\n' when 2 then '<exec>a</exec>\n' else '<steer>b</steer>\n<exec>' end as value from {documents}")
+#: Traces that end anywhere, a third of them inside a closing tag.
+_CUT = "case when doc_id % 3 = 0 and contains(trace, '</exec>') then substr(trace, 1, strpos(trace, '</exec>') + doc_id % 8 - 1) else substr(trace, 1, 40 + doc_id % 500) end"
+
+
+@P.query("h27_boundaries", rf"""select doc_id, case when regexp_matches(x, '<(?:steer|exec)>\s*$') then x when regexp_extract(x, '(?s)^.*<(/?exec)>', 1) = 'exec' then concat(regexp_replace(x, '(?:</exec|</exe|</ex|</e|</|<)$', ''), '</exec>', chr(10))
+  when regexp_matches(x, '</exec>\s*$') then concat(regexp_replace(x, '\s+$', ''), chr(10)) else x end as value from (select doc_id, {_CUT} as x from {{traces}})""")
 def _(t):
-    k = C("doc_id") % 4
-    raw = F.when(k == 0, "<exec>a").when(k == 1, "<exec>a</ex").when(k == 2, "<exec>a</exec>  ").otherwise("<steer>b</steer>\n<exec>")
-    return t("documents").select("doc_id", X.at_boundary(raw).alias("value"))
+    return t("traces").select("doc_id", X.at_boundary(F.expr(_CUT.replace("strpos(trace, '</exec>')", "instr(trace, '</exec>')"))).alias("value"))
 
 
 @P.query("h37_first_tokens", r"select doc_id, rtrim(substr(text, 1, length(regexp_extract(text, '^(?:\s*(?:\p{{L}}{{1,4}}|[0-9]{{1,3}}|[^\p{{L}}0-9\s])){{0,9}}')))) as value from {documents}")
@@ -516,14 +525,13 @@ def _(t):
     return t("checkpoints").select("checkpoint_id", R.one_metric(m, "avg_at_").alias("score"))
 
 
-@P.query("k12_window_check", "select doc_id, case when doc_id % 5 = 0 then 'pair_count' when doc_id % 5 = 1 then 'first_steer' when doc_id % 5 = 2 then 'order@1' when doc_id % 5 = 3 then 'long@1' else 'ok' end as value from {documents}")
+@P.query("k12_window_check", BLOCKS + r""", w as (select doc_id, k - 1 as i, kind, text, len(regexp_extract_all(text, '\S+')) > 12 as long from b where k <= 2 + (doc_id % 5 = 0)::int),
+  e as (select doc_id, count(*) as n, max(text) filter (i = 0) as first, string_agg(concat_ws('|', case when kind <> case when i % 2 = 0 then 'steer' else 'exec' end then concat('order@', i) end, case when long then concat('long@', i) end), '|' order by i) filter (long or kind <> case when i % 2 = 0 then 'steer' else 'exec' end) as errors from w group by 1)
+  select doc_id, case when coalesce(n, 0) <> 2 then 'pair_count' when doc_id % 5 = 1 then 'first_steer' else coalesce(string_split(errors, '|')[1], 'ok') end as value from {traces} left join e using (doc_id)""")
 def _(t):
-    k = C("doc_id") % 5
-    block = lambda kind, text: F.struct(F.lit(kind).alias("type"), text.alias("text"))
-    steer = block("steer", F.when(k == 1, "other").otherwise("plan"))
-    second = F.when(k == 2, block("steer", F.lit("x"))).when(k == 3, block("exec", F.lit("a b c d"))).otherwise(block("exec", F.lit("a b")))
-    blocks = F.when(k == 0, F.array(steer)).otherwise(F.array(steer, second))
-    return t("documents").select("doc_id", X.window_check(blocks, 1, F.lit("plan"), 3).alias("value"))
+    rows = t("traces").select("doc_id", F.slice(X.segments(C("trace")), F.lit(1), F.when(C("doc_id") % 5 == 0, 3).otherwise(2)).alias("blocks"))
+    wanted = F.when(C("doc_id") % 5 == 1, "another plan").otherwise(F.get("blocks", F.lit(0))["text"])
+    return rows.select("doc_id", X.window_check(C("blocks"), 1, wanted, 12).alias("value"))
 
 
 @P.query("j12_completed_rows", "select conv_id from {conversations} group by 1 having count(*) = 6")

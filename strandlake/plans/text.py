@@ -30,10 +30,10 @@ _S, _E = (f"list_transform(regexp_extract_all(trace, '{_ADJ}', {i}), lambda x: {
 by_row("h03_adjacent_pairs", lambda: listed(F.transform(X.adjacent_pairs(F.col("trace")), lambda p: F.concat(p["steer"], F.lit("=>"), p["exec"]))), f"coalesce(array_to_string(list_filter(list_transform(range(1, len(a) + 1), lambda i: case when a[i] <> '' and b[i] <> '' then concat(a[i], '=>', b[i]) end), lambda x: x is not null), '|'), '')", pre=f"{_S} as a, {_E} as b")
 by_row("h04_segments", lambda: listed(F.transform(X.segments(F.col("trace")), lambda s: F.concat(s["type"], F.lit(":"), s["text"]))), rf"coalesce(array_to_string(list_filter(list_transform(regexp_extract_all(trace, '(?is)<steer>.*?</steer>|<exec>.*?</exec>'), lambda x: case when {STRIP.format(chr(39).join(['regexp_replace(x, ', '(?is)^<.*?>|</.*?>$', ', ', '', ', ', 'g', ')']))} <> '' then concat(lower(regexp_extract(x, '^<(\w+)>', 1)), ':', {STRIP.format(chr(39).join(['regexp_replace(x, ', '^<[a-zA-Z]+>|</[a-zA-Z]+>$', ', ', '', ', ', 'g', ')']))}) end), lambda x: x is not null), '|'), '')")
 #: Blocks that are not blank, by their place k from 1.
-_BLOCKS = r"""with raw as (select doc_id, unnest(regexp_extract_all(trace, '(?is)<steer>.*?</steer>|<exec>.*?</exec>')) as s, generate_subscripts(regexp_extract_all(trace, '(?is)<steer>.*?</steer>|<exec>.*?</exec>'), 1) as i from {traces}),
+BLOCKS = r"""with raw as (select doc_id, unnest(regexp_extract_all(trace, '(?is)<steer>.*?</steer>|<exec>.*?</exec>')) as s, generate_subscripts(regexp_extract_all(trace, '(?is)<steer>.*?</steer>|<exec>.*?</exec>'), 1) as i from {traces}),
   named as (select doc_id, i, lower(regexp_extract(s, '^<(\w+)>', 1)) as kind, regexp_replace(regexp_replace(s, '^<[a-zA-Z]+>|</[a-zA-Z]+>$', '', 'g'), '^\s+|\s+$', '', 'g') as text from raw),
   b as (select *, row_number() over (partition by doc_id order by i) as k from named where text <> '')"""
-P.query("h06_alternation_errors", _BLOCKS + r""", e as (select doc_id, k, concat_ws('|', case when kind <> case when k % 2 = 1 then 'steer' else 'exec' end then concat('order@', k - 1) end, case when len(regexp_extract_all(text, '\S+')) > 60 then concat('long@', k - 1) end) as e from b),
+P.query("h06_alternation_errors", BLOCKS + r""", e as (select doc_id, k, concat_ws('|', case when kind <> case when k % 2 = 1 then 'steer' else 'exec' end then concat('order@', k - 1) end, case when len(regexp_extract_all(text, '\S+')) > 60 then concat('long@', k - 1) end) as e from b),
   g as (select doc_id, count(*) as n, string_agg(e, '|' order by k) filter (e <> '') as listed from e group by 1) select doc_id, concat_ws('|', case when n % 2 = 1 then 'odd' end, listed) as value from (select doc_id from {traces}) left join g using (doc_id)""")(
     lambda t: t("traces").select("doc_id", listed(X.alternation_errors(X.segments(F.col("trace")), 60)).alias("value"))
 )
@@ -122,7 +122,7 @@ by_row("h44_snake", lambda: X.snake(F.concat(F.lit("--My  "), F.col("source"), F
 _SQ = SQUEEZE.format("text")
 by_row("h45_preview", lambda: X.preview(F.col("text"), 60), f"case when length({_SQ}) > 60 then concat({_SQ}[1:57], '...') else {_SQ} end", "documents")
 by_row("h46_tail_words", lambda: X.tail_words(F.col("text"), 5), r"array_to_string(regexp_extract_all(text, '\S+')[-5:], ' ')", "documents")
-P.query("h47_sections", _BLOCKS + r""", s as (select *, count(*) filter (kind = 'steer') over (partition by doc_id order by k) as sec from b),
+P.query("h47_sections", BLOCKS + r""", s as (select *, count(*) filter (kind = 'steer') over (partition by doc_id order by k) as sec from b),
   o as (select doc_id, sec, coalesce(max(text) filter (kind = 'steer'), 'Unlabeled execution') as title, coalesce(string_agg(text, chr(10) || chr(10) order by k) filter (kind = 'exec'), '') as body from s group by 1, 2)
   select doc_id, coalesce(string_agg(concat(title, '=>', body), '|' order by sec) filter (title is not null), '') as value from (select doc_id from {traces}) left join o using (doc_id) group by 1""")(
     lambda t: t("traces").select("doc_id", listed(F.transform(X.sections(X.segments(F.col("trace"))), lambda s: F.concat(s["title"], F.lit("=>"), s["text"]))).alias("value"))
