@@ -177,10 +177,10 @@ def _(t):
     return out.select("l_linestatus", F.round("slope", 6).alias("slope"), F.round("intercept", 4).alias("intercept"))
 
 
-@P.query("d15_leaf_variance", "select doc_id, doc_attempt, round(coalesce(var_pop(verification), 0), 9) as verification_variance, round(coalesce(var_pop(length_tokens_total), 0), 3) as length_tokens_total_variance from {leaf_score} group by 1, 2")
+@P.query("d15_leaf_variance", "select doc_id, doc_attempt, round(coalesce(var_pop(verification), 0) + 0.000000000001, 9) as verification_variance, round(coalesce(var_pop(length_tokens_total), 0) + 0.00001, 3) as length_tokens_total_variance from {leaf_score} group by 1, 2")
 def _(t):
     out = M.leaf_variance(t("leaf_score"), ["doc_id", "doc_attempt"], "verification", "length_tokens_total")
-    return out.select("doc_id", "doc_attempt", F.round("verification_variance", 9).alias("verification_variance"), F.round("length_tokens_total_variance", 3).alias("length_tokens_total_variance"))
+    return out.select("doc_id", "doc_attempt", F.round(C("verification_variance") + 1e-12, 9).alias("verification_variance"), F.round(C("length_tokens_total_variance") + 0.00001, 3).alias("length_tokens_total_variance"))
 
 
 _SERIES = "try_cast(case when doc_id % 5 = 0 then 'n/a' when doc_id % 7 = 0 then null else concat(' ', cast(n_chars as varchar), '.5') end as double)"

@@ -121,7 +121,7 @@ def _(t):
 
 #: Steps are looked for by the first letter of their text, which repeats and is often missing behind the last one found.
 @P.query("c19_alignment", r"""with recursive s as (select conv_id, turn::int as step, lower(substr(text, 1, 1)) as k, row_number() over (partition by conv_id order by turn) as i from {conversations} where turn % 2 = 0),
-  p as (select conv_id, turn::int * 2 as place, lower(substr(text, 1, 1)) as k from {conversations} union all select conv_id, turn::int * 2 + 1, lower(substr(role, 1, 1)) from {conversations}),
+  p as (select conv_id, turn::int * 2 as place, lower(substr(text, 1, 1)) as k from {conversations} where turn % 4 <> 2 union all select conv_id, turn::int * 2 + 1, lower(substr(role, 1, 1)) from {conversations}),
   w as (select conv_id, 0::bigint as i, null::int as step, null::int as place, -1 as cursor from (select distinct conv_id from s)
     union all select w.conv_id, s.i, s.step, n.place, coalesce(n.place, w.cursor) from w join s on s.conv_id = w.conv_id and s.i = w.i + 1 left join lateral (select min(p.place) as place from p where p.conv_id = s.conv_id and p.k = s.k and p.place > w.cursor) n on true)
   select conv_id, step, place from w where i > 0""")
@@ -129,7 +129,7 @@ def _(t):
     key = lambda c: F.lower(F.substr(c, F.lit(1), F.lit(1))).alias("text")
     steps = t("conversations").filter("turn % 2 = 0").select("conv_id", C("turn").cast("int").alias("step"), key("text"))
     turn = C("turn").cast("int") * 2
-    pairs = t("conversations").select("conv_id", turn.alias("place"), key("text")).unionAll(t("conversations").select("conv_id", (turn + 1).alias("place"), key("role")))
+    pairs = t("conversations").filter("turn % 4 <> 2").select("conv_id", turn.alias("place"), key("text")).unionAll(t("conversations").select("conv_id", (turn + 1).alias("place"), key("role")))
     return R.aligned(steps, pairs, "conv_id")
 
 
