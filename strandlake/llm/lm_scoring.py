@@ -202,7 +202,9 @@ def _parted(df: DataFrame, target: str, text: str, keep: list[str], buckets: int
 
     out, name = source.mapInArrow(run, T.StructType([*source.schema, T.StructField("part", T.LongType())])), f"strandlake_{uuid.uuid4().hex}"
     out.write.option("parquet.block.size", 16 << 20).option("path", common.shared_dir(df.sparkSession)).bucketBy(buckets, "part").saveAsTable(name, format="parquet")
-    return df.sparkSession.table(name)
+    table = df.sparkSession.table(name)
+    df.sparkSession.sql(f"drop table {name}")  # only its name: the files are in the shared folder, and the relation knows its buckets
+    return table
 
 
 def _bigrams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
