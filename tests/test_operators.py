@@ -61,7 +61,7 @@ def test_inter_advantage_of_one_is_zero(spark):
     assert sorted((r["p"], round(r["inter"], 3)) for r in T.inter_advantage(rows, "p", "r").collect()) == [("a", 0.0), ("b", -1.0), ("b", 1.0)]
 
 
-GOOD = "<think><steer>Plan.</steer><exec>Check.</exec></think> \\boxed{30000}"
+GOOD = "<think><steer>Weigh it.</steer><exec>All told.</exec></think> \\boxed{41500}"
 ISSUES = [
     (GOOD, []),
     ("\\boxed{1}", ["expected_single_complete_think_block"]),
@@ -82,9 +82,9 @@ def test_structure_issues(spark, text, issues):
 
 
 def test_text_functions(spark):
-    assert one(spark, lambda c: X.word_count(c, "wait"), 'Wait, wait. "WAIT"! await waiting waited wait_time wait2') == 3
-    for text in ("Try substitution</steer>", "<steer>Try substitution</steer>", "Try substitution</ste "):
-        assert one(spark, X.without_steer_suffix, text) == "Try substitution"
+    assert one(spark, lambda c: X.word_count(c, "hold"), 'Hold, hold. "HOLD"! uphold holding holds hold_on hold2') == 3
+    for text in ("Go by parts</steer>", "<steer>Go by parts</steer>", "Go by parts</ste "):
+        assert one(spark, X.without_steer_suffix, text) == "Go by parts"
     assert one(spark, X.unmatched, "<steer>a</steer><steering>b</steering><exec>c</exec>") == 1
     assert [tuple(p) for p in one(spark, X.index_pairs, "<steer>A</steer><exec>B</exec>")] == [("A", "B")]
     assert one(spark, X.strip, "\n  a \n") == "a"
@@ -127,7 +127,7 @@ def test_completion_check(text, reason):
 
 
 def test_rewards():
-    assert A.reward(GOOD, "30,000", True) == pytest.approx(1.1)
+    assert A.reward(GOOD, "41,500", True) == pytest.approx(1.1)
     assert A.reward("\\boxed{\\frac{1}{2}}", "0.5", False) == 1.0
     assert A.reward("no box", "1", True) == pytest.approx(0.1)
     assert A.same_answer("\\boxed{\\text{No}}", "no") and not A.same_answer("2", "3")
