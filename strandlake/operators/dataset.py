@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -129,30 +131,49 @@ def train_eval(df: DataFrame, key: str, ratio: float, seed: int) -> DataFrame:
     return df.join(chosen, key, "left").fillna("train", ["split"])
 
 
-def allocate(capacity: dict[str, int], target: int) -> dict[str, int]:
-    """water filling. Equal shares of the target as far as capacities go; what is left over goes to sources in sorted order."""
-    if sum(capacity.values()) < target:
-        raise ValueError(f"{target} rows are wanted, {sum(capacity.values())} are there")
-    level, high = 0, max(capacity.values(), default=0)
-    while level < high:  # the highest level whose filling fits
+def water_level(capacities: dict[int, int], target: int) -> tuple[int, int]:
+    """Of so many containers of each capacity: the highest level to which the target fills all as far as they go, and what is left
+    over, which is less than the containers that go higher."""
+    total = lambda level: sum(min(c, level) * k for c, k in capacities.items())
+    level, high = 0, max(capacities, default=0)
+    if total(high) < target:
+        raise ValueError(f"{target} rows are wanted, {total(high)} are there")
+    while level < high:
         middle = (level + high + 1) // 2
-        level, high = (middle, high) if sum(min(c, middle) for c in capacity.values()) <= target else (level, middle - 1)
-    out = {s: min(c, level) for s, c in capacity.items()}
-    rest = target - sum(out.values())
-    for s in sorted(capacity):
-        if rest and out[s] < capacity[s]:
-            out[s], rest = out[s] + 1, rest - 1
-    return out
+        level, high = (middle, high) if total(middle) <= target else (level, middle - 1)
+    return level, target - total(level)
+
+
+def allocate(capacity: dict[str, int], target: int) -> dict[str, int]:
+    """equal shares of the target as far as capacities go; what is left over goes to sources in sorted order."""
+    level, rest = water_level(Counter(capacity.values()), target)
+    higher = sorted(s for s, c in capacity.items() if c > level)[:rest]
+    return {s: min(c, level) + (s in set(higher)) for s, c in capacity.items()}
+
+
+def allocated(counts: DataFrame, name: str, capacity: str, target: int, into: str) -> DataFrame:
+    """allocate() for a table of any number of names. Only the distinct capacities reach the driver: as they sum up to the rows
+    at most, there are fewer than the root of twice the rows."""
+    counts = stored(counts)
+    level, rest = water_level({r[capacity]: r["k"] for r in counts.groupBy(capacity).agg(F.count("*").alias("k")).collect()}, target)
+    more = counts.filter(F.col(capacity) > level).orderBy(name).limit(rest).select(F.col(name).alias("__name"), F.lit(1).alias("__more"))
+    got = F.least(F.col(capacity), F.lit(level)) + F.coalesce("__more", F.lit(0))
+    return counts.join(more, F.col(name).eqNullSafe(F.col("__name")), "left").select(*counts.columns, got.cast("long").alias(into))
+
+
+def chosen(df: DataFrame, name: str, key: str, shares: DataFrame, most: int, seed: int) -> DataFrame:
+    """The first rows of each name in hash order, as many as its share (`__share` in shares, never over `most`): each task keeps its first
+    rows of a name before the shuffle."""
+    w = Window.partitionBy(name).orderBy(hash_order(seed, F.col(key)), key)
+    own = df.withColumn("__rank", F.row_number().over(w)).filter(F.col("__rank") <= most)
+    return own.join(shares.select(F.col(name).alias("__name"), "__share"), F.col(name).eqNullSafe(F.col("__name"))).filter("__rank <= __share").select(*df.columns)
 
 
 def balanced(df: DataFrame, source: str, key: str, target: int, seed: int) -> DataFrame:
     """`target` rows, spread over sources as evenly as they allow, in hash order inside each."""
-    spark = df.sparkSession
-    shares = allocate({r[source]: r["n"] for r in df.groupBy(source).agg(F.count("*").alias("n")).collect()}, target)
-    share = spark.createDataFrame(list(shares.items()), f"{source} string, __share long")
-    w = Window.partitionBy(source).orderBy(hash_order(seed, F.col(key)), key)
-    most = max(shares.values(), default=0)  # a fixed limit, so that each task keeps its first rows of a source before the shuffle
-    return df.withColumn("__rank", F.row_number().over(w)).filter(F.col("__rank") <= most).join(F.broadcast(share), source).filter("__rank <= __share").drop("__rank", "__share")
+    shares = stored(allocated(df.groupBy(source).agg(F.count("*").alias("__n")), source, "__n", target, "__share"))
+    most = shares.agg(F.max("__share").alias("m")).first()["m"] or 0
+    return chosen(df, source, key, shares, most, seed)
 
 
 def fraction_per_bucket(df: DataFrame, bucket: str, key: str, fraction: float, seed: int) -> DataFrame:
@@ -178,21 +199,16 @@ def sample_per_group(df: DataFrame, group: str, key: str, size: int, seed: int)
 
 def proportional(df: DataFrame, label: str, key: str, size: int, seed: int) -> DataFrame:
     """about size * share rows of each label, one at least; shares are trimmed and filled in turn to give `size`."""
-    counts = {r[label]: r["n"] for r in df.groupBy(label).agg(F.count("*").alias("n")).collect()}
-    total, names = sum(counts.values()), sorted(counts)
-    share = {s: min(counts[s], max(1, round(size * counts[s] / total))) for s in names}
-    size = min(size, total)
-    while sum(share.values()) != size:
-        step = 1 if sum(share.values()) < size else -1
-        able = [s for s in names if (share[s] < counts[s] if step > 0 else share[s] > 1)]
-        if not able:
-            break
-        for s in able[: abs(size - sum(share.values()))]:
-            share[s] += step
-    shares = df.sparkSession.createDataFrame(list(share.items()), df.select(label).schema.add("__share", "long"))
-    w = Window.partitionBy(label).orderBy(hash_order(seed, F.col(key)), key)
-    most = max(share.values(), default=0)
-    return df.withColumn("__rank", F.row_number().over(w)).filter(F.col("__rank") <= most).join(F.broadcast(shares), label).filter("__rank <= __share").drop("__rank", "__share")
+    counts = df.groupBy(label).agg(F.count("*").alias("__n"))
+    total = counts.agg(F.coalesce(F.sum("__n"), F.lit(0)).alias("n")).first()["n"]
+    base = counts.withColumn("__base", F.least("__n", F.greatest(F.lit(1), F.bround(F.lit(size) * F.col("__n") / F.lit(max(1, total))).cast("long"))))
+    lacking = min(size, total) - (base.agg(F.sum("__base").alias("n")).first()["n"] or 0)
+    # in turn is as water fills: what a label may still get, or lose
+    able = base.withColumn("__able", F.col("__n") - F.col("__base") if lacking > 0 else F.col("__base") - 1)
+    most = able.agg(F.coalesce(F.sum("__able"), F.lit(0)).alias("n")).first()["n"]
+    shares = allocated(able, label, "__able", min(abs(lacking), most), "__change")
+    shares = stored(shares.withColumn("__share", F.col("__base") + (1 if lacking > 0 else -1) * F.col("__change")))
+    return chosen(df, label, key, shares, shares.agg(F.max("__share").alias("m")).first()["m"] or 0, seed)
 
 
 def shortlist_size(n: Column, k: int) -> Column:

@@ -102,9 +102,8 @@ _BAL = """with cap as (select source, count(*) as cap from {documents} group by
 
 @P.query("f01_allocation", f"{_BAL} select source, n::bigint as n from share")
 def _(t):
-    docs = t("documents")
-    shares = D.allocate({r["source"]: r["n"] for r in docs.groupBy("source").agg(F.count("*").alias("n")).collect()}, 150)
-    return docs.sparkSession.createDataFrame(list(shares.items()), "source string, n long")
+    counts = t("documents").groupBy("source").agg(F.count("*").alias("capacity"))
+    return D.allocated(counts, "source", "capacity", 150, "n").select("source", "n")
 
 
 @P.query("f02_balanced_sample", f"{_BAL} select doc_id, source from (select *, row_number() over (partition by source order by {_HASH.format(42, 'doc_id')}, doc_id) as r from {{documents}}) join share using (source) where r <= n")

@@ -153,6 +153,32 @@ def test_allocation_properties(capacity, target):
     assert not free or max(got.values()) - min(free) <= 1
 
 
+@pytest.mark.parametrize("size", [1, 7, 40, 95, 200])
+def test_proportional_in_turn(spark, size):
+    rows = spark.createDataFrame([(i, "abcdefgh"[min(7, i.bit_length())] if i % 11 else None) for i in range(100)], "id long, s string")
+    counts = {r["s"]: r["count"] for r in rows.groupBy("s").count().collect()}
+    names = sorted(counts, key=lambda s: (s is not None, s or ""))
+    share = {s: min(counts[s], max(1, round(size * counts[s] / 100))) for s in names}
+    while sum(share.values()) != min(size, 100):
+        step = 1 if sum(share.values()) < size else -1
+        able = [s for s in names if (share[s] < counts[s] if step > 0 else share[s] > 1)]
+        if not able:
+            break
+        for s in able[: abs(min(size, 100) - sum(share.values()))]:
+            share[s] += step
+    got = {r["s"]: r["count"] for r in D.proportional(rows, "s", "id", size, 1).groupBy("s").count().collect()}
+    assert got == share
+
+
+def test_allocated_is_allocate(spark):
+    capacity = {f"s{i}": i * 7 % 13 for i in range(40)}
+    rows = spark.createDataFrame(list(capacity.items()), "s string, n long")
+    for target in (0, 1, 39, 100, sum(capacity.values())):
+        assert {r["s"]: r["got"] for r in D.allocated(rows, "s", "n", target, "got").collect()} == D.allocate(capacity, target)
+    with pytest.raises(ValueError):
+        D.allocated(rows, "s", "n", 10_000, "got")
+
+
 def test_sampling_sizes(spark):
     rows = spark.createDataFrame([(i, "ab"[i % 5 == 0]) for i in range(100)], "id long, s string")
     got = D.balanced(rows, "s", "id", 50, 1).groupBy("s").count().collect()
