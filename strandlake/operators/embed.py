@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandlake.functions.numeric import dot
 from strandlake.operators import density
 from strandlake.sources.files import stored
 
@@ -123,3 +125,35 @@ def clustered_texts(df: DataFrame, texts: list[str], vectors: Callable[[DataFram
 def unique_then(df: DataFrame, text: str, compute: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Computes a column for the distinct texts only and joins it to all rows."""
     return df.join(compute(df.select(text).distinct()), text, "left")
+
+
+def projected(df: DataFrame, key: str, vector: str, axes: int = 2) -> DataFrame:
+    """The coordinates of vectors on their principal axes, (key, c0, c1, ...): what a plot of them shows. An axis points to where its
+    largest component is positive.
+
+    Each task sums its vectors and their products; what reaches the driver is one number for each pair of components.
+    """
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, one, two = 0, None, None
+        for batch in batches:
+            if batch.num_rows:
+                v = np.stack(batch.column(0).to_numpy(zero_copy_only=False)).astype(np.float64)
+                n, one, two = n + len(v), v.sum(0) + (0 if one is None else one), v.T @ v + (0 if two is None else two)
+        if n:
+            d = len(one)
+            i, j = np.divmod(np.arange((d + 1) * (d + 1)), d + 1)
+            whole = np.block([[np.array([[float(n)]]), one[None]], [one[:, None], two]])
+            yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(j), pa.array(whole.ravel())], ["i", "j", "x"])
+
+    got = df.filter(F.col(vector).isNotNull()).select(vector).mapInArrow(sums, "i long, j long, x double").groupBy("i", "j").agg(F.sum("x").alias("x")).toPandas()
+    if not len(got):
+        return df.filter("false").select(key, *[F.lit(0.0).alias(f"c{k}") for k in range(axes)])
+    d = int(got.i.max())
+    whole = np.zeros((d + 1, d + 1))
+    whole[got.i, got.j] = got.x
+    mean = whole[0, 1:] / whole[0, 0]
+    axis = np.linalg.eigh(whole[1:, 1:] / whole[0, 0] - np.outer(mean, mean))[1][:, ::-1][:, :axes].T
+    axis *= np.sign(axis[np.arange(len(axis)), np.abs(axis).argmax(1)])[:, None]
+    at = [dot(F.col(vector), F.lit(a.tolist())) - float(a @ mean) for a in axis]
+    return df.select(key, *[x.alias(f"c{k}") for k, x in enumerate(at)])

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import struct
 import uuid
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -257,6 +260,24 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.kept_tensors(derived.table(spark, sf_dir, "part").select("p_name").distinct(), "p_name", "red|blue")
 
 
+@on_path("a16_tensor_rewrite", "select concat('layer.', p_partkey, '.lora_A') as name, [2] as shape, (p_partkey % 3)::int as part, p_size::double as first, p_partkey::double as second from {part} where p_size % 2 = 0")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def build(group: pa.Table) -> pa.Table:
+        names = [f"layer.{k}.{'lora_A' if size % 2 == 0 else 'weight'}" for k, size in zip(group.column("p_partkey").to_pylist(), group.column("p_size").to_pylist())]
+        data = {n: struct.pack("<2d", size, k) for n, k, size in zip(names, group.column("p_partkey").to_pylist(), group.column("p_size").to_pylist())}
+        content = files.tensor_file({n: {"dtype": "F64", "shape": [2]} for n in names}, data, {"format": "pt"})
+        return pa.table({"path": pa.array([str(group.column("part")[0].as_py())]), "content": pa.array([content], pa.binary())})
+
+    part = derived.table(spark, sf_dir, "part").select("p_partkey", "p_size", (C("p_partkey") % 3).alias("part"))
+    rows = files.tensor_rows(files.rewritten_tensors(part.groupBy("part").applyInArrow(build, "path string, content binary"), "lora_"))
+
+    @F.pandas_udf("first double, second double")
+    def numbers(data: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([struct.unpack("<2d", x) for x in data], columns=["first", "second"])
+
+    return rows.withColumn("v", numbers("data")).select("name", "shape", C("path").cast("int").alias("part"), "v.first", "v.second")
+
+
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     rows = spark.readStream.schema(raw).option("pathGlobFilter", "events.parquet").parquet(sf_dir)

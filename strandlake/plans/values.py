@@ -208,6 +208,11 @@ def _(t):
     return V.density_clusters(t("embeddings"), "vec_id", "embedding", 5, 400)
 
 
+@P.query("k04_projection")
+def _(t):
+    return V.projected(t("embeddings"), "vec_id", "embedding")
+
+
 @P.query("k02_titled_clusters")
 def _(t):
     rows = t("candidates").select("doc_id", F.concat(F.lit("cluster "), C("label").cast("string")).alias("title"), F.substring_index("text", " ", 1).alias("text"))

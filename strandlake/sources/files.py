@@ -7,6 +7,7 @@ import hashlib
 import json
 import re
 import sqlite3
+import struct
 import uuid
 from collections.abc import Iterator
 
@@ -152,10 +153,63 @@ def cached(wanted: DataFrame, cache: DataFrame, key: str) -> tuple[DataFrame, Da
 
 
 def kept_tensors(names: DataFrame, name: str, keep: str) -> DataFrame:
-    """The keys of a checkpoint that a pattern keeps; the binary file itself is not rewritten."""
+    """The keys of a checkpoint that a pattern keeps."""
     return names.filter(F.col(name).rlike(keep))
 
 
+def tensor_entries(content: bytes) -> tuple[dict[str, dict], memoryview]:
+    """A tensor file's header (name -> dtype, shape, data_offsets) and its data. The file: the header's size (8 bytes, little end
+    first), the header as JSON, the data."""
+    size = struct.unpack_from("<Q", content)[0]
+    return json.loads(content[8 : 8 + size]), memoryview(content)[8 + size :]
+
+
+def tensor_file(entries: dict[str, dict], data: dict[str, bytes | memoryview], notes: dict | None = None) -> bytes:
+    """A tensor file of entries (dtype, shape) with their bytes, in the order given, the header padded to 8 bytes."""
+    header, at = {"__metadata__": notes} if notes else {}, 0
+    for name, e in entries.items():
+        header[name] = {"dtype": e["dtype"], "shape": e["shape"], "data_offsets": [at, at + len(data[name])]}
+        at += len(data[name])
+    text = json.dumps(header, separators=(",", ":"), ensure_ascii=False).encode()
+    text += b" " * (-len(text) % 8)
+    return b"".join([struct.pack("<Q", len(text)), text, *(data[n] for n in entries)])
+
+
+def filtered_tensors(content: bytes, keep: str) -> tuple[bytes, int]:
+    """A tensor file with only the tensors whose names a pattern keeps, bytes and notes unchanged; and how many went."""
+    header, data = tensor_entries(content)
+    notes = header.pop("__metadata__", None)
+    kept = {n: e for n, e in sorted(header.items(), key=lambda x: x[1]["data_offsets"]) if re.search(keep, n)}
+    return tensor_file(kept, {n: data[slice(*e["data_offsets"])] for n, e in kept.items()}, notes), len(header) - len(kept)
+
+
+def rewritten_tensors(images: DataFrame, keep: str) -> DataFrame:
+    """(path, content, dropped) of tensor files in a column `content`, as the binaryFile source gives them; one file at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                content, dropped = filtered_tensors(batch.column(1)[i].as_py(), keep)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), pa.array([content], pa.binary()), pa.array([dropped], pa.int32())], ["path", "content", "dropped"])
+
+    return images.select(F.col("path").cast("string").alias("path"), "content").mapInArrow(run, "path string, content binary, dropped int")
+
+
+def tensor_rows(images: DataFrame) -> DataFrame:
+    """(path, name, dtype, shape, data): the tensors of tensor files."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                header, data = tensor_entries(content)
+                for n, e in header.items():
+                    if n != "__metadata__":
+                        columns = [pa.array([path]), pa.array([n]), pa.array([e["dtype"]]), pa.array([e["shape"]], pa.list_(pa.int64())), pa.array([bytes(data[slice(*e["data_offsets"])])], pa.binary())]
+                        yield pa.RecordBatch.from_arrays(columns, ["path", "name", "dtype", "shape", "data"])
+
+    return images.select(F.col("path").cast("string").alias("path"), "content").mapInArrow(run, "path string, name string, dtype string, shape array<long>, data binary")
+
+
 def event_rows(images: DataFrame, table: str = "event_log", order: str = "event_index") -> DataFrame:
     """The rows of an event store's table, as JSON, from database files in a column `content` (as the binaryFile source gives
     them, from any store that Spark reads): (path, event_index, row_json), in order inside each file. One file is one task's."""

@@ -223,6 +223,26 @@ def test_density_edges():
     assert len(set(same[:5])) == 1 == len(set(same[5:10])) and same[0] != same[5] and same[10] == -1
 
 
+def test_projection(spark, sf):
+    rows = sorted((r["vec_id"], r["embedding"]) for r in derived.table(spark, sf, "embeddings").collect())
+    v = np.array([e for _, e in rows], float)
+    centred = v - v.mean(0)
+    axis = np.linalg.svd(centred, full_matrices=False)[2][:2]
+    axis *= np.sign(axis[[0, 1], np.abs(axis).argmax(1)])[:, None]
+    got = {r["vec_id"]: (r["c0"], r["c1"]) for r in values.QUERIES["k04_projection"](spark, sf).collect()}
+    assert np.allclose([got[i] for i, _ in rows], centred @ axis.T, atol=1e-6)
+    assert V.projected(derived.table(spark, sf, "embeddings").filter("false"), "vec_id", "embedding").columns == ["vec_id", "c0", "c1"]
+
+
+def test_tensor_files():
+    data = {"a.lora_A": b"\0" * 8, "b.weight": b"1234", "é.lora_B": b""}
+    content = files.tensor_file({n: {"dtype": "U8", "shape": [len(x)]} for n, x in data.items()}, data, {"k": "v"})
+    kept, dropped = files.filtered_tensors(content, "lora_")
+    header, body = files.tensor_entries(kept)
+    assert dropped == 1 and header.pop("__metadata__") == {"k": "v"} and {n: bytes(body[slice(*e["data_offsets"])]) for n, e in header.items()} == {"a.lora_A": b"\0" * 8, "é.lora_B": b""}
+    assert files.tensor_entries(files.filtered_tensors(content, "none of them")[0])[0] == {"__metadata__": {"k": "v"}}
+
+
 def test_clusters_map_back_to_all_rows(spark):
     rows = spark.createDataFrame([(i, "t" if i % 2 else "u", f"x{i % 16}") for i in range(48)], "id int, title string, text string")
     vector = F.when(F.col("__text").startswith("t"), F.array(F.lit(0.0), F.rand(1) / 10)).otherwise(F.array(F.lit(9.0), F.rand(2) / 10))
