@@ -113,7 +113,13 @@ def map_text(df: DataFrame, make: Callable[[], Callable[[pa.Array], list]], fiel
     """
     new = {f.name for f in fields}
     kept = [c for c in (df.columns if keep is None else keep) if c not in new]
-    source = df.select(*[col(c).alias(f"k{i}") for i, c in enumerate(kept)], col(text).cast("string").alias("text"))
+    sent = [col(c).alias(f"k{i}") for i, c in enumerate(kept)]
+    at = len(kept)  # of the text among what is sent; one that is kept is sent once
+    if text in kept and isinstance(df.schema[text].dataType, T.StringType):
+        at = kept.index(text)
+    else:
+        sent.append(col(text).cast("string").alias("text"))
+    source = df.select(*sent)
     inner = [T.StructField(f"k{i}", source.schema[i].dataType) for i in range(len(kept))] + [T.StructField(f"v{i}", f.dataType) for i, f in enumerate(fields)]
     names = [f.name for f in inner]
     kinds = [f.dataType for f in fields]
@@ -124,7 +130,7 @@ def map_text(df: DataFrame, make: Callable[[], Callable[[pa.Array], list]], fiel
         types, fn = [to_arrow_type(k) for k in kinds], make()
         try:
             for batch in batches:
-                texts = batch.column(len(kept))
+                texts = batch.column(at)
                 for begin, end in slices(texts, limit):
                     part = batch.slice(begin, end - begin)
                     got = fn(texts.slice(begin, end - begin))

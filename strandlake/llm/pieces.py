@@ -232,8 +232,9 @@ def model_path(name: str = MODEL) -> str:
     return public_tokenizers.path(name)
 
 
-def encoded(df: DataFrame, path: str | None = None, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+def encoded(df: DataFrame, path: str | None = None, text: str = "text", keep: list[str] | None = None, verify: bool = False) -> DataFrame:
     """Adds ids, begins and ends (bytes of the original text for each id) and decoded to every row; null counts as empty.
+    verify: instead of decoded, round_trip: whether that is the text.
 
     path: of a model file that all executors have; None: the public model, found on each executor. A column of df with one of
     the new names is replaced.
@@ -248,13 +249,14 @@ def encoded(df: DataFrame, path: str | None = None, text: str = "text", keep: li
             begins, ends = c.all_spans(rows, ids)
             cut = np.cumsum([len(x) for x in ids])[:-1]
             begins, ends = begins.astype(np.int32), ends.astype(np.int32)
-            return [[x.tolist() for x in ids], np.split(begins, cut), np.split(ends, cut), c.decode([x.tolist() for x in ids])]
+            back = c.decode(lists := [x.tolist() for x in ids])
+            return [lists, np.split(begins, cut), np.split(ends, cut), [a == b for a, b in zip(back, rows)] if verify else back]
 
         fn.close = c.forget
         return fn
 
     ints = T.ArrayType(T.IntegerType())
-    fields = [T.StructField("ids", ints), T.StructField("begins", ints), T.StructField("ends", ints), T.StructField("decoded", T.StringType())]
+    fields = [T.StructField("ids", ints), T.StructField("begins", ints), T.StructField("ends", ints), T.StructField("round_trip", T.BooleanType()) if verify else T.StructField("decoded", T.StringType())]
     return common.map_text(df, make, fields, text, keep)
 
 

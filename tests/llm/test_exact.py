@@ -358,6 +358,7 @@ def test_encoded_rows(spark, edge):
     out = pieces.encoded(edge.withColumn("ids", F.lit("mine")))
     for r in out.collect():
         assert r["decoded"] == (r["text"] or "") and len(r["ids"]) == len(r["begins"]) == len(r["ends"])
+    assert all(r["round_trip"] and r["ids"] is not None for r in pieces.encoded(edge, verify=True).collect()) and pieces.encoded(edge, verify=True).columns == ["doc_id", "text", "ids", "begins", "ends", "round_trip"]
     assert pieces.digests(edge.filter("false")).count() == 0
     d = {r["doc_id"]: r for r in pieces.digests(edge).collect()}
     assert d[2]["ids_sha256"] == d[1]["ids_sha256"] == hashlib.sha256(b"").hexdigest() and d[4]["covered_bytes"] == len(EDGE[3][1])
