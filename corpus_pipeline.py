@@ -35,7 +35,7 @@ def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     own = docs.select(*[common.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)])
     text = f"c{docs.columns.index('text')}"
-    out = pieces.encoded(own, text=text).withColumn("round_trip", F.col("decoded") == F.coalesce(text, F.lit("")))
+    out = pieces.encoded(own, text=text, verify=True)
     new = [F.col(c).alias(common.unused(c, docs.columns)) for c in ("ids", "begins", "ends", "round_trip")]
     return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)], *new)
 
