@@ -27,6 +27,10 @@ TAG_ISSUES = [
     "steer_exec_not_interleaved",
 ]
 ENVELOPE_ISSUES = ["expected_single_complete_think_block", "empty_think_block"]
+_LETTERS = [chr(i) for i in range(0x20000) if not 0xD800 <= i < 0xE000]  # no letter beyond has a case
+#: Unicode's simple mappings, one letter for one letter, as SQL engines have them (a letter without one stays).
+SMALL = {c: c.lower()[0] for c in _LETTERS if c.lower() != c}
+CAPITAL = {c: u for c in _LETTERS if (u := c.upper() if len(c.upper()) == 1 else c.title()) != c and len(u) == 1} | {"ß": "ẞ"}
 
 
 def strip(x: Column) -> Column:
@@ -366,11 +370,20 @@ def numbered_options(x: Column) -> Column:
     )
 
 
-def capitalized(x: Column) -> Column:
-    """The first letter after leading white space in upper case; the rest as it is."""
-    lead = F.regexp_extract(x, r"(?U)^\s*", 0)
+def mapped(x: Column, letters: dict[str, str]) -> Column:
+    return F.translate(x, "".join(letters), "".join(letters.values()))
+
+
+def small(x: Column) -> Column:
+    """In lower case, each letter on its own: no final sigma, and no letter becomes two. lower() is the same on Latin texts, and faster."""
+    return F.when(x.rlike("[^\x00-\u012f\u0131-\u024f\u2000-\u206f]"), mapped(x, SMALL)).otherwise(F.lower(x))
+
+
+def capitalized(x: Column, space: str = r"\s") -> Column:
+    """The first letter after leading white space in upper case, which is one letter too; the rest as it is."""
+    lead = F.regexp_extract(x, rf"(?U)^{space}*", 0)
     rest = F.substr(x, F.length(lead) + 1)
-    return F.concat(lead, F.upper(F.substr(rest, F.lit(1), F.lit(1))), F.substr(rest, F.lit(2)))
+    return F.concat(lead, mapped(F.substr(rest, F.lit(1), F.lit(1)), CAPITAL), F.substr(rest, F.lit(2)))
 
 
 def rendered(pairs: Column) -> Column:
