@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandlake.functions.numeric import dot
@@ -113,13 +113,24 @@ def density_clusters(df: DataFrame, key: str, vector: str, least: int, most: int
     return df.select(key, vector, F.lit(0).alias("__all")).groupBy("__all").applyInPandas(cluster, f"{key} {kind}, cluster int")
 
 
+def text_id(*texts: str | Column) -> Column:
+    """What stands for 'title :: text' where the whole text need not go along: its SHA-256."""
+    return F.unhex(F.sha2(F.concat_ws(" :: ", *texts).cast("binary"), 256))
+
+
 def clustered_texts(df: DataFrame, texts: list[str], vectors: Callable[[DataFrame], DataFrame], least: int, most: int | None = None) -> DataFrame:
     """Clusters of 'title :: text' (or of texts alone), each distinct one once, mapped back to all rows.
 
-    vectors: adds a column `vector` to a table of distinct `__text`.
+    vectors: adds a column `vector` to a table of distinct `__text` and their `__id` (text_id).
+    Whole texts are only made distinct and put in order, in ranges of their beginnings, of which the driver sees samples; what one task
+    clusters, and what rows are joined by, has none of them.
     """
-    joined = df.withColumn("__text", F.concat_ws(" :: ", *texts))
-    return unique_then(joined, "__text", lambda u: density_clusters(vectors(u), "__text", "vector", least, most)).drop("__text")
+    tasks = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    unique = df.select(F.concat_ws(" :: ", *texts).alias("__text")).distinct()
+    placed = unique.repartitionByRange(tasks, F.substring("__text", 1, 100)).sortWithinPartitions("__text").withColumn("__at", F.monotonically_increasing_id())
+    kept = stored(vectors(placed.withColumn("__id", text_id("__text"))).select("__id", "__at", "vector"))
+    found = kept.select("__id", "__at").join(density_clusters(kept, "__at", "vector", least, most), "__at").drop("__at")
+    return df.withColumn("__id", text_id(*texts)).join(found, "__id", "left").drop("__id")
 
 
 def unique_then(df: DataFrame, text: str, compute: Callable[[DataFrame], DataFrame]) -> DataFrame:

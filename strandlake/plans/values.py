@@ -215,10 +215,10 @@ def _(t):
 
 @P.query("k02_titled_clusters")
 def _(t):
-    rows = t("candidates").select("doc_id", F.concat(F.lit("cluster "), C("label").cast("string")).alias("title"), F.substring_index("text", " ", 1).alias("text"))
-    first = t("candidates").join(t("embeddings").select(C("vec_id").alias("doc_id"), "embedding"), "doc_id")
-    first = first.groupBy(F.concat_ws(" :: ", F.concat(F.lit("cluster "), C("label").cast("string")), F.substring_index("text", " ", 1)).alias("__text")).agg(F.min_by("embedding", "doc_id").alias("vector"))
-    return V.clustered_texts(rows, ["title", "text"], lambda u: u.join(first, "__text"), 5).select("doc_id", "cluster")
+    rows = t("candidates").select("doc_id", F.concat(F.lit("cluster "), C("label").cast("string")).alias("title"), "text")
+    first = rows.select("doc_id", V.text_id("title", "text").alias("__id")).join(t("embeddings").select(C("vec_id").alias("doc_id"), "embedding"), "doc_id")
+    first = first.groupBy("__id").agg(F.min_by("embedding", "doc_id").alias("vector"))
+    return V.clustered_texts(rows, ["title", "text"], lambda u: u.join(first, "__id"), 5).select("doc_id", "cluster")
 
 
 @P.query("c16_back_join", "select doc_id, min(doc_id) over (partition by lang, source) as first_id, count(*) over (partition by lang, source) as copies from {documents}")
